@@ -44,3 +44,8 @@ def ancestors(path: Column) -> Column:
 def below(path: Column, base: Column) -> Column:
     """`path` relative to its ancestor directory `base` ('' = the root itself)."""
     return F.when(base == "", path).otherwise(F.substr(path, F.length(base) + 2))
+
+
+def depth(folder: Column) -> Column:
+    """Number of segments; 0 for the root ''."""
+    return F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/")))

@@ -49,3 +49,11 @@ def language_filter(df: DataFrame, languages: Iterable[str]) -> DataFrame:
 def comment_syntax(df: DataFrame) -> DataFrame:
     """Add `line_tok`, `block_start` and `block_end` of `language`."""
     return df.join(F.broadcast(L.syntax_frame(df.sparkSession)), "language", "left")
+
+
+def language_filter_entries(listing: DataFrame, languages: Iterable[str]) -> DataFrame:
+    """`language_filter` for a listing that also has rows other than files."""
+    wanted = [name.lower() for name in languages]
+    if not wanted:
+        return listing
+    return listing.filter((F.col("kind") != "file") | F.lower("language").isin(wanted))

@@ -1,9 +1,10 @@
 """Hidden-file filter, ignore rules and exclude globs as filters and joins on paths.
 
 `rules`: base_dir ('' = root), seq (line number), source_rank (a higher rank wins over a lower
-one), pattern_regex, negated, dir_only. The last matching line of the deepest directory within the
-highest rank decides about a file or directory; a file is dropped when it, or any directory above
-it, is ignored.
+one), pattern_regex, negated, dir_only, prefix. The last matching line of the deepest directory
+within the highest rank decides about a file or directory; a file is dropped when it, or any
+directory above it, is ignored. Rules of directories above the root have base_dir '' and as prefix
+the way from there to the root, e.g. 'x/root/'.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from linecensus.functions.globs import parse_rule
 
 RULE_SCHEMA = (
     "base_dir string, seq int, source_rank int, pattern_regex string, negated boolean, "
-    "dir_only boolean"
+    "dir_only boolean, prefix string"
 )
 
 # Order of the sources: per-directory .ignore, .gitignore, repository exclude file, global file.
@@ -33,12 +34,14 @@ def parse_rules(
     spark: SparkSession, lines: Iterable[str], base_dir: str = "", source_rank: int = RANK_IGNORE
 ) -> DataFrame:
     """Rules of ignore-file lines given by the caller."""
-    rows = []
-    for seq, line in enumerate(lines):
-        rule = parse_rule(line)
-        if rule:
-            rows.append((base_dir, seq, source_rank, *rule))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return spark.createDataFrame(rule_rows(lines, base_dir, source_rank), RULE_SCHEMA)
+
+
+def rule_rows(
+    lines: Iterable[str], base_dir: str, source_rank: int, prefix: str = ""
+) -> list[tuple]:
+    parsed = [(seq, parse_rule(line)) for seq, line in enumerate(lines)]
+    return [(base_dir, seq, source_rank, *rule, prefix) for seq, rule in parsed if rule]
 
 
 def hidden_filter(manifest: DataFrame, hidden: bool = False) -> DataFrame:
@@ -48,27 +51,46 @@ def hidden_filter(manifest: DataFrame, hidden: bool = False) -> DataFrame:
 
 def rules_by_dir(rules: DataFrame) -> DataFrame:
     """One row per directory with its rules in an array (bounded by its ignore files)."""
-    rule = F.struct("source_rank", "seq", "pattern_regex", "negated", "dir_only")
+    rule = F.struct("source_rank", "seq", "pattern_regex", "negated", "dir_only", "prefix")
     grouped = rules.groupBy("base_dir").agg(F.collect_list(rule).alias("rules"))
-    return F.broadcast(grouped) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else grouped
+    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    return F.broadcast(grouped) if few else grouped
 
 
-def best_match(rules: Column, relative: Column, is_dir: Column, depth: Column) -> Column:
-    """Deciding rule of one directory's rules as (source_rank, depth, seq, negated), or NULL."""
-    matching = F.filter(
-        rules, lambda r: (is_dir | ~r["dir_only"]) & F.rlike(relative, r["pattern_regex"])
-    )
-    return F.array_max(
-        F.transform(
-            matching,
-            lambda r: F.struct(
-                r["source_rank"].alias("source_rank"),
-                depth.alias("depth"),
-                r["seq"].alias("seq"),
-                r["negated"].alias("negated"),
-            ),
+def best_match(
+    rules: Column, relative: Column, is_dir: Column, depth: Column, repo_depth: Column | None = None
+) -> Column:
+    """Deciding rule of one directory's rules as (source_rank, depth, seq, negated), or NULL.
+
+    With `repo_depth`, the depth of the repository the path is in (NULL = none), rules of the git
+    sources count only inside a repository, and per-directory ones not from above it.
+    """
+
+    def level(r):
+        steps_up = F.length(r["prefix"]) - F.length(F.replace(r["prefix"], F.lit("/")))
+        return depth - steps_up
+
+    def applies(r):
+        matches = (is_dir | ~r["dir_only"]) & F.rlike(
+            F.concat(r["prefix"], relative), r["pattern_regex"]
+        )
+        if repo_depth is None:
+            return matches
+        in_repo = F.coalesce(
+            (r["source_rank"] == RANK_GLOBAL) | (level(r) >= repo_depth), F.lit(False)
         )
+        return ((r["source_rank"] == RANK_IGNORE) | (repo_depth.isNotNull() & in_repo)) & matches
+
+    key = F.transform(
+        F.filter(rules, applies),
+        lambda r: F.struct(
+            r["source_rank"].alias("source_rank"),
+            level(r).alias("depth"),
+            r["seq"].alias("seq"),
+            r["negated"].alias("negated"),
+        ),
     )
+    return F.array_max(key)
 
 
 def ignored_paths(manifest: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,7 +106,7 @@ def ignored_paths(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     )
     relative = P.below(path, F.col("base_dir"))
     parts = F.split(relative, "/")
-    depth = F.when(F.col("base_dir") == "", 0).otherwise(F.size(F.split("base_dir", "/")))
+    depth = P.depth(F.col("base_dir"))
     pairs = pairs.select("path", "rules", parts.alias("parts"), depth.alias("base_depth"))
     # Candidates: every directory between the rule's directory and the file, and the file.
     candidates = pairs.select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from linecensus.functions import languages as L
 
@@ -51,8 +51,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     display = {row[0]: row[1] for row in L.LANGUAGES}
     language_of = {ext: display[key] for ext, key in L.EXTENSIONS}
     picks = spark.createDataFrame(
-        [(i, ext, language_of[ext]) for i, ext in enumerate(CORPUS_EXTENSIONS)],
-        "pick bigint, ext string, language string",
+        pa.table(
+            {
+                "pick": list(range(len(CORPUS_EXTENSIONS))),
+                "ext": CORPUS_EXTENSIONS,
+                "language": [language_of[ext] for ext in CORPUS_EXTENSIONS],
+            }
+        )
     ).join(L.syntax_frame(spark), "language")
     line = F.coalesce("line_tok", F.lit(""))
     start, end = F.coalesce("block_start", F.lit("*")), F.coalesce("block_end", F.lit("*"))
@@ -100,7 +105,12 @@ def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _epoch_seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts.cast("timestamp")).cast("bigint")
+    """Whole seconds of a zone-less timestamp, whatever the session time zone is."""
+    since = ts - F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = F.lit(0).cast("bigint")
+    for unit, length in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1)):
+        seconds = seconds + F.floor(F.extract(F.lit(unit), since)).cast("bigint") * length
+    return seconds
 
 
 def _snapshot(events: DataFrame) -> DataFrame:
