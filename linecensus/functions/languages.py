@@ -6,7 +6,6 @@ them is a broadcast join whatever the size of the corpus.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 UNKNOWN = "Unknown"
@@ -88,8 +87,11 @@ EXTENSIONS = [(ext, lang[0]) for lang in LANGUAGES for ext in lang[5].split()]
 
 
 def _frame(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    table = pa.table({n: pa.array([r[i] for r in rows], pa.string()) for i, n in enumerate(names)})
-    return spark.createDataFrame(table)
+    def literal(value: str | None) -> str:
+        return "CAST(NULL AS STRING)" if value is None else f"r'{value}'"  # no value has a quote
+
+    values = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def dim_language(spark: SparkSession) -> DataFrame:

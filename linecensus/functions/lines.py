@@ -63,7 +63,7 @@ def count_newlines(text: Column) -> Column:
     return (F.size(F.split(text, "\n", -1)) - 1).cast("bigint")
 
 
-def _raw_lines(text: Column) -> Column:
+def raw_lines(text: Column) -> Column:
     # Only a newline that ends the text is dropped before splitting; the one piece that splitting
     # the empty text leaves is not a line either, but is left to the callers.
     body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
@@ -73,84 +73,76 @@ def _raw_lines(text: Column) -> Column:
 def split_lines(text: Column) -> Column:
     """Lines of the text as an array: a last line without newline counts, a final newline adds
     none, and an empty text has none."""
-    return F.when(text != "", _raw_lines(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(text != "", raw_lines(text)).otherwise(F.array().cast("array<string>"))
 
 
 def blank_codes(text: Column) -> Column:
     """One letter per line: b for lines made of space, tab and CR only, x for all others."""
     codes = F.transform(
-        _raw_lines(text), lambda line: F.when(ltrim_ws(line) == "", BLANK).otherwise(CODE)
+        raw_lines(text), lambda line: F.when(ltrim_ws(line) == "", BLANK).otherwise(CODE)
     )
     return F.when(text != "", F.array_join(codes, "")).otherwise("")
 
 
-def _comment_tail(rest: Column, line_tok: Column) -> Column:
-    """After a block end: comment when nothing or a line comment follows."""
-    tail = ltrim_ws(rest)
-    return (tail == "") | F.coalesce(tail.startswith(line_tok), F.lit(False))
-
-
-def _bytes_from(line: Column, start: Column, bytewise: Column) -> Column:
-    """The line from byte `start` (1-based) on, which may be inside a multi-byte character."""
-    return F.when(bytewise, F.substr(line, start)).otherwise(
-        F.substr(line.cast("binary"), start).cast("string")
-    )
+# The classification of a line is SQL text over the columns text, bytewise, line_tok, block_start
+# and block_end; `line` is one left-trimmed line of the text. NULL tokens never match.
 
+_WS_SQL = r"' \t\r'"
 
-def _line_code(
-    line: Column, line_tok: Column, block_start: Column, block_end: Column, bytewise: Column
-) -> Column:
-    """Code letter of one left-trimmed line. NULL tokens never match."""
-    starts = line.startswith(block_start)
-    line_comment = F.coalesce(line.startswith(line_tok), F.lit(False))
-
-    first_end = F.position(block_end, line) - 1
-    inside = _comment_tail(F.substr(line, first_end + F.length(block_end) + 1), line_tok)
-
-    # A line that opens and closes: the end is looked for after the start token. If it is not
-    # there, the whole line is searched again, and an end that overlaps the start closes too; the
-    # bytes skipped are then those of start, position and end together.
-    after_start = F.substr(line, F.length(block_start) + 1)
-    later_end = F.position(block_end, after_start)
-    rest = F.when(
-        later_end > 0, F.substr(after_start, later_end + F.length(block_end))
-    ).otherwise(
-        _bytes_from(line, F.length(block_start) + first_end + F.length(block_end) + 1, bytewise)
-    )
-    outside = (
-        F.when(starts, _comment_tail(rest, line_tok))
-        .when(line.contains(block_start), F.lit(False))
-        .otherwise(line_comment)
-    )
-    closing = F.when(outside, F.when(inside, "D").otherwise("C")).otherwise(
-        F.when(inside, "B").otherwise("A")
-    )
-    return (
-        F.when(line == "", BLANK)
-        .when(line.contains(block_end), closing)
-        .when(starts, "O")
-        .when(line.contains(block_start), CODE)  # a token after code does not open a block
-        .when(line_comment, COMMENT)
-        .otherwise(CODE)
-    )
 
-
-def line_codes(
-    text: Column, line_tok: Column, block_start: Column, block_end: Column, bytewise: Column
-) -> Column:
-    """Code string of the text: one letter per line, before the block state is known."""
-    unindented = F.transform(_raw_lines(text), lambda line: F.ltrim(line))
-    # Trimming a set of characters is slow in comparison, so only lines that need it get it.
-    trimmed = F.transform(
-        unindented,
-        lambda line: F.when(line.startswith("\t") | line.startswith("\r"), ltrim_ws(line)).otherwise(
-            line
-        ),
-    )
-    codes = F.transform(
-        trimmed, lambda line: _line_code(line, line_tok, block_start, block_end, bytewise)
-    )
-    return F.when(text != "", F.array_join(codes, "")).otherwise("")
+def _comment_tail(rest: str) -> str:
+    """After a block end: comment when nothing or a line comment follows."""
+    tail = f"ltrim({_WS_SQL}, {rest})"
+    return f"({tail} = '' OR coalesce(startswith({tail}, line_tok), false))"
+
+
+_FIRST_END = "position(block_end, line)"
+
+# The line from byte {0} (1-based) on, which may be inside a multi-byte character.
+_BYTES_FROM = """
+    if(bytewise, substr(line, {0}), cast(substr(cast(line AS BINARY), {0}) AS STRING))"""
+
+# What follows the end of a block that this line opens and closes. The end is looked for after the
+# start token. If it is not there, the whole line is searched again, and an end that overlaps the
+# start closes too; the bytes skipped are then those of start, position and end together.
+_AFTER_OPENED = f"""
+    if(contains(substr(line, length(block_start) + 1), block_end),
+       substr(line, length(block_start) + length(block_end)
+                    + position(block_end, substr(line, length(block_start) + 1))),
+       {_BYTES_FROM.format(f"length(block_start) + length(block_end) + {_FIRST_END}")})"""
+
+_AFTER_END = f"substr(line, {_FIRST_END} + length(block_end))"
+
+# The class of a line with a block end, if it starts outside a block: is it a comment?
+_COMMENT_OUTSIDE = f"""
+    CASE WHEN startswith(line, block_start) THEN {_comment_tail(_AFTER_OPENED)}
+         WHEN contains(line, block_start) THEN false
+         ELSE coalesce(startswith(line, line_tok), false) END"""
+
+_LINE_CODE = f"""
+    CASE WHEN line = '' THEN 'b'
+         WHEN contains(line, block_end) THEN
+           if({_COMMENT_OUTSIDE},
+              if({_comment_tail(_AFTER_END)}, 'D', 'C'),
+              if({_comment_tail(_AFTER_END)}, 'B', 'A'))
+         WHEN startswith(line, block_start) THEN 'O'
+         WHEN contains(line, block_start) THEN 'x'  -- a token after code does not open a block
+         WHEN startswith(line, line_tok) THEN 'c'
+         ELSE 'x' END"""
+
+# Trimming a set of characters is slow next to trimming spaces, so only lines that need it get it.
+_TRIMMED = rf"""
+    transform(transform(raw_lines, line -> ltrim(line)),
+              line -> if(startswith(line, '\t') OR startswith(line, '\r'), ltrim({_WS_SQL}, line), line))"""
+
+
+def line_codes() -> Column:
+    """Code string of `text`: one letter per line, before the block state is known.
+
+    Besides text, bytewise and the token columns it reads `raw_lines`, the text split at newlines.
+    """
+    codes = f"array_join(transform({_TRIMMED}, line -> {_LINE_CODE}), '')"
+    return F.expr(f"if(text <> '', {codes}, '')")
 
 
 def _mark_blocks(codes: Column) -> Column:

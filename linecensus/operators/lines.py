@@ -26,8 +26,8 @@ def with_codes(files: DataFrame, *keep: str) -> DataFrame:
         _text().alias("text"),
         N.is_bytewise(F.col("content")).alias("bytewise"),
     )
-    inputs = ("text", "line_tok", "block_start", "block_end", "bytewise")
-    return text.select(*keep, "text", N.line_codes(*map(F.col, inputs)).alias("codes"))
+    text = text.withColumn("raw_lines", N.raw_lines(F.col("text")))
+    return text.select(*keep, "text", N.line_codes().alias("codes"))
 
 
 def split_lines(files: DataFrame) -> DataFrame:

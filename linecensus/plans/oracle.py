@@ -154,8 +154,6 @@ SELECT unnest(['', repeat('=', 100), {_FILE_ROW}, 'File', 'Language', 'Lines', '
 UNION ALL SELECT {_FILE_ROW}, CASE WHEN strlen(path) > 48 THEN '...' || right(path, 45) ELSE path END,
   language, lines, code) FROM file_stats"""
 
-_JSON_FIELDS = "'      \"{}\": {}'"
-
 
 def _json_object(pad: str, fields: dict[str, str]) -> str:
     parts = ", ".join(f"'{pad}  \"{k}\": ' || {fields[k]}" for k in sorted(fields))
@@ -241,5 +239,10 @@ UNION ALL SELECT '    ' || {_FILE_JSON} || CASE WHEN path = (SELECT max(path) FR
         "read_content": f"{_CORPUS_ALL} SELECT path, strlen(content) AS size, md5(content) AS digest FROM corpus",
         "analyze_tree": language_stats,
         "analyze_tree_rerun": f"{_CORPUS_ALL} SELECT *, 'first' AS run FROM language_stats UNION ALL SELECT *, 'second' FROM language_stats",
-        "scan_single": f"{_CORPUS_ALL} SELECT path, language, size FROM corpus",
+        "analyze_tree_pieces": language_stats,
+        "cache_sink": f"{_CORPUS_ALL} SELECT path, bytes AS size, language, lines FROM file_stats",
+        "scan_tree_filtered": f"""{_CORPUS_ALL}, named AS (SELECT *, regexp_extract(path, '[^/]*$') AS file,
+  regexp_extract(path, 'src([0-9]+)/', 1)::INT AS folder FROM corpus)
+SELECT path, language, size FROM named WHERE file NOT LIKE '%.css'
+AND NOT (folder % 3 = 0 AND (file LIKE '%.py' OR file LIKE 'doc_1%') AND file NOT LIKE 'doc_12%')""",
     }

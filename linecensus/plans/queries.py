@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,14 @@ from linecensus.operators import ignore as I
 from linecensus.operators import incremental as C
 from linecensus.operators import lines as O
 from linecensus.operators import stats as S
+from linecensus.plans import analyze as A
+from linecensus.session import posix_path, scratch_path
+from linecensus.sinks import cache_table as CA
 from linecensus.sinks import reports as R
+from linecensus.sinks.tree_files import write_tree
+from linecensus.sources import content as CT
 from linecensus.sources import tables as T
+from linecensus.sources import tree as TR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -307,6 +314,89 @@ def report_json(spark, sf_dir):
     return R.ordered(R.report_json(S.language_stats(stats), file_stats=stats))
 
 
+# File trees, written from the corpus into the shared folder ------------------------------------
+
+# Lines of the ignore files in every third source folder, and the globs excluded besides.
+TREE_RULES = ["*.py", "doc_1*", "!doc_12*"]
+TREE_EXCLUDES = ["*.css"]
+
+
+def _corpus_tree(spark: SparkSession, sf_dir: str) -> str:
+    root = posix_path(scratch_path(spark, "tree"))
+    write_tree(T.corpus(spark, sf_dir), root)
+    return root
+
+
+def scan_tree(spark, sf_dir):
+    return TR.scan_tree(spark, _corpus_tree(spark, sf_dir)).select("path", "language", "size")
+
+
+def scan_tree_filtered(spark, sf_dir):
+    """Ignore files below the root, exclude globs and hidden names in one walk."""
+    root = _corpus_tree(spark, sf_dir)
+    folders = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct()
+    third = folders.filter(F.regexp_replace("source", "[^0-9]", "").cast("int") % 3 == 0)
+    folder = F.concat(F.lit("corpus/"), "source")
+    rules = third.select(
+        F.concat(folder, F.lit("/.ignore")).alias("path"), F.lit("\n".join(TREE_RULES)).alias("content")
+    )
+    hidden = folders.select(
+        F.concat(folder, F.lit("/.cache/x.rs")).alias("path"), F.lit("x").alias("content")
+    )
+    write_tree(rules.unionByName(hidden), root)
+    return TR.scan_tree(spark, root, exclude=TREE_EXCLUDES).select("path", "language", "size")
+
+
+def read_content(spark, sf_dir):
+    root = _corpus_tree(spark, sf_dir)
+    read = CT.read_content(TR.scan_tree(spark, root), root)
+    return read.select("path", "size", F.md5("content").alias("digest"))
+
+
+def analyze_tree(spark, sf_dir):
+    return A.analyze_tree(spark, _corpus_tree(spark, sf_dir)).languages
+
+
+def analyze_tree_pieces(spark, sf_dir):
+    """The same with every file cut into small pieces."""
+    return A.analyze_tree(spark, _corpus_tree(spark, sf_dir), piece_bytes=256).languages
+
+
+def analyze_tree_rerun(spark, sf_dir):
+    """A first run that fills the cache and a second one that reads no file."""
+    root, cache = _corpus_tree(spark, sf_dir), scratch_path(spark, "cache")
+    first = A.analyze_tree(spark, root, cache_dir=cache).languages
+    second = A.analyze_tree(spark, root, cache_dir=cache).languages
+    return first.withColumn("run", F.lit("first")).unionByName(
+        second.withColumn("run", F.lit("second"))
+    )
+
+
+def cache_sink(spark, sf_dir):
+    """What a run leaves in the cache."""
+    root, cache = _corpus_tree(spark, sf_dir), scratch_path(spark, "cache")
+    A.analyze_tree(spark, root, cache_dir=cache)
+    identity = spark.range(1).select(C.root_id(F.lit(os.path.realpath(root)))).first()[0]
+    return CA.load(spark, cache, identity).select("path", "size", "language", "stats.lines")
+
+
+def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of reading listed files that are not there."""
+    manifest = _paths(spark, sf_dir).filter(D.is_code_file())
+    manifest = manifest.withColumns(
+        {"raw_path": F.lit(None).cast("binary"), "size": F.greatest("size", F.lit(1))}
+    )
+    return CT.read_errors(CT.read_content(manifest, posix_path(scratch_path(spark, "missing"))))
+
+
+def error_sample(spark, sf_dir):
+    return R.error_sample(_unreadable(spark, sf_dir))
+
+
+def error_count(spark, sf_dir):
+    return R.error_count(_unreadable(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     named = (
         path_parts, detect_language, detect_language_counts, is_code_file, language_filter_files,
@@ -316,7 +406,9 @@ def queries() -> dict[str, Query]:
         grand_total_rollup, merge_stats, langs_by_code, langs_by_files, files_by_path,
         files_by_size, cache_probe, cache_misses, cache_hit_rate, cache_upsert, cache_cleanup,
         cache_validate, cache_modes, combine_results, root_id, summary, report_table,
-        report_files, report_csv, report_json,
+        report_files, report_csv, report_json, scan_tree, scan_tree_filtered, read_content,
+        analyze_tree, analyze_tree_pieces, analyze_tree_rerun, cache_sink, error_sample,
+        error_count,
     )
     return {
         "file_stats": _corpus_stats,

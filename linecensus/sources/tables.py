@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +19,22 @@ SPECIAL_NAMES = [
 ]
 
 
+def _scan(spark: SparkSession, table: str) -> DataFrame:
+    """The table, spread over all cores when its files give fewer scan tasks than there are cores.
+
+    That happens for small inputs only (at most one scan split per core), where moving the rows is
+    cheap next to classifying them; larger tables are never shuffled.
+    """
+    rows = spark.read.parquet(table)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_files(
     spark: SparkSession, table: str, path: Column, content: Column, mtime: Column | None = None
 ) -> DataFrame:
     """Files held as rows of a Parquet table: only the columns used by the expressions are read."""
-    files = spark.read.parquet(table).select(path.alias("path"), content.alias("content"))
+    files = _scan(spark, table).select(path.alias("path"), content.alias("content"))
     return files.select(
         "path",
         "content",
@@ -45,38 +55,32 @@ def html_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files of twelve languages, with comment tokens put into their lines."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", "text", "source", (F.col("doc_id") % len(CORPUS_EXTENSIONS)).alias("pick")
+    pick = (F.col("doc_id") % len(CORPUS_EXTENSIONS)).cast("int").alias("pick")
+    documents = _scan(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", pick)
+    key_of = dict(L.EXTENSIONS)
+    picks = L.lookup_frame(spark, "ext", [(ext, key_of[ext]) for ext in CORPUS_EXTENSIONS])
+    picks = picks.withColumnRenamed("found_ext", "language").join(L.syntax_frame(spark), "language")
+    listed = ", ".join(f"'{ext}'" for ext in CORPUS_EXTENSIONS)
+    documents = documents.withColumn("ext", F.expr(f"element_at(array({listed}), pick + 1)"))
+    decorated = """
+        transform(split(text, '\\n', -1), (x, i) -> CASE
+            WHEN i % 11 = 6 THEN concat(bs, ' ', x)
+            WHEN i % 11 = 8 THEN concat(x, ' ', be)
+            WHEN i % 11 = 10 THEN concat(bs, ' ', x, ' ', be)
+            WHEN i % 7 = 3 THEN '  '
+            WHEN i % 5 = 0 THEN concat('  ', lc, ' ', x)
+            ELSE x END)"""
+    tokens = picks.select(
+        "ext",
+        F.coalesce("line_tok", F.lit("")).alias("lc"),
+        F.coalesce("block_start", F.lit("*")).alias("bs"),
+        F.coalesce("block_end", F.lit("*")).alias("be"),
     )
-    display = {row[0]: row[1] for row in L.LANGUAGES}
-    language_of = {ext: display[key] for ext, key in L.EXTENSIONS}
-    picks = spark.createDataFrame(
-        pa.table(
-            {
-                "pick": list(range(len(CORPUS_EXTENSIONS))),
-                "ext": CORPUS_EXTENSIONS,
-                "language": [language_of[ext] for ext in CORPUS_EXTENSIONS],
-            }
-        )
-    ).join(L.syntax_frame(spark), "language")
-    line = F.coalesce("line_tok", F.lit(""))
-    start, end = F.coalesce("block_start", F.lit("*")), F.coalesce("block_end", F.lit("*"))
-
-    def decorate(x, i):
-        return (
-            F.when(i % 11 == 6, F.concat(start, F.lit(" "), x))
-            .when(i % 11 == 8, F.concat(x, F.lit(" "), end))
-            .when(i % 11 == 10, F.concat(start, F.lit(" "), x, F.lit(" "), end))
-            .when(i % 7 == 3, F.lit("  "))
-            .when(i % 5 == 0, F.concat(F.lit("  "), line, F.lit(" "), x))
-            .otherwise(x)
-        )
-
-    content = F.array_join(F.transform(F.split("text", "\n", -1), decorate), "\n")
+    content = F.expr(f"array_join({decorated}, '\\n')")
     path = F.concat(
         F.lit("corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id"), F.lit("."), F.col("ext")
     )
-    files = documents.join(F.broadcast(picks), "pick").select(
+    files = documents.join(F.broadcast(tokens), "ext").select(
         path.alias("path"), content.alias("content")
     )
     return files.select(

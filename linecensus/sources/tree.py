@@ -248,7 +248,7 @@ def scan_tree(
         new_rules = listed.filter("kind = 'rule'").select(*_LISTING_SCHEMA.names[7:])
         if not new_rules.isEmpty():
             rules = new_rules if rules is None else rules.unionByName(new_rules)
-        entries = listed.filter("kind <> 'rule'")
+        entries = listed.filter("kind <> 'rule'").select(*_LISTING_SCHEMA.names[:7], "language")
         if exclude:
             is_dir = F.col("kind") == "dir"
             entries = entries.filter(
