@@ -148,7 +148,7 @@ def line_codes() -> Column:
 def _mark_blocks(codes: Column) -> Column:
     """Code string in which every block is `O [bc]* (X|Y)`: X / Y = closes as code / comment."""
     # Lines inside a block become comments; \G continues where the last match ended.
-    marked = F.regexp_replace(codes, r"((?:O|\G(?!^))[bc]*+)[xO]", "$1c")
+    marked = F.regexp_replace(codes, r"((?:\G(?!^)|O)[bc]*+)[xO]", "$1c")
     marked = F.regexp_replace(marked, r"(O[bc]*+)[AC]", "$1X")
     return F.regexp_replace(marked, r"(O[bc]*+)[BD]", "$1Y")
 
@@ -166,7 +166,7 @@ def line_classes_inside(codes: Column) -> Column:
 
 def block_states(codes: Column) -> Column:
     """1 / 0 per line: does the line start inside a block comment?"""
-    inside = F.regexp_replace(_mark_blocks(codes), r"(O|\G(?!^))[bc]", "$1I")
+    inside = F.regexp_replace(_mark_blocks(codes), r"(\G(?!^)|O)[bc]", "$1I")
     return F.translate(inside, "IXYObcxABCD", "11100000000")
 
 

@@ -40,8 +40,8 @@ def count_newlines(files: DataFrame) -> DataFrame:
 
 
 def _blank_codes(files: DataFrame, *keep: str) -> DataFrame:
-    # Newlines and blanks are ASCII: no decoding is needed to find them.
-    return files.select(*keep, N.blank_codes(F.col("content").cast("string")).alias("codes"))
+    text = files.select(*keep, _text().alias("text"))
+    return text.select(*keep, N.blank_codes(F.col("text")).alias("codes"))
 
 
 def blank_lines(files: DataFrame) -> DataFrame:
