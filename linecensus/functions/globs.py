@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 class Rule(NamedTuple):
     pattern_regex: str  # matched against the whole path relative to the rule's directory
+    literal: str  # text that every matching path contains; spares most paths the regex
     negated: bool
     dir_only: bool
 
@@ -95,6 +96,15 @@ def _literal(char: str) -> str:
     return "\\" + char if char in r"\.^$|?*+()[]{}" else char
 
 
+def required_literal(glob: str) -> str:
+    """Longest text without any special character in the glob, '' when it has a choice."""
+    if "{" in glob or "\\" in glob:
+        return ""
+    # Each special piece, with the slash of '**/', ends a run of plain characters.
+    runs = re.split(r"\*\*/|\[[!^]?\]?[^\]]*\]|[*?]", glob)
+    return max(runs, key=len)
+
+
 def parse_rule(line: str) -> Rule | None:
     """Rule of one ignore-file line; None for blank lines, comments and malformed globs."""
     line = line.rstrip("\r\n")
@@ -122,4 +132,6 @@ def parse_rule(line: str) -> Rule | None:
     elif line.endswith("/**"):  # the contents, not the directory itself
         line += "/*"
     regex = glob_to_regex(line)
-    return None if regex is None else Rule(rf"(?s)^{regex}\z", negated, dir_only)
+    if regex is None:
+        return None
+    return Rule(rf"(?s)^{regex}\z", required_literal(line), negated, dir_only)

@@ -1,12 +1,13 @@
 """Language dimension: names, comment tokens, extensions and special file names.
 
-All three tables have a fixed size (51, 139 and 7 rows), so every join against
-them is a broadcast join whatever the size of the corpus.
+The tables have a fixed size (51, 139 and 7 rows). Look-ups go through constant maps inside
+the projection: no join, no broadcast job, and nothing that grows with the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
 
@@ -110,13 +111,32 @@ def dim_filename(spark: SparkSession) -> DataFrame:
     return _frame(spark, ["name", "lang_key"], FILENAMES)
 
 
-def lookup_frame(spark: SparkSession, key: str, entries: list[tuple[str, str]]) -> DataFrame:
-    """`entries` (look-up key, lang_key) widened with the display name."""
-    display = {row[0]: row[1] for row in LANGUAGES}
-    return _frame(spark, [key, "found_" + key], [(k, display[lang]) for k, lang in entries])
+def _lookup(pairs: dict[str, str | None], key: str) -> Column:
+    """Constant map indexed by a column; NULL for an absent key."""
 
+    def listed(values):
+        return ", ".join("CAST(NULL AS STRING)" if v is None else f"r'{v}'" for v in values)
 
-def syntax_frame(spark: SparkSession) -> DataFrame:
-    """Comment tokens keyed by display name."""
-    names = ["language", "line_tok", "block_start", "block_end"]
-    return _frame(spark, names, [row[1:5] for row in LANGUAGES])
+    entries = f"map_from_arrays(array({listed(pairs)}), array({listed(pairs.values())}))"
+    return F.expr(f"{entries}[{key}]")
+
+
+_DISPLAY = {row[0]: row[1] for row in LANGUAGES}
+
+
+def language_of_filename(key: str) -> Column:
+    """Display name for a special file name given by the SQL expression `key`."""
+    return _lookup({name: _DISPLAY[lang] for name, lang in FILENAMES}, key)
+
+
+def language_of_extension(key: str) -> Column:
+    """Display name for a file extension given by the SQL expression `key`."""
+    return _lookup({ext: _DISPLAY[lang] for ext, lang in EXTENSIONS}, key)
+
+
+def syntax_columns(language: str = "language") -> dict[str, Column]:
+    """Comment tokens of the display name in column `language`."""
+    return {
+        token: _lookup({row[1]: row[i] for row in LANGUAGES}, language)
+        for i, token in enumerate(("line_tok", "block_start", "block_end"), start=2)
+    }

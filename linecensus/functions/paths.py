@@ -6,25 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def file_name(path: Column) -> Column:
-    """Last segment of the path."""
-    return F.substring_index(path, "/", -1)
-
+# SQL expressions over the column `path`.
+NAME = "substring_index(path, '/', -1)"
 
-def _has_extension(name: Column) -> Column:
-    # A dot in first place does not start an extension ('.gitignore').
-    return F.position(F.lit("."), name, F.lit(2)) > 0
+# Text after the last dot; NULL when there is none or the only dot leads ('.gitignore').
+EXTENSION = f"if(position('.', {NAME}, 2) > 0, substring_index({NAME}, '.', -1), NULL)"
 
+# The name without the last dot and extension.
+STEM = f"left({NAME}, length({NAME}) - coalesce(length({EXTENSION}) + 1, 0))"
 
-def extension(name: Column) -> Column:
-    """Text after the last dot; NULL when the only dot leads or there is none."""
-    return F.when(_has_extension(name), F.substring_index(name, ".", -1))
 
-
-def stem(name: Column) -> Column:
-    """Name without the last dot and extension."""
-    length = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
-    return F.when(_has_extension(name), F.left(name, length)).otherwise(name)
+def file_name(path: Column) -> Column:
+    """Last segment of the path."""
+    return F.substring_index(path, "/", -1)
 
 
 def is_hidden(path: Column) -> Column:

@@ -13,8 +13,9 @@ from linecensus.functions import paths as P
 
 def path_parts(df: DataFrame) -> DataFrame:
     """Add `name`, `stem` and `ext` of `path`."""
-    name = P.file_name(F.col("path"))
-    return df.withColumns({"name": name, "stem": P.stem(name), "ext": P.extension(name)})
+    return df.withColumns(
+        {"name": F.expr(P.NAME), "stem": F.expr(P.STEM), "ext": F.expr(P.EXTENSION)}
+    )
 
 
 def detect_language(df: DataFrame) -> DataFrame:
@@ -23,15 +24,13 @@ def detect_language(df: DataFrame) -> DataFrame:
     A third look-up of the full name could never decide: a dotless special name equals its own
     stem, and 'cargo.toml' is found by its extension.
     """
-    spark = df.sparkSession
-    by_stem = L.lookup_frame(spark, "stem_key", L.FILENAMES)
-    by_ext = L.lookup_frame(spark, "ext_key", L.EXTENSIONS)
-    name = P.file_name(F.col("path"))
-    language = F.coalesce("found_stem_key", "found_ext_key", F.lit(L.UNKNOWN))
-    return (
-        df.join(F.broadcast(by_stem), F.lower(P.stem(name)) == F.col("stem_key"), "left")
-        .join(F.broadcast(by_ext), F.lower(P.extension(name)) == F.col("ext_key"), "left")
-        .select(*[F.col(f"`{c}`") for c in df.columns], language.alias("language"))
+    return df.withColumn(
+        "language",
+        F.coalesce(
+            L.language_of_filename(f"lower({P.STEM})"),
+            L.language_of_extension(f"lower({P.EXTENSION})"),
+            F.lit(L.UNKNOWN),
+        ),
     )
 
 
@@ -48,7 +47,7 @@ def language_filter(df: DataFrame, languages: Iterable[str]) -> DataFrame:
 
 def comment_syntax(df: DataFrame) -> DataFrame:
     """Add `line_tok`, `block_start` and `block_end` of `language`."""
-    return df.join(F.broadcast(L.syntax_frame(df.sparkSession)), "language", "left")
+    return df.withColumns(L.syntax_columns())
 
 
 def language_filter_entries(listing: DataFrame, languages: Iterable[str]) -> DataFrame:

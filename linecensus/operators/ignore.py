@@ -1,7 +1,7 @@
 """Hidden-file filter, ignore rules and exclude globs as filters and joins on paths.
 
 `rules`: base_dir ('' = root), seq (line number), source_rank (a higher rank wins over a lower
-one), pattern_regex, negated, dir_only, prefix. The last matching line of the deepest directory
+one), pattern_regex, literal, negated, dir_only, prefix. The last matching line of the deepest directory
 within the highest rank decides about a file or directory; a file is dropped when it, or any
 directory above it, is ignored. Rules of directories above the root have base_dir '' and as prefix
 the way from there to the root, e.g. 'x/root/'.
@@ -18,10 +18,12 @@ from linecensus.functions import paths as P
 from linecensus.functions.globs import parse_rule
 
 RULE_SCHEMA = (
-    "base_dir string, seq int, source_rank int, pattern_regex string, negated boolean, "
+    "base_dir string, seq int, source_rank int, pattern_regex string, literal string, negated boolean, "
     "dir_only boolean, prefix string"
 )
 
+_RULE_FIELDS = ("source_rank", "seq", "pattern_regex", "literal", "negated", "dir_only", "prefix")
+
 # Order of the sources: per-directory .ignore, .gitignore, repository exclude file, global file.
 RANK_GLOBAL, RANK_EXCLUDE, RANK_GITIGNORE, RANK_IGNORE = 1, 2, 3, 4
 
@@ -51,7 +53,7 @@ def hidden_filter(manifest: DataFrame, hidden: bool = False) -> DataFrame:
 
 def rules_by_dir(rules: DataFrame) -> DataFrame:
     """One row per directory with its rules in an array (bounded by its ignore files)."""
-    rule = F.struct("source_rank", "seq", "pattern_regex", "negated", "dir_only", "prefix")
+    rule = F.struct(*_RULE_FIELDS)
     grouped = rules.groupBy("base_dir").agg(F.collect_list(rule).alias("rules"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     return F.broadcast(grouped) if few else grouped
@@ -71,9 +73,10 @@ def best_match(
         return depth - steps_up
 
     def applies(r):
-        matches = (is_dir | ~r["dir_only"]) & F.rlike(
-            F.concat(r["prefix"], relative), r["pattern_regex"]
-        )
+        # A pattern that comes from a column is compiled for every test, so few paths get there.
+        full = F.concat(r["prefix"], relative)
+        matches = (is_dir | ~r["dir_only"]) & full.contains(r["literal"])
+        matches = matches & F.rlike(full, r["pattern_regex"])
         if repo_depth is None:
             return matches
         in_repo = F.coalesce(

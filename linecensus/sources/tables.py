@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecensus.functions import languages as L
+from linecensus.operators.detect import detect_language
 
 # Fixed values of the derived tables below.
 CORPUS_EXTENSIONS = ["rs", "py", "sql", "lua", "hs", "css", "xml", "jl", "rb", "sh", "md", "lisp"]
@@ -57,9 +58,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files of twelve languages, with comment tokens put into their lines."""
     pick = (F.col("doc_id") % len(CORPUS_EXTENSIONS)).cast("int").alias("pick")
     documents = _scan(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", pick)
-    key_of = dict(L.EXTENSIONS)
-    picks = L.lookup_frame(spark, "ext", [(ext, key_of[ext]) for ext in CORPUS_EXTENSIONS])
-    picks = picks.withColumnRenamed("found_ext", "language").join(L.syntax_frame(spark), "language")
     listed = ", ".join(f"'{ext}'" for ext in CORPUS_EXTENSIONS)
     documents = documents.withColumn("ext", F.expr(f"element_at(array({listed}), pick + 1)"))
     decorated = """
@@ -70,19 +68,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN i % 7 = 3 THEN '  '
             WHEN i % 5 = 0 THEN concat('  ', lc, ' ', x)
             ELSE x END)"""
-    tokens = picks.select(
-        "ext",
-        F.coalesce("line_tok", F.lit("")).alias("lc"),
-        F.coalesce("block_start", F.lit("*")).alias("bs"),
-        F.coalesce("block_end", F.lit("*")).alias("be"),
-    )
-    content = F.expr(f"array_join({decorated}, '\\n')")
     path = F.concat(
         F.lit("corpus/"), F.col("source"), F.lit("/doc_"), F.col("doc_id"), F.lit("."), F.col("ext")
     )
-    files = documents.join(F.broadcast(tokens), "ext").select(
-        path.alias("path"), content.alias("content")
+    documents = detect_language(documents.withColumn("path", path))
+    tokens = L.syntax_columns()
+    documents = documents.withColumns(
+        {
+            "lc": F.coalesce(tokens["line_tok"], F.lit("")),
+            "bs": F.coalesce(tokens["block_start"], F.lit("*")),
+            "be": F.coalesce(tokens["block_end"], F.lit("*")),
+        }
     )
+    content = F.expr(f"array_join({decorated}, '\\n')")
+    files = documents.select("path", content.alias("content"))
     return files.select(
         "path",
         "content",
@@ -103,7 +102,7 @@ def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("/"), name,
     )
     size = F.round(F.col("value") * 100).cast("bigint")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return _scan(spark, f"{sf_dir}/events.parquet").select(
         path.alias("path"), size.alias("size"), _epoch_seconds(F.col("ts")).alias("mtime")
     )
 

@@ -43,6 +43,7 @@ _LISTING_SCHEMA = pa.schema(
         ("seq", pa.int32()),
         ("source_rank", pa.int32()),
         ("pattern_regex", pa.string()),
+        ("literal", pa.string()),
         ("negated", pa.bool_()),
         ("dir_only", pa.bool_()),
         ("prefix", pa.string()),
