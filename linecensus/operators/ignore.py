@@ -62,7 +62,9 @@ def rules_by_dir(rules: DataFrame) -> DataFrame:
 def best_match(
     rules: Column, relative: Column, is_dir: Column, depth: Column, repo_depth: Column | None = None
 ) -> Column:
-    """Deciding rule of one directory's rules as (source_rank, depth, seq, negated), or NULL.
+    """Deciding rule of one directory's rules as an array of one (source_rank, depth, seq, negated);
+    empty when no rule matches. To be exploded, which tests each rule once: a filter for NULL would
+    be pushed below and test them again.
 
     With `repo_depth`, the depth of the repository the path is in (NULL = none), rules of the git
     sources count only inside a repository, and per-directory ones not from above it.
@@ -93,7 +95,7 @@ def best_match(
             r["negated"].alias("negated"),
         ),
     )
-    return F.array_max(key)
+    return F.array_compact(F.array(F.array_max(key)))
 
 
 def ignored_paths(manifest: DataFrame, rules: DataFrame) -> DataFrame:
@@ -124,16 +126,11 @@ def ignored_paths(manifest: DataFrame, rules: DataFrame) -> DataFrame:
             )
         ).alias("n", "relative"),
     )
-    matched = candidates.select(
-        "path",
-        (F.col("base_depth") + F.col("n")).alias("level"),
-        best_match(
-            F.col("rules"),
-            F.col("relative"),
-            F.col("n") < F.col("n_parts") - 1,
-            F.col("base_depth"),
-        ).alias("match"),
-    ).filter(F.col("match").isNotNull())
+    best = best_match(
+        F.col("rules"), F.col("relative"), F.col("n") < F.col("n_parts") - 1, F.col("base_depth")
+    )
+    level = (F.col("base_depth") + F.col("n")).alias("level")
+    matched = candidates.select("path", level, F.explode(best).alias("match"))
     # Partitioned by path once; both groupings below keep that partitioning.
     verdict = (
         matched.repartition("path")

@@ -16,6 +16,15 @@ def _text() -> Column:
     return N.as_text(F.col("content"))
 
 
+def _once(column: Column) -> Column:
+    """The column through a generator of one row.
+
+    A filter on what is computed from it stays above, where it would else be pushed below with the
+    whole expression copied into it.
+    """
+    return F.explode(F.array(column))
+
+
 def with_codes(files: DataFrame, *keep: str) -> DataFrame:
     """Columns `keep` of the files with their `text` and code string `codes`."""
     text = comment_syntax(files).select(
@@ -27,7 +36,7 @@ def with_codes(files: DataFrame, *keep: str) -> DataFrame:
         N.is_bytewise(F.col("content")).alias("bytewise"),
     )
     text = text.withColumn("raw_lines", N.raw_lines(F.col("text")))
-    return text.select(*keep, "text", N.line_codes().alias("codes"))
+    return text.select(*keep, "text", _once(N.line_codes()).alias("codes"))
 
 
 def split_lines(files: DataFrame) -> DataFrame:
@@ -41,7 +50,7 @@ def count_newlines(files: DataFrame) -> DataFrame:
 
 def _blank_codes(files: DataFrame, *keep: str) -> DataFrame:
     text = files.select(*keep, _text().alias("text"))
-    return text.select(*keep, N.blank_codes(F.col("text")).alias("codes"))
+    return text.select(*keep, _once(N.blank_codes(F.col("text"))).alias("codes"))
 
 
 def blank_lines(files: DataFrame) -> DataFrame:
@@ -64,11 +73,12 @@ def fast_stats(files: DataFrame) -> DataFrame:
 
 
 def _explode_letters(files: DataFrame, letters: Column, name: str) -> DataFrame:
-    """One row per line of the file with its letter of `letters`."""
+    """One row per line of the file with its letter of `letters`, an expression over `codes`."""
+    coded = with_codes(files, "path").filter("codes <> ''")
     rows = F.arrays_zip(
         N.split_lines(F.col("text")).alias("raw"), F.split(letters, "").alias("letter")
     )
-    lettered = files.filter(F.col("codes") != "").select("path", F.posexplode(rows))
+    lettered = coded.select("path", F.posexplode(rows))
     return lettered.select(
         "path", F.col("pos").alias("line_no"), "col.raw", F.col("col.letter").alias(name)
     )
@@ -76,7 +86,7 @@ def _explode_letters(files: DataFrame, letters: Column, name: str) -> DataFrame:
 
 def classify_lines(files: DataFrame) -> DataFrame:
     """One row per line: path, line_no (from 0), raw, cls (code / comment / blank)."""
-    lettered = _explode_letters(with_codes(files, "path"), N.line_classes(F.col("codes")), "letter")
+    lettered = _explode_letters(files, N.line_classes(F.col("codes")), "letter")
     cls = (
         F.when(F.col("letter") == N.CODE, "code")
         .when(F.col("letter") == N.COMMENT, "comment")
@@ -87,7 +97,7 @@ def classify_lines(files: DataFrame) -> DataFrame:
 
 def block_state(files: DataFrame) -> DataFrame:
     """One row per line: path, line_no (from 0), in_block (the line starts inside a block)."""
-    lettered = _explode_letters(with_codes(files, "path"), N.block_states(F.col("codes")), "letter")
+    lettered = _explode_letters(files, N.block_states(F.col("codes")), "letter")
     return lettered.select("path", "line_no", (F.col("letter") == "1").alias("in_block"))
 
 

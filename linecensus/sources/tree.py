@@ -194,7 +194,7 @@ def _verdicts(entries: DataFrame, rules: DataFrame) -> DataFrame:
         P.depth(F.col("base_dir")),
         F.col("repo_depth"),
     )
-    matched = pairs.select("path", match.alias("match")).filter(F.col("match").isNotNull())
+    matched = pairs.select("path", F.explode(match).alias("match"))
     best = matched.groupBy("path").agg(F.max("match").alias("match"))
     return best.select("path", F.col("match.negated").alias("negated"))
 
