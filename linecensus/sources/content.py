@@ -20,8 +20,10 @@ from linecensus.operators.stats import COUNTS
 
 PIECE_BYTES = 8 * 1024 * 1024
 
-# Work per task; opening a file is charged like reading this many bytes.
+# Work per task, more when that would give too many tasks for one job. Opening a file is charged
+# like reading OPEN_COST_BYTES.
 TASK_BYTES = 256 * 1024 * 1024
+MAX_TASKS = 100_000
 OPEN_COST_BYTES = 64 * 1024
 
 _BATCH_BYTES = 16 * 1024 * 1024
@@ -40,7 +42,7 @@ def pack_by_size(manifest: DataFrame) -> DataFrame:
     if not rows:
         return manifest
     least = min(rows, manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.repartition(max(least, -(-total // TASK_BYTES)))
+    return manifest.repartition(max(least, min(MAX_TASKS, -(-total // TASK_BYTES))))
 
 
 def _find_newline(file, start: int, stop: int | None) -> int | None:

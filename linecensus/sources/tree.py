@@ -64,6 +64,13 @@ _RULE_FILES = (
 )
 
 
+_CONTROL_NAMES = {b".git", b".ignore", b".gitignore"}
+
+
+def _control_names(folder: bytes) -> set[bytes]:
+    return {name for name in _CONTROL_NAMES if os.path.lexists(os.path.join(folder, name))}
+
+
 def _rule_lines(path: bytes) -> list[str]:
     try:
         with open(path, "rb") as file:
@@ -95,18 +102,16 @@ def _list_directory(root: bytes, row: dict, follow_links: bool) -> Iterator[dict
     raw = row["raw_path"] if row["raw_path"] is not None else path.encode("utf-8")
     folder = os.path.join(root, raw) if raw else root
     entries = []
-    names = set()
     try:
         with os.scandir(folder) as found:
             for entry in found:
-                if entry.name in (b".git", b".ignore", b".gitignore"):
-                    names.add(entry.name)
                 entries.append(entry)
-                if len(entries) == _ROWS_PER_BATCH and b".git" not in names:
-                    # A very large directory: look the three names up instead of waiting for them.
-                    names.update(n for n in (b".git", b".ignore", b".gitignore")
-                                 if os.path.lexists(os.path.join(folder, n)))
-                    break
+                if len(entries) == _ROWS_PER_BATCH:
+                    break  # the rest of a very large directory is not held in memory
+            if len(entries) < _ROWS_PER_BATCH:
+                names = _CONTROL_NAMES & {entry.name for entry in entries}
+            else:
+                names = _control_names(folder)
             yield from _rules_of(folder, path, names)
             depth = path.count("/") + 1 if path else 0
             shared = {"repo_depth": depth if b".git" in names else row["repo_depth"]}
@@ -127,7 +132,7 @@ def _entry_row(entry, parent: bytes, chain: list[str] | None, follow_links: bool
     path, raw_path = _readable(parent + b"/" + entry.name if parent else entry.name)
     row = {"path": path, "raw_path": raw_path}
     if stat.S_ISREG(info.st_mode):
-        return {"kind": "file", **row, "size": info.st_size, "mtime": int(info.st_mtime // 1)}
+        return {"kind": "file", **row, "size": info.st_size, "mtime": info.st_mtime_ns // 10**9}
     if not stat.S_ISDIR(info.st_mode):
         return None
     if not follow_links:
@@ -174,7 +179,7 @@ def _outer_rules(root: str) -> tuple[list[tuple], int | None]:
         prefix = f"{os.path.basename(folder)}/{prefix}"
         folder, steps = os.path.dirname(folder), steps + 1
         raw = os.fsencode(folder)
-        names = {n for n in (b".git", b".ignore", b".gitignore") if os.path.lexists(raw + b"/" + n)}
+        names = _control_names(raw)
         for rule in _rules_of(raw, "", names, prefix):
             rows.append(tuple(rule[k] for k in _LISTING_SCHEMA.names[7:]))
         if b".git" in names and repo_depth is None:
@@ -203,7 +208,7 @@ def scan_single(spark: SparkSession, path: str) -> DataFrame:
     """Manifest of one file, relative to its folder: no filter but a known language applies."""
     info = os.stat(path)
     readable, raw = _readable(os.fsencode(os.path.basename(path)))
-    row = (readable, raw, info.st_size, int(info.st_mtime // 1))
+    row = (readable, raw, info.st_size, info.st_mtime_ns // 10**9)
     manifest = spark.createDataFrame([row], "path string, raw_path binary, size bigint, mtime bigint")
     return D.detect_language(manifest).filter(D.is_code_file())
 
