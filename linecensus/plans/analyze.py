@@ -46,9 +46,14 @@ class Census:
 
 
 def analyze_table(files: DataFrame, languages: Iterable[str] = ()) -> Census:
-    """Files held as rows (path, content, size): one scan, no shuffle before the aggregates."""
+    """Files held as rows (path, content, size).
+
+    The content is read once, without a shuffle; the counts are written and every aggregate and
+    report starts from them.
+    """
     known = D.detect_language(files).filter(D.is_code_file())
-    return Census(O.file_stats(D.language_filter(known, languages)))
+    counted = O.file_stats(D.language_filter(known, languages))
+    return Census(write_table(counted, "counted"))
 
 
 def analyze_tree(

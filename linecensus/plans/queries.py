@@ -16,7 +16,7 @@ from linecensus.operators import incremental as C
 from linecensus.operators import lines as O
 from linecensus.operators import stats as S
 from linecensus.plans import analyze as A
-from linecensus.session import posix_path, scratch_path
+from linecensus.session import posix_path, scratch_path, write_table
 from linecensus.sinks import cache_table as CA
 from linecensus.sinks import reports as R
 from linecensus.sinks.tree_files import write_tree
@@ -275,7 +275,7 @@ def cache_modes(spark, sf_dir):
 
 
 def combine_results(spark, sf_dir):
-    probed = _probed(spark, sf_dir)
+    probed = write_table(_probed(spark, sf_dir), "probed")  # read for the hits and for the misses
     counted = _counted(probed.filter(~F.col("hit")))
     cached = C.cache_hits(probed)
     combined = C.combine_results(cached, counted.select(*cached.columns))
@@ -305,12 +305,12 @@ def report_files(spark, sf_dir):
 
 
 def report_csv(spark, sf_dir):
-    stats = _corpus_stats(spark, sf_dir)
+    stats = write_table(_corpus_stats(spark, sf_dir), "stats")
     return R.ordered(R.report_csv(S.language_stats(stats), stats))
 
 
 def report_json(spark, sf_dir):
-    stats = _corpus_stats(spark, sf_dir)
+    stats = write_table(_corpus_stats(spark, sf_dir), "stats")
     return R.ordered(R.report_json(S.language_stats(stats), file_stats=stats))
 
 

@@ -2,7 +2,8 @@
 
 Every report has the columns section, rank, path and line: sorted by the first three, `line` is the
 report. The language part is at most 51 rows; the per-file part is as long as the corpus, so it is
-sorted and written by the executors and never gathered into one row.
+sorted and written by the executors and never gathered into one row. The per-file counts given are
+read several times, so they should come from a written table.
 """
 
 from __future__ import annotations
