@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 WHITESPACE = " \t\r"
 
+_WS_SQL = r"' \t\r'"
+
 CODE, COMMENT, BLANK = "x", "c", "b"
 
 
@@ -63,32 +65,41 @@ def count_newlines(text: Column) -> Column:
     return (F.size(F.split(text, "\n", -1)) - 1).cast("bigint")
 
 
-def raw_lines(text: Column) -> Column:
-    # Only a newline that ends the text is dropped before splitting; the one piece that splitting
-    # the empty text leaves is not a line either, but is left to the callers.
-    body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
-    return F.split(body, "\n", -1)
-
-
 def split_lines(text: Column) -> Column:
     """Lines of the text as an array: a last line without newline counts, a final newline adds
     none, and an empty text has none."""
-    return F.when(text != "", raw_lines(text)).otherwise(F.array().cast("array<string>"))
+    body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    lines = F.split(body, "\n", -1)
+    return F.when(text != "", lines).otherwise(F.array().cast("array<string>"))
+
 
+# A longer text is split and classified in pieces of about this size, cut at line ends, so that the
+# lines of one piece are in memory at a time and not those of the whole text.
+PIECE_BYTES = 1_000_000
 
-def blank_codes(text: Column) -> Column:
-    """One letter per line: b for lines made of space, tab and CR only, x for all others."""
-    codes = F.transform(
-        raw_lines(text), lambda line: F.when(ltrim_ws(line) == "", BLANK).otherwise(CODE)
+
+def _codes_by_piece(codes_of_piece: str) -> Column:
+    """Code string of `text` from the SQL expression for the codes of one `piece` of it."""
+    cut = rf"(?s).{{1,{PIECE_BYTES}}}[^\n]*+\n?+"
+    pieces = (
+        f"if(octet_length(text) > {PIECE_BYTES}, regexp_extract_all(text, r'{cut}', 0), array(text))"
     )
-    return F.when(text != "", F.array_join(codes, "")).otherwise("")
+    return F.expr(f"if(text <> '', array_join(transform({pieces}, piece -> {codes_of_piece}), ''), '')")
 
 
-# The classification of a line is SQL text over the columns text, bytewise, line_tok, block_start
-# and block_end; `line` is one left-trimmed line of the text. NULL tokens never match.
+# Lines of a non-empty piece: only a newline that ends it is dropped before splitting.
+_PIECE_LINES = r"""
+    split(if(endswith(piece, '\n'), left(piece, length(piece) - 1), piece), '\n', -1)"""
+
+
+def blank_codes() -> Column:
+    """One letter per line of `text`: b for lines of space, tab and CR only, x for all others."""
+    letter = f"line -> if(ltrim({_WS_SQL}, line) = '', '{BLANK}', '{CODE}')"
+    return _codes_by_piece(f"array_join(transform({_PIECE_LINES}, {letter}), '')")
 
-_WS_SQL = r"' \t\r'"
 
+# The classification of a line is SQL text over the columns text, bytewise, line_tok, block_start
+# and block_end; `line` is one left-trimmed line of the text. NULL tokens never match.
 
 def _comment_tail(rest: str) -> str:
     """After a block end: comment when nothing or a line comment follows."""
@@ -132,17 +143,13 @@ _LINE_CODE = f"""
 
 # Trimming a set of characters is slow next to trimming spaces, so only lines that need it get it.
 _TRIMMED = rf"""
-    transform(transform(raw_lines, line -> ltrim(line)),
+    transform(transform({_PIECE_LINES}, line -> ltrim(line)),
               line -> if(startswith(line, '\t') OR startswith(line, '\r'), ltrim({_WS_SQL}, line), line))"""
 
 
 def line_codes() -> Column:
-    """Code string of `text`: one letter per line, before the block state is known.
-
-    Besides text, bytewise and the token columns it reads `raw_lines`, the text split at newlines.
-    """
-    codes = f"array_join(transform({_TRIMMED}, line -> {_LINE_CODE}), '')"
-    return F.expr(f"if(text <> '', {codes}, '')")
+    """Code string of `text`: one letter per line, before the block state is known."""
+    return _codes_by_piece(f"array_join(transform({_TRIMMED}, line -> {_LINE_CODE}), '')")
 
 
 def _mark_blocks(codes: Column) -> Column:

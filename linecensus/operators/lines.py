@@ -35,7 +35,6 @@ def with_codes(files: DataFrame, *keep: str) -> DataFrame:
         _text().alias("text"),
         N.is_bytewise(F.col("content")).alias("bytewise"),
     )
-    text = text.withColumn("raw_lines", N.raw_lines(F.col("text")))
     return text.select(*keep, "text", _once(N.line_codes()).alias("codes"))
 
 
@@ -50,7 +49,7 @@ def count_newlines(files: DataFrame) -> DataFrame:
 
 def _blank_codes(files: DataFrame, *keep: str) -> DataFrame:
     text = files.select(*keep, _text().alias("text"))
-    return text.select(*keep, _once(N.blank_codes(F.col("text"))).alias("codes"))
+    return text.select(*keep, _once(N.blank_codes()).alias("codes"))
 
 
 def blank_lines(files: DataFrame) -> DataFrame:

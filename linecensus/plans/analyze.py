@@ -81,7 +81,7 @@ def analyze_tree(
     manifest = manifest.withColumn("root_id", F.lit(identity))
 
     cached = spark.createDataFrame([], C.CACHE_SCHEMA)
-    if cache_dir:
+    if cache_dir and mode == "reuse":
         cached = cache_table.load(spark, cache_dir, identity)
     # Written once: hits, misses and the hit rate all read it.
     probed = write_table(C.cache_probe(manifest, C.cache_mode(cached, mode)), "probed")

@@ -19,8 +19,8 @@ MAX_DELTAS = 16
 _SCHEMA = C.CACHE_SCHEMA + ", run int"
 
 
-def _folders(spark: SparkSession, cache_dir: str, root: str) -> list[tuple[int, str, str]]:
-    """Number, kind and path of the committed run folders, in order."""
+def _folders(spark: SparkSession, cache_dir: str, root: str) -> list[tuple[int, str, str, bool]]:
+    """Number, kind, path and committed flag of the run folders, in order."""
     path_class = spark._jvm.org.apache.hadoop.fs.Path
     folder = path_class(f"{cache_dir.rstrip('/')}/{root}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -28,20 +28,26 @@ def _folders(spark: SparkSession, cache_dir: str, root: str) -> list[tuple[int,
         return []
     found = []
     for status in fs.listStatus(folder):
-        named = re.fullmatch(r"(\d+)-(base|delta)", status.getPath().getName())
-        if named and fs.exists(path_class(status.getPath(), "_SUCCESS")):
-            found.append((int(named[1]), named[2], status.getPath().toString()))
+        path = status.getPath()
+        named = re.fullmatch(r"(\d+)-(base|delta)", path.getName())
+        if named:
+            committed = fs.exists(path_class(path, "_SUCCESS"))
+            found.append((int(named[1]), named[2], path.toString(), committed))
     return sorted(found)
 
 
-def _current(folders: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
-    bases = [i for i, (_, kind, _) in enumerate(folders) if kind == "base"]
-    return folders[bases[-1] :] if bases else folders
+def _current(folders: list[tuple[int, str, str, bool]]) -> list[str]:
+    """Paths of the last committed base and the committed deltas after it."""
+    paths: list[str] = []
+    for _, kind, path, committed in folders:
+        if committed:
+            paths = [path] if kind == "base" else [*paths, path]
+    return paths
 
 
 def load(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
     """Latest valid entry per path; no rows when there is no cache. Damaged files are skipped."""
-    paths = [path for _, _, path in _current(_folders(spark, cache_dir, root))]
+    paths = _current(_folders(spark, cache_dir, root))
     if not paths:
         return spark.createDataFrame([], C.CACHE_SCHEMA)
     stored = spark.read.schema(_SCHEMA).option("ignoreCorruptFiles", "true").parquet(*paths)
@@ -58,11 +64,12 @@ def load(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
 def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, rebuild: bool) -> None:
     """Insert or overwrite `entries`; with `rebuild` they replace everything stored."""
     folders = _folders(spark, cache_dir, root)
-    number = folders[-1][0] + 1 if folders else 0
+    number = folders[-1][0] + 1 if folders else 0  # a run that failed keeps its number
+    current = _current(folders)
     kind = "delta"
-    if rebuild or not folders:
+    if rebuild or not current:
         kind = "base"
-    elif len(_current(folders)) > MAX_DELTAS:
+    elif len(current) > MAX_DELTAS:
         kind = "base"
         entries = C.cache_upsert(load(spark, cache_dir, root), entries)
     target = f"{cache_dir.rstrip('/')}/{root}/{number:08d}-{kind}"

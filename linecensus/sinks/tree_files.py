@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ def _writer(root: str):
                 target = os.path.join(root, row["path"])
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 # A repeated task attempt replaces the file by the same content.
-                partial = f"{target}.{os.getpid()}.part"
+                partial = f"{target}.{uuid.uuid4().hex}.part"
                 with open(partial, "wb") as file:
                     file.write(row["content"])
                 os.replace(partial, target)

@@ -81,14 +81,13 @@ def test_cache_table(spark, tmp_path, monkeypatch):
     stored = {r.path: r.size for r in CA.load(spark, where, "r").collect()}
     assert stored == {"a": 1, "b": 2}
     assert CA.load(spark, where, "other").count() == 0
-    # An uncommitted run is not read.
-    os.makedirs(f"{where}/r/00000009-base")
+    # A run that failed before its commit is not read, and its number is not used again.
+    os.makedirs(f"{where}/r/00000002-base")
     assert CA.load(spark, where, "r").count() == 2
-    os.rmdir(f"{where}/r/00000009-base")
     monkeypatch.setattr(CA, "MAX_DELTAS", 1)
     CA.save(spark, where, "r", entries(spark, [("c", 3, 3, "Rust", 3)]), False)
-    kinds = [kind for _, kind, _ in CA._folders(spark, where, "r")]
-    assert kinds == ["base", "delta", "base"]
+    kinds = [(number, kind) for number, kind, _, _ in CA._folders(spark, where, "r")]
+    assert kinds == [(0, "base"), (1, "delta"), (2, "base"), (3, "base")]
     assert {r.path: r.size for r in CA.load(spark, where, "r").collect()} == {"a": 1, "b": 2, "c": 3}
     CA.save(spark, where, "r", entries(spark, [("d", 4, 4, "Rust", 4)]), True)
     assert {r.path for r in CA.load(spark, where, "r").collect()} == {"d"}

@@ -89,7 +89,9 @@ def random_files(seed, n_files):
     return rows
 
 
-def test_random_files_against_brute_force(spark):
+@pytest.mark.parametrize("piece_bytes", [N.PIECE_BYTES, 3])
+def test_random_files_against_brute_force(spark, monkeypatch, piece_bytes):
+    monkeypatch.setattr(N, "PIECE_BYTES", piece_bytes)
     rows = random_files(seed=7, n_files=4000)
     files = files_of(spark, rows)
     got = {}
