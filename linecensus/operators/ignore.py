@@ -11,19 +11,26 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecensus.functions import paths as P
 from linecensus.functions.globs import parse_rule
 
-RULE_SCHEMA = (
-    "base_dir string, seq int, source_rank int, pattern_regex string, literal string, negated boolean, "
-    "dir_only boolean, prefix string"
+RULE_FIELDS = pa.schema(
+    [
+        ("base_dir", pa.string()),
+        ("seq", pa.int32()),
+        ("source_rank", pa.int32()),
+        ("pattern_regex", pa.string()),
+        ("literal", pa.string()),
+        ("negated", pa.bool_()),
+        ("dir_only", pa.bool_()),
+        ("prefix", pa.string()),
+    ]
 )
 
-_RULE_FIELDS = ("source_rank", "seq", "pattern_regex", "literal", "negated", "dir_only", "prefix")
-
 # Order of the sources: per-directory .ignore, .gitignore, repository exclude file, global file.
 RANK_GLOBAL, RANK_EXCLUDE, RANK_GITIGNORE, RANK_IGNORE = 1, 2, 3, 4
 
@@ -36,7 +43,12 @@ def parse_rules(
     spark: SparkSession, lines: Iterable[str], base_dir: str = "", source_rank: int = RANK_IGNORE
 ) -> DataFrame:
     """Rules of ignore-file lines given by the caller."""
-    return spark.createDataFrame(rule_rows(lines, base_dir, source_rank), RULE_SCHEMA)
+    return rules_table(spark, rule_rows(lines, base_dir, source_rank))
+
+
+def rules_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    table = pa.Table.from_pylist([dict(zip(RULE_FIELDS.names, row)) for row in rows], RULE_FIELDS)
+    return spark.createDataFrame(table)
 
 
 def rule_rows(
@@ -53,7 +65,7 @@ def hidden_filter(manifest: DataFrame, hidden: bool = False) -> DataFrame:
 
 def rules_by_dir(rules: DataFrame) -> DataFrame:
     """One row per directory with its rules in an array (bounded by its ignore files)."""
-    rule = F.struct(*_RULE_FIELDS)
+    rule = F.struct(*RULE_FIELDS.names[1:])
     grouped = rules.groupBy("base_dir").agg(F.collect_list(rule).alias("rules"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     return F.broadcast(grouped) if few else grouped

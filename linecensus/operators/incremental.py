@@ -7,7 +7,7 @@ no key is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecensus.operators.stats import COUNTS
@@ -28,6 +28,11 @@ def root_id(root: Column) -> Column:
     return F.md5(root.cast("binary"))
 
 
+def empty_cache(spark: SparkSession) -> DataFrame:
+    """No entries. The limit lets the optimizer see that, and drop the join with them."""
+    return spark.createDataFrame([], CACHE_SCHEMA).limit(0)
+
+
 def cache_entries(file_stats: DataFrame, cached_at: int) -> DataFrame:
     """Cache rows for counted files; needs root_id, path, mtime, size and the counts."""
     return file_stats.select(

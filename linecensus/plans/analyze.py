@@ -80,7 +80,7 @@ def analyze_tree(
     manifest = scan_tree(spark, root, hidden, follow_links, exclude, languages)
     manifest = manifest.withColumn("root_id", F.lit(identity))
 
-    cached = spark.createDataFrame([], C.CACHE_SCHEMA)
+    cached = C.empty_cache(spark)
     if cache_dir and mode == "reuse":
         cached = cache_table.load(spark, cache_dir, identity)
     # Written once: hits, misses and the hit rate all read it.

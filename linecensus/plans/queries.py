@@ -109,11 +109,13 @@ def ignore_rules(spark, sf_dir):
     folders = (
         spark.read.parquet(f"{sf_dir}/events.parquet").filter(user % 5 == 0).select(user).distinct()
     )
-    user_rules = I.parse_rules(spark, USER_RULES, source_rank=I.RANK_GITIGNORE).drop("base_dir")
-    per_user = folders.select(F.concat(F.lit("u"), user).alias("base_dir"))
-    # Two constant rules for each folder, written out as an array to keep it a projection.
-    rules_row = [F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in user_rules.collect()]
-    per_user = per_user.select("base_dir", F.inline(F.array(*rules_row)))
+    # The constant rules of each folder, as an array to keep this a projection.
+    rows = I.rule_rows(USER_RULES, "", I.RANK_GITIGNORE)
+    rules = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(I.RULE_FIELDS.names[1:], row[1:])]) for row in rows
+    ]
+    base_dir = F.concat(F.lit("u"), user).alias("base_dir")
+    per_user = folders.select(base_dir, F.inline(F.array(*rules)))
     root_rules = I.parse_rules(spark, ROOT_RULES, source_rank=I.RANK_GITIGNORE)
     return I.ignore_rules(T.event_paths(spark, sf_dir), root_rules.unionByName(per_user)).select("path")
 

@@ -49,7 +49,7 @@ def load(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
     """Latest valid entry per path; no rows when there is no cache. Damaged files are skipped."""
     paths = _current(_folders(spark, cache_dir, root))
     if not paths:
-        return spark.createDataFrame([], C.CACHE_SCHEMA)
+        return C.empty_cache(spark)
     stored = spark.read.schema(_SCHEMA).option("ignoreCorruptFiles", "true").parquet(*paths)
     stored = C.cache_validate(stored, root)
     if len(paths) == 1:
@@ -57,8 +57,7 @@ def load(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
     # The probe joins on the same key, so it reuses this partitioning.
     entry = F.struct(*[c for c in stored.columns if c not in ("root_id", "path", "run")])
     latest = stored.groupBy("root_id", "path").agg(F.max_by(entry, "run").alias("entry"))
-    columns = spark.createDataFrame([], C.CACHE_SCHEMA).columns
-    return latest.select("root_id", "path", "entry.*").select(*columns)
+    return latest.select("root_id", "path", "entry.*").select(*C.empty_cache(spark).columns)
 
 
 def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, rebuild: bool) -> None:

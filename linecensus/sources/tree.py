@@ -39,21 +39,17 @@ _LISTING_SCHEMA = pa.schema(
         ("mtime", pa.int64()),
         ("repo_depth", pa.int32()),
         ("chain", pa.list_(pa.string())),
-        ("base_dir", pa.string()),
-        ("seq", pa.int32()),
-        ("source_rank", pa.int32()),
-        ("pattern_regex", pa.string()),
-        ("literal", pa.string()),
-        ("negated", pa.bool_()),
-        ("dir_only", pa.bool_()),
-        ("prefix", pa.string()),
+        *I.RULE_FIELDS,
     ]
 )
 _LISTING_DDL = (
     "kind string, path string, raw_path binary, size bigint, mtime bigint, repo_depth int, "
-    "chain array<string>, " + I.RULE_SCHEMA
+    "chain array<string>, base_dir string, seq int, source_rank int, pattern_regex string, "
+    "literal string, negated boolean, dir_only boolean, prefix string"
 )
 
+_ENTRY_COLUMNS = ("kind", "path", "raw_path", "size", "mtime", "repo_depth", "chain", "language")
+
 _DIRS_PER_TASK = 256
 _ROWS_PER_BATCH = 10_000
 
@@ -92,8 +88,7 @@ def _rules_of(folder: bytes, path: str, names: set[bytes], prefix: str = "") ->
         if name.split(b"/")[0] in names:
             lines = _rule_lines(os.path.join(folder, name))
             for row in I.rule_rows(lines, path, rank, prefix):
-                keys = _LISTING_SCHEMA.names[7:]
-                yield {"kind": "rule", "path": path, **dict(zip(keys, row))}
+                yield {"kind": "rule", "path": path, **dict(zip(I.RULE_FIELDS.names, row))}
 
 
 def _list_directory(root: bytes, row: dict, follow_links: bool) -> Iterator[dict]:
@@ -181,7 +176,7 @@ def _outer_rules(root: str) -> tuple[list[tuple], int | None]:
         raw = os.fsencode(folder)
         names = _control_names(raw)
         for rule in _rules_of(raw, "", names, prefix):
-            rows.append(tuple(rule[k] for k in _LISTING_SCHEMA.names[7:]))
+            rows.append(tuple(rule[name] for name in I.RULE_FIELDS.names))
         if b".git" in names and repo_depth is None:
             repo_depth = -steps
     return rows, repo_depth
@@ -236,7 +231,7 @@ def scan_tree(
     outer, repo_depth = _outer_rules(root)
     global_file = global_ignore or global_ignore_file()
     outer += I.rule_rows(_rule_lines(os.fsencode(global_file)), "", I.RANK_GLOBAL)
-    rules = spark.createDataFrame(outer, I.RULE_SCHEMA) if outer else None
+    rules = I.rules_table(spark, outer) if outer else None
 
     info = os.stat(root)
     start = [("", None, repo_depth, [f"{info.st_dev}:{info.st_ino}"])]
@@ -251,10 +246,10 @@ def scan_tree(
         kept = (F.col("kind") != "file") | D.is_code_file()
         listed = write_table(D.language_filter_entries(listed.filter(kept), languages), "listing")
 
-        new_rules = listed.filter("kind = 'rule'").select(*_LISTING_SCHEMA.names[7:])
+        new_rules = listed.filter("kind = 'rule'").select(*I.RULE_FIELDS.names)
         if not new_rules.isEmpty():
             rules = new_rules if rules is None else rules.unionByName(new_rules)
-        entries = listed.filter("kind <> 'rule'").select(*_LISTING_SCHEMA.names[:7], "language")
+        entries = listed.filter("kind <> 'rule'").select(*_ENTRY_COLUMNS)
         if exclude:
             is_dir = F.col("kind") == "dir"
             entries = entries.filter(
