@@ -39,9 +39,14 @@ def is_code_file() -> Column:
     return F.col("language") != L.UNKNOWN
 
 
-def language_filter(df: DataFrame, languages: Iterable[str]) -> DataFrame:
+def option_list(values: str | Iterable[str]) -> list[str]:
+    """Values of an option given as a list or as one comma-separated text."""
+    return [v for v in values.split(",") if v] if isinstance(values, str) else list(values)
+
+
+def language_filter(df: DataFrame, languages: str | Iterable[str]) -> DataFrame:
     """Keep rows whose display name equals one of `languages`, ignoring case; empty = keep all."""
-    wanted = [name.lower() for name in languages]
+    wanted = [name.lower() for name in option_list(languages)]
     return df.filter(F.lower("language").isin(wanted)) if wanted else df
 
 
@@ -50,9 +55,9 @@ def comment_syntax(df: DataFrame) -> DataFrame:
     return df.withColumns(L.syntax_columns())
 
 
-def language_filter_entries(listing: DataFrame, languages: Iterable[str]) -> DataFrame:
+def language_filter_entries(listing: DataFrame, languages: str | Iterable[str]) -> DataFrame:
     """`language_filter` for a listing that also has rows other than files."""
-    wanted = [name.lower() for name in languages]
+    wanted = [name.lower() for name in option_list(languages)]
     if not wanted:
         return listing
     return listing.filter((F.col("kind") != "file") | F.lower("language").isin(wanted))

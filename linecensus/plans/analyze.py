@@ -45,7 +45,7 @@ class Census:
         return reports.ordered(built)
 
 
-def analyze_table(files: DataFrame, languages: Iterable[str] = ()) -> Census:
+def analyze_table(files: DataFrame, languages: str | Iterable[str] = ()) -> Census:
     """Files held as rows (path, content, size).
 
     The content is read once, without a shuffle; the counts are written and every aggregate and
@@ -61,8 +61,8 @@ def analyze_tree(
     root: str,
     hidden: bool = False,
     follow_links: bool = False,
-    exclude: Iterable[str] = (),
-    languages: Iterable[str] = (),
+    exclude: str | Iterable[str] = (),
+    languages: str | Iterable[str] = (),
     cache_dir: str | None = None,
     mode: str = "reuse",
     piece_bytes: int = PIECE_BYTES,

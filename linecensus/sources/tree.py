@@ -213,8 +213,8 @@ def scan_tree(
     root: str,
     hidden: bool = False,
     follow_links: bool = False,
-    exclude: Iterable[str] = (),
-    languages: Iterable[str] = (),
+    exclude: str | Iterable[str] = (),
+    languages: str | Iterable[str] = (),
     global_ignore: str | None = None,
 ) -> DataFrame:
     """Manifest of the files under `root` whose language is known.
@@ -227,7 +227,7 @@ def scan_tree(
         raise FileNotFoundError(f"Path '{root}' does not exist")
     if os.path.isfile(root):
         return scan_single(spark, root)
-    exclude = list(exclude)
+    exclude = D.option_list(exclude)
     outer, repo_depth = _outer_rules(root)
     global_file = global_ignore or global_ignore_file()
     outer += I.rule_rows(_rule_lines(os.fsencode(global_file)), "", I.RANK_GLOBAL)

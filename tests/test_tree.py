@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -42,6 +43,7 @@ def test_scan_tree(spark, tree):
     assert scan(spark, tree, hidden=True) == PLAIN | {"pkg/.env.py", "pkg/.hid/b.py"}
     assert scan(spark, tree, languages=["RUST"]) == {"pkg/empty.rs"}
     assert scan(spark, tree, exclude=["_*", "link.*"]) == {"pkg/a.py", "pkg/empty.rs"}
+    assert scan(spark, tree, exclude="_*,link.*", languages="rust,lua") == {"pkg/empty.rs"}
 
 
 def test_sizes_and_languages(spark, tree):
@@ -110,6 +112,15 @@ def test_global_ignore(spark, tree, tmp_path):
     assert scan(spark, tree) == PLAIN - {"pkg/link.py"}
 
 
+def test_reports_of_a_tree(spark, tree):
+    census = analyze_tree(spark, str(tree))
+    document = json.loads("\n".join(r.line for r in census.report("json", files=True).collect()))
+    assert document["summary"]["total_files"] == len(PLAIN)
+    assert [f["path"] for f in document["files"]] == sorted(f"{tree}/{name}" for name in PLAIN)
+    table = [r.line for r in census.report("table").collect()]
+    assert any(line.startswith(" Total ") for line in table)
+
+
 def test_content_and_errors(spark, tree):
     manifest = TR.scan_tree(spark, str(tree))
     gone = manifest.filter("path = 'pkg/a.py'").replace("pkg/a.py", "pkg/gone.py", "path")
