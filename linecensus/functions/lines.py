@@ -101,6 +101,7 @@ def blank_codes() -> Column:
 # The classification of a line is SQL text over the columns text, bytewise, line_tok, block_start
 # and block_end; `line` is one left-trimmed line of the text. NULL tokens never match.
 
+
 def _comment_tail(rest: str) -> str:
     """After a block end: comment when nothing or a line comment follows."""
     tail = f"ltrim({_WS_SQL}, {rest})"

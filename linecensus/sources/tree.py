@@ -70,7 +70,7 @@ def _control_names(folder: bytes) -> set[bytes]:
 def _rule_lines(path: bytes) -> list[str]:
     try:
         with open(path, "rb") as file:
-            return file.read().decode("utf-8", "replace").removeprefix("﻿").splitlines()
+            return file.read().decode("utf-8", "replace").removeprefix("\ufeff").split("\n")
     except OSError:
         return []
 

@@ -80,8 +80,8 @@ def test_names_that_are_not_utf8(spark, tmp_path):
 
 
 def test_ignore_files(spark, tree):
-    put(tree, ".ignore", "_priv/\n")
-    put(tree, ".gitignore", "*.rs\n")
+    put(tree, ".ignore", "\ufeff_priv/\r\n")
+    put(tree, ".gitignore", "*.rs")
     assert scan(spark, tree) == PLAIN - {"_priv/c.py"}  # not a repository: .gitignore is idle
     (tree / ".git").mkdir()
     assert scan(spark, tree) == PLAIN - {"_priv/c.py", "pkg/empty.rs"}
