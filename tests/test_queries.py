@@ -3,6 +3,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from linecensus.plans.oracle import oracle_sql
+from linecensus.plans.queries import queries
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -16,12 +18,13 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries()) == set(oracle_sql())
+    assert set(queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", queries())
 def test_query_equals_its_statement(spark, con, name):
-    assert compare(spark, con, SF, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert compare(spark, con, SF, queries()[name], oracle_sql()[name]) is None
 
 
 def test_entry(spark):
