@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linecensus.llm.exact_dedup import op10_exact_dedup
+from linecensus.llm.sharding import op4_histogram_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    named = (op10_exact_dedup,)
+    named = (op4_histogram_sharding, op10_exact_dedup)
     return {query.__name__: query for query in named}
