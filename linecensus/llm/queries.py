@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linecensus.llm.exact_dedup import op10_exact_dedup
 from linecensus.llm.sharding import op4_histogram_sharding
+from linecensus.llm.token_counts import op5_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    named = (op4_histogram_sharding, op10_exact_dedup)
+    named = (op4_histogram_sharding, op5_token_counts, op10_exact_dedup)
     return {query.__name__: query for query in named}
