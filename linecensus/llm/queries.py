@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linecensus.llm.exact_dedup import op10_exact_dedup
+from linecensus.llm.language_id import op7_language_id
 from linecensus.llm.sharding import op4_histogram_sharding
 from linecensus.llm.token_counts import op5_token_counts
 
@@ -14,5 +15,5 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    named = (op4_histogram_sharding, op5_token_counts, op10_exact_dedup)
+    named = (op4_histogram_sharding, op5_token_counts, op7_language_id, op10_exact_dedup)
     return {query.__name__: query for query in named}
