@@ -155,8 +155,8 @@ def _labelled(grouped: DataFrame) -> DataFrame:
 def _unequal(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame | None:
     """Hits whose full text differs from that of their group's document; None if there are none.
 
-    Texts are moved by locator, a unique key; the second join meets a large group with one row,
-    and adaptive execution may split it.
+    Texts are moved by locator, a unique key, by a merge join at every size; the second join meets a
+    large group with one row, and adaptive execution may split it.
     """
     hits = prints.join(groups.filter("group_size > 1"), "digest")
     hits = write_table(hits, "dedup-hits")
@@ -167,12 +167,12 @@ def _unequal(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame
     )
     same_row = (F.col("keep_file") == F.col("file")) & (F.col("keep_row") == F.col("row"))
     kept = hits.filter(same_row).select(*_LOCATOR)
-    kept = texts.join(kept, list(_LOCATOR)).select(
+    kept = texts.join(kept.hint("merge"), list(_LOCATOR)).select(
         F.col("file").alias("keep_file"),
         F.col("row").alias("keep_row"),
         F.col("content").alias("kept_content"),
     )
-    members = texts.join(hits.filter(~same_row), list(_LOCATOR))
+    members = texts.join(hits.filter(~same_row).hint("merge"), list(_LOCATOR))
     differing = members.join(kept, ["keep_file", "keep_row"]).filter("content <> kept_content")
     columns = ("doc_id", "digest", "chars", *_LOCATOR, "content")
     found = write_table(differing.select(*columns), "dedup-unequal")
