@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linecensus.llm.exact_dedup import op10_exact_dedup
+from linecensus.llm.html_extract import op6_html_extraction
 from linecensus.llm.language_id import op7_language_id
 from linecensus.llm.packing import op8_best_fit_packing
 from linecensus.llm.quality import op2_quality_classifier
@@ -18,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     named = (
-        op2_quality_classifier, op4_histogram_sharding, op5_token_counts, op7_language_id,
-        op8_best_fit_packing, op10_exact_dedup,
+        op2_quality_classifier, op4_histogram_sharding, op5_token_counts, op6_html_extraction,
+        op7_language_id, op8_best_fit_packing, op10_exact_dedup,
     )
     return {query.__name__: query for query in named}
