@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from linecensus.llm.exact_dedup import op10_exact_dedup
 from linecensus.llm.html_extract import op6_html_extraction
 from linecensus.llm.language_id import op7_language_id
+from linecensus.llm.near_dedup import op9_minhash_near_dedup
 from linecensus.llm.packing import op8_best_fit_packing
 from linecensus.llm.quality import op2_quality_classifier
 from linecensus.llm.sharding import op4_histogram_sharding
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     named = (
         op2_quality_classifier, op4_histogram_sharding, op5_token_counts, op6_html_extraction,
-        op7_language_id, op8_best_fit_packing, op10_exact_dedup,
+        op7_language_id, op8_best_fit_packing, op9_minhash_near_dedup,
+        op10_exact_dedup,
     )
     return {query.__name__: query for query in named}
