@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linecensus.llm.decontaminate import op1_benchmark_decontamination
 from linecensus.llm.exact_dedup import op10_exact_dedup
 from linecensus.llm.html_extract import op6_html_extraction
 from linecensus.llm.language_id import op7_language_id
@@ -20,7 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     named = (
-        op2_quality_classifier, op4_histogram_sharding, op5_token_counts, op6_html_extraction,
+        op1_benchmark_decontamination, op2_quality_classifier, op4_histogram_sharding,
+        op5_token_counts, op6_html_extraction,
         op7_language_id, op8_best_fit_packing, op9_minhash_near_dedup,
         op10_exact_dedup,
     )
