@@ -12,6 +12,7 @@ from linecensus.llm.html_extract import op6_html_extraction
 from linecensus.llm.language_id import op7_language_id
 from linecensus.llm.near_dedup import op9_minhash_near_dedup
 from linecensus.llm.packing import op8_best_fit_packing
+from linecensus.llm.pii import op3_pii_boosting
 from linecensus.llm.quality import op2_quality_classifier
 from linecensus.llm.sharding import op4_histogram_sharding
 from linecensus.llm.token_counts import op5_token_counts
@@ -21,8 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     named = (
-        op1_benchmark_decontamination, op2_quality_classifier, op4_histogram_sharding,
-        op5_token_counts, op6_html_extraction,
+        op1_benchmark_decontamination, op2_quality_classifier, op3_pii_boosting,
+        op4_histogram_sharding, op5_token_counts, op6_html_extraction,
         op7_language_id, op8_best_fit_packing, op9_minhash_near_dedup,
         op10_exact_dedup,
     )
