@@ -1,12 +1,70 @@
-"""From raw documents to packed training sequences, one written stage after another."""
+"""From raw documents to packed training sequences, one written stage after another.
+
+Every stage but the last returns rows of `documents` with their columns; each reads all that the one before
+kept. Rows without a `doc_id` cannot be named by the stages that drop by identifier (near duplicates
+and contamination); they stay there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linecensus.llm.common import located
+from linecensus.llm.decontaminate import contaminated
+from linecensus.llm.exact_dedup import exact_dedup
+from linecensus.llm.language_id import UNDETERMINED, identify, labelled_sample, train
+from linecensus.llm.near_dedup import near_duplicates
+from linecensus.llm.packing import pack_documents
 from linecensus.session import write_table
 
-STAGES: list = []
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; empty ones and those without a letter go."""
+    found = identify(docs, train(labelled_sample(docs)), docs.columns)
+    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts; rows are dropped by their place, not their identifier."""
+    docs = located(docs)
+    dropped = exact_dedup(docs).filter(~F.col("kept"))
+    dropped = dropped.select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    placed = docs.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    )
+    return placed.join(dropped.hint("merge"), ["__file", "__row"], "left_anti").select(*docs.columns)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` without the identifiers of `dropped`, by a merge join at every size."""
+    named = dropped.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    return docs.join(named.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest identifier of each near-duplicate class."""
+    return _without(docs, near_duplicates(docs).filter("doc_id <> class_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, contaminated(docs, benchmark))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the remaining documents with their sequence and offset."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("exact_dedup", drop_exact_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack_sequences),
+]
 
 # Language identification, near-duplicate detection and packing cannot be stated in SQL.
 ORACLE_SQL = None
@@ -15,6 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`; each is written as Parquet and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    *filters, (_, last) = STAGES
+    for name, stage in filters:
         docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return last(spark, docs, sf_dir)
