@@ -13,8 +13,10 @@ range of numbers of each of its lengths, so that every piece finds its sequence
 search in a table that the executors share.
 
 Tokenising: the word tokenizer never joins characters across white space, so the ids of a text are
-those of its white-space separated chunks, which workers remember. Texts with special tokens or
-control characters that count as white space in one library only are encoded whole.
+those of its white-space separated chunks, which workers remember; a new chunk of Latin letters and
+punctuation after them is put together from its two parts, which are tokens of their own and
+remembered too. Texts with special tokens or control characters that count as white space in one
+library only are encoded whole, and so is everything if a tokenizer does not split this way.
 
 - A null text counts as empty; an empty text is the end id alone.
 - A document longer than the capacity is cut into full pieces and a last one; nothing is dropped.
@@ -27,7 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,12 +40,23 @@ from linecensus.session import write_table
 
 CAPACITY = 4096
 END_ID = 1
-# Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+# Distinct chunks, and parts of chunks, in each of the two generations that a worker remembers.
+REMEMBERED_CHUNKS, REMEMBERED_PARTS = 300_000, 250_000
 # The pieces of one length are numbered in this many parts.
 SALTS = 32
 _ID_BYTES = 4
-_ENCODE_WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+# Letters of Latin-1, then ASCII punctuation without the apostrophe and angle brackets.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
+# How byte-level models show the bytes of UTF-8 letters that are no printable Latin-1 characters.
+_HIDDEN_BYTES = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
+_BYTE_LETTERS = {byte: 256 + n for n, byte in enumerate(_HIDDEN_BYTES)}
+# Texts on which a tokenizer shows whether it splits as described above.
+_PROBES = ("Une élève, naïve;  STRASSE straße!! a|b\nÀ ÿ.", "The end... *** (x) über&co $1 don't", "ÃÐÑÞßàíøðþ ïŷ")
+_ENCODE_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def default_tokenizer() -> str:
@@ -52,30 +65,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """Ids of chunks without white space, as little-endian 32-bit numbers."""
+class Remembered(dict):
+    """Values made once; when there are `limit`, those not met again until the next time go."""
+
+    def __init__(self, limit: int, make: Callable[[str], bytes]):
+        self.limit, self.make, self.older = limit, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Encoder:
+    """Ids of texts as little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[chunk] = self.whole(chunk)
-        return ids
+        self.chunks = Remembered(REMEMBERED_CHUNKS, self._chunk)
+        self.parts = Remembered(REMEMBERED_PARTS, self._part)
+        self.words = Remembered(REMEMBERED_PARTS, self._word)
+        self.splits = all(
+            b"".join(map(self._chunk, text.split())) == self.whole(text) for text in _PROBES
+        )
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if parts := _WORD_AND_MARKS.fullmatch(chunk):
+            word, marks = parts.groups()
+            return self.words[word.lower()] + (self.parts[marks] if marks else b"")
+        return self.parts[chunk]
+
+    def _part(self, part: str) -> bytes:
+        return self.whole(part)
+
+    def _word(self, word: str) -> bytes:
+        """A lower-case word of Latin-1 letters is one token sequence of the byte-level model."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return _packed([token.id for token in self.tokenizer.model.tokenize(shown)])
 
     def encode(self, text: str) -> Iterator[bytes]:
-        if _ENCODE_WHOLE.search(text):
+        if not self.splits or any(mark in text for mark in _ENCODE_WHOLE):
             yield self.whole(text)
             return
         for block in blocks(text):
-            yield b"".join(map(self.__getitem__, block.split()))
+            yield b"".join(map(self.chunks.__getitem__, block.split()))
 
     def pieces(self, text: str, capacity: int) -> Iterator[bytes]:
         """The ids of a document, with the end id, cut at the capacity."""
