@@ -80,7 +80,11 @@ def windows(table: DataFrame, key: str) -> DataFrame:
 
 def benchmark_index(benchmark: DataFrame) -> DataFrame:
     """`(item_id, at, hash, n_windows)` of the windows that say enough."""
-    split = benchmark.select("item_id", words(canonical(F.col("text"))).alias("words"))
+    # An item put inside a sentence has its first word read as a name, if it is capitalised.
+    inside = words(canonical(F.concat(F.lit("x, "), F.coalesce("text", F.lit("")))))
+    split = benchmark.select(
+        "item_id", words(canonical(F.col("text"))).alias("words"), F.slice(inside, 2, WINDOW).alias("inside")
+    )
     split = write_table(split.filter(F.size("words") >= WINDOW), "benchmark-words")
     every = F.transform(
         F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.slice("words", i, WINDOW)
@@ -88,6 +92,10 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
     found = split.select(
         "item_id", (F.size("words") - (WINDOW - 1)).alias("n_windows"), F.posexplode(every).alias("at", "window")
     )
+    begun = split.filter(F.col("inside") != F.slice("words", 1, WINDOW))
+    n_windows = (F.size("words") - (WINDOW - 1)).alias("n_windows")
+    begun = begun.select("item_id", n_windows, F.lit(0).alias("at"), F.col("inside").alias("window"))
+    found = found.unionByName(begun)
     plain = F.size(F.filter("window", lambda word: ~_is_slot(word)))
     return found.filter(plain >= PLAIN).select("item_id", "n_windows", "at", F.xxhash64("window").alias("hash"))
 

@@ -104,8 +104,9 @@ class Model:
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
     """Transition table (states x classes) of all substrings of `text`.
 
-    An entry is the next state, or the complement of the state after restarting with the letter.
-    The last class is padding and leaves every state as it is.
+    An entry is the next state, or the complement of the state after restarting with the letter. A
+    letter that the text lacks is a phrase of its own, which has the last state. The last class is
+    padding and leaves every state as it is.
     """
     following: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -133,14 +134,16 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[current] = copy
         last = current
-    restart = np.full(width, ~0, np.int64)
+    unknown = len(following)
+    restart = np.full(width, ~unknown, np.int64)
     for letter, state in following[0].items():
         restart[letter] = ~state
-    table = np.tile(restart, (len(following), 1))
+    table = np.tile(restart, (unknown + 1, 1))
+    table[0] = unknown
     for state, edges in enumerate(following):
         for letter, to in edges.items():
             table[state, letter] = to
-    table[:, -1] = np.arange(len(following))
+    table[:, -1] = np.arange(unknown + 1)
     return table
 
 

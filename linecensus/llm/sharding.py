@@ -29,7 +29,7 @@ from linecensus.session import write_table
 SHARDS = 40
 ROW_BYTES = 16
 # A boundary may be off by this part of a shard's share; within it, equal texts are not parted.
-TOLERANCE = 0.001
+TOLERANCE = 0.005
 # Widths of the digits of a key, from the top: 40 bits of the text, 23 bits of the identifier.
 DIGITS = (10, 10, 10, 10, 12, 11)
 KEY_BITS = sum(DIGITS)
@@ -76,8 +76,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
             for i in inside:
                 wanted = total * i / shards
                 at = next((k for k in range(len(buckets)) if ends[k + 1] > wanted), None)
-                if at is None:
-                    found[i] = (prefix + 1) << (shift + width)
+                if at is None:  # nothing lies above
+                    found[i] = (1 << KEY_BITS) - 1
                     continue
                 bucket = buckets[at][0]
                 off, edge = min((wanted - ends[at], bucket), (ends[at + 1] - wanted, bucket + 1))
