@@ -55,14 +55,20 @@ def ltrim_ws(text: Column) -> Column:
     return F.ltrim(text, F.lit(WHITESPACE))
 
 
-def find_token(text: Column, token: Column) -> Column:
-    """0-based byte position of `token`, NULL when absent; an empty token is at 0."""
+def find_token(text: Column, token: Column, bytewise: Column | None = None) -> Column:
+    """0-based byte position of `token`, NULL when absent; an empty token is at 0.
+
+    `bytewise` tells whether the text has one character per byte (see `is_bytewise`).
+    """
     position = F.position(token, text)
-    return F.when(token == "", 0).when(position > 0, F.octet_length(F.left(text, position - 1)))
+    before = F.octet_length(F.left(text, position - 1))
+    if bytewise is not None:
+        before = F.when(bytewise, position - 1).otherwise(before)
+    return F.when(token == "", 0).when(position > 0, before)
 
 
 def count_newlines(text: Column) -> Column:
-    return (F.size(F.split(text, "\n", -1)) - 1).cast("bigint")
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
 def split_lines(text: Column) -> Column:

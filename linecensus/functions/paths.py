@@ -43,3 +43,19 @@ def below(path: Column, base: Column) -> Column:
 def depth(folder: Column) -> Column:
     """Number of segments; 0 for the root ''."""
     return F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/")))
+
+
+def parent(path: Column) -> Column:
+    """Directory of the path; '' = the root."""
+    length = F.length(path) - F.length(file_name(path)) - 1
+    return F.when(length > 0, F.left(path, length)).otherwise("")
+
+
+# How bytes of a name that are not UTF-8 stand in a path. No name has a zero byte, so two names
+# never get the same path.
+ESCAPED = r"\x00[0-9a-f]+\x00"
+
+
+def readable(path: Column) -> Column:
+    """The path for people: a replacement character for bytes that are not UTF-8."""
+    return F.regexp_replace(path, ESCAPED, "\ufffd")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linecensus.functions import paths as P
 from linecensus.functions.globs import parse_rule
+from linecensus.session import write_table
 
 RULE_FIELDS = pa.schema(
     [
@@ -34,8 +35,7 @@ RULE_FIELDS = pa.schema(
 # Order of the sources: per-directory .ignore, .gitignore, repository exclude file, global file.
 RANK_GLOBAL, RANK_EXCLUDE, RANK_GITIGNORE, RANK_IGNORE = 1, 2, 3, 4
 
-# Rules are broadcast up to this many rows (a few MB); beyond it the join shuffles and adaptive
-# execution splits the partition of a directory that holds most files.
+# Rules are broadcast up to this many rows (a few MB); beyond it the join shuffles.
 BROADCAST_RULES = 20_000
 
 
@@ -110,52 +110,64 @@ def best_match(
     return F.array_compact(F.array(F.array_max(key)))
 
 
-def ignored_paths(manifest: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct `path` of the files that the rules drop.
+def _judged(path: Column, is_dir: Column) -> Column:
+    """Whether the rule that decides about a path ignores it; `levels` are its (base_dir, rules)."""
+    matches = F.transform(
+        "levels",
+        lambda level: best_match(
+            level["rules"], P.below(path, level["base_dir"]), is_dir, P.depth(level["base_dir"])
+        ),
+    )
+    return F.coalesce(~F.array_max(F.flatten(matches))["negated"], F.lit(False))
+
 
-    Files meet only the rules of their own ancestors (an equi-join on the directory), and every
-    group below is one file's matches, so its size is bounded by the depth of the path.
+def _entered_folders(manifest: DataFrame, rules: DataFrame) -> DataFrame:
+    """`(folder, levels)` of the folders with files that are not ignored, nor is any above them.
+
+    `levels` are the rules of the folder and its ancestors. Every folder is judged once, however many
+    files it has. The rules of the root, which hold for all, are added without a join key.
     """
-    path = F.col("path")
-    pairs = (
-        manifest.select("path", F.explode(P.ancestors(path)).alias("base_dir"))
-        .join(rules_by_dir(rules), "base_dir")
-    )
-    relative = P.below(path, F.col("base_dir"))
-    parts = F.split(relative, "/")
-    depth = P.depth(F.col("base_dir"))
-    pairs = pairs.select("path", "rules", parts.alias("parts"), depth.alias("base_depth"))
-    # Candidates: every directory between the rule's directory and the file, and the file.
-    candidates = pairs.select(
-        "path",
-        "rules",
-        "base_depth",
-        F.size("parts").alias("n_parts"),
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("parts")),
-                lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/"),
-            )
-        ).alias("n", "relative"),
+    grouped = rules_by_dir(rules)
+    root = grouped.filter("base_dir = ''").agg(
+        F.collect_list(F.struct("base_dir", "rules")).alias("root_levels")
     )
-    best = best_match(
-        F.col("rules"), F.col("relative"), F.col("n") < F.col("n_parts") - 1, F.col("base_depth")
-    )
-    level = (F.col("base_depth") + F.col("n")).alias("level")
-    matched = candidates.select("path", level, F.explode(best).alias("match"))
-    # Partitioned by path once; both groupings below keep that partitioning.
-    verdict = (
-        matched.repartition("path")
-        .groupBy("path", "level")
-        .agg(F.max("match").alias("match"))
-        .filter(~F.col("match.negated"))
-    )
-    return verdict.groupBy("path").agg(F.count("*").alias("n")).select("path")
+    folder = F.col("folder")
+    folders = manifest.select(P.parent(F.col("path")).alias("folder")).distinct()
+    # Every folder on the way, once.
+    way = F.array_append(P.ancestors(folder), folder)
+    folders = folders.select(F.explode(way).alias("folder")).distinct()
+    way = folders.filter("folder <> ''").select("folder", F.explode(way).alias("base_dir"))
+    levels = way.join(grouped.filter("base_dir <> ''"), "base_dir").groupBy("folder")
+    levels = levels.agg(F.collect_list(F.struct("base_dir", "rules")).alias("own_levels"))
+    # One row, the root's rules.
+    known = folders.join(levels, "folder", "left").crossJoin(F.broadcast(root))
+    none = F.array().cast(known.schema["root_levels"].dataType)
+    every = F.concat("root_levels", F.coalesce("own_levels", none))
+    known = write_table(known.select("folder", every.alias("levels")), "folder-rules")
+    # A folder's own rules say nothing about itself.
+    above = F.filter("levels", lambda level: level["base_dir"] != F.col("folder"))
+    ignored = known.filter("folder <> ''").withColumn("levels", above)
+    ignored = ignored.select("folder", F.explode(F.array(_judged(folder, F.lit(True)))).alias("ignored"))
+    ignored = write_table(ignored.filter("ignored").select("folder"), "ignored-folders")
+    if ignored.isEmpty():
+        return known
+    inside = way.join(ignored.withColumnRenamed("folder", "base_dir"), "base_dir").select("folder")
+    return write_table(known.join(inside.distinct(), "folder", "left_anti"), "entered-folders")
 
 
 def ignore_rules(manifest: DataFrame, rules: DataFrame) -> DataFrame:
-    """Manifest without the files that the rules drop."""
-    return manifest.join(ignored_paths(manifest, rules), "path", "left_anti")
+    """Manifest without the files that the rules drop.
+
+    A file meets the rules of its folder through an equi-join on the folder; both sides come
+    straight from an exchange, so adaptive execution can split a folder with most of the files.
+    """
+    entered = _entered_folders(manifest, rules).withColumnRenamed("folder", "_folder")
+    placed = manifest.join(entered, P.parent(F.col("path")) == F.col("_folder"))
+    # Through a generator of one row, so that the filter is not copied below the join.
+    judged = placed.select(
+        *manifest.columns, F.explode(F.array(_judged(F.col("path"), F.lit(False)))).alias("_ignored")
+    )
+    return judged.filter(~F.col("_ignored")).select(*manifest.columns)
 
 
 def excluded(path: Column, globs: Iterable[str], is_dir: bool = False) -> Column:

@@ -5,22 +5,36 @@ from __future__ import annotations
 import hashlib
 import os
 import time
-from collections.abc import Iterable
+import warnings
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linecensus.functions.paths import readable
 from linecensus.operators import detect as D
 from linecensus.operators import incremental as C
 from linecensus.operators import lines as O
 from linecensus.operators import stats as S
 from linecensus.session import posix_path, write_table
 from linecensus.sinks import cache_table, reports
-from linecensus.sources.content import PIECE_BYTES, count_files, read_errors
+from linecensus.sources.content import LONG_LINE_BYTES, PIECE_BYTES, count_files, read_errors
 from linecensus.sources.tree import scan_tree
 
 
+@contextmanager
+def _cache_errors_only_warn(what: str) -> Iterator[None]:
+    """A cache that cannot be used costs time, not the results of a run."""
+    try:
+        yield
+    except (OSError, PySparkException, Py4JError) as error:
+        warnings.warn(f"cache could not be {what}: {error}", stacklevel=3)
+
+
 @dataclass
 class Census:
     """Result of a run; `errors` and `reuse` are None for a table of files."""
@@ -37,10 +51,11 @@ class Census:
 
     def report(self, fmt: str = "table", files: bool = False) -> DataFrame:
         """Report lines in order; `files` adds the per-file part."""
-        if self.files.isEmpty() and (self.errors is None or self.errors.isEmpty()):
+        empty = self.files.isEmpty()
+        if empty and (self.errors is None or self.errors.isEmpty()):
             text = reports.NOTHING_FOUND.format(self.root)
             return self.files.sparkSession.createDataFrame([(text,)], "line string")
-        details = self.files if files else None
+        details = self.files if files and not empty else None
         built = reports.report(fmt, self.languages, self.elapsed_ms, self.errors, details)
         return reports.ordered(built)
 
@@ -66,6 +81,7 @@ def analyze_tree(
     cache_dir: str | None = None,
     mode: str = "reuse",
     piece_bytes: int = PIECE_BYTES,
+    long_line_bytes: int = LONG_LINE_BYTES,
 ) -> Census:
     """Count a directory or a single file.
 
@@ -82,20 +98,22 @@ def analyze_tree(
 
     cached = C.empty_cache(spark)
     if cache_dir and mode == "reuse":
-        cached = cache_table.load(spark, cache_dir, identity)
+        with _cache_errors_only_warn("read"):
+            cached = cache_table.load(spark, cache_dir, identity)
     # Written once: hits, misses and the hit rate all read it.
     probed = write_table(C.cache_probe(manifest, C.cache_mode(cached, mode)), "probed")
     misses = probed.filter(~F.col("hit")).drop("hit", "cached_language", "cached_stats")
-    counted = write_table(count_files(misses, base, piece_bytes), "counted")
-    readable = counted.filter(F.col("error").isNull()).drop("error")
+    counted = write_table(count_files(misses, base, piece_bytes, long_line_bytes), "counted")
+    counted_well = counted.filter(F.col("error").isNull()).drop("error")
     if cache_dir and mode != "fresh":
-        entries = C.cache_entries(readable, int(time.time()))
-        cache_table.save(spark, cache_dir, identity, entries, rebuild=mode == "rebuild")
+        entries = C.cache_entries(counted_well, int(time.time()))
+        with _cache_errors_only_warn("saved"):
+            cache_table.save(spark, cache_dir, identity, entries, rebuild=mode == "rebuild")
 
     columns = ("root_id", "path", "mtime", "size", "language", *S.COUNTS)
-    combined = C.combine_results(C.cache_hits(probed), readable.select(*columns))
+    combined = C.combine_results(C.cache_hits(probed), counted_well.select(*columns))
     prefix = "" if base in ("", "/") else base.rstrip("/")
-    shown = F.concat(F.lit(prefix + "/"), F.col("path"))
+    shown = F.concat(F.lit(prefix + "/"), readable(F.col("path")))
     if os.path.isfile(root):
         shown = F.lit(root)
     files = combined.select(shown.alias("path"), "language", *S.COUNTS)

@@ -214,11 +214,12 @@ SELECT path, path || ': No such file or directory (os error 2)' AS message FROM
         "cache_probe": f"{_SNAPS} SELECT * FROM probe",
         "cache_misses": f"{_SNAPS} SELECT path, size, mtime FROM probe WHERE NOT hit",
         "cache_hit_rate": f"{_SNAPS} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (NOT hit) AS new_files, round(count(*) FILTER (hit) * 100.0 / count(*), 4) AS hit_rate FROM probe",
-        "cache_upsert": f"{_SNAPS} SELECT path, size, mtime FROM snap_new UNION ALL SELECT path, size, mtime FROM snap_old WHERE path NOT IN (SELECT path FROM snap_new)",
+        "cache_upsert": f"""{_SNAPS}, both_snaps AS (SELECT *, 1 AS cached_at FROM snap_new UNION ALL SELECT *, 0 FROM snap_old WHERE path NOT IN (SELECT path FROM snap_new))
+SELECT path, size, mtime, 'Rust' AS language, size % 100 AS lines, size AS bytes, cached_at::BIGINT AS cached_at FROM both_snaps""",
         "cache_cleanup": f"{_SNAPS} SELECT path, size, mtime FROM snap_old WHERE path IN (SELECT path FROM snap_new)",
         "cache_validate": f"{_SNAPS} SELECT path, size, mtime FROM snap_old WHERE size % 5 <> 0 AND size % 7 <> 0",
         "cache_modes": f"{_SNAPS} SELECT m AS mode, count(*) FILTER (hit AND m = 'reuse') AS hits, count(*) FILTER (NOT (hit AND m = 'reuse')) AS misses FROM probe, (VALUES ('reuse'), ('fresh'), ('rebuild')) v(m) GROUP BY m",
-        "combine_results": f"{_SNAPS} SELECT path, size, mtime, size % 100 AS lines FROM snap_new",
+        "combine_results": f"{_SNAPS} SELECT path, size, mtime, size % 100 + CASE WHEN hit THEN 1000 ELSE 0 END AS lines FROM probe",
         "root_id": "SELECT DISTINCT 'corpus/' || source AS root, md5('corpus/' || source) AS root_id FROM documents",
         "summary": f"{_CORPUS_ALL} SELECT files AS total_files, lines AS total_lines, code AS total_code, comments AS total_comments, blanks AS total_blanks, bytes AS total_bytes, 0::BIGINT AS error_count FROM total",
         "report_table": f"""{_CORPUS_ALL} SELECT unnest(['', repeat('=', 80), {_TABLE_ROW}, 'Language', 'Files', 'Lines', 'Code', 'Comments', 'Blanks'), repeat('-', 80), repeat('-', 80), '', '']) AS line
@@ -236,10 +237,19 @@ UNION ALL SELECT '    ' || {_FILE_JSON} || CASE WHEN path = (SELECT max(path) FR
         "error_sample": f"{missing} ORDER BY path LIMIT 5",
         "error_count": f"SELECT count(*) AS error_count FROM ({missing})",
         "scan_tree": f"{_CORPUS_ALL} SELECT path, language, size FROM corpus",
-        "read_content": f"{_CORPUS_ALL} SELECT path, strlen(content) AS size, md5(content) AS digest FROM corpus",
+        "read_content": f"{_CORPUS_ALL} SELECT path, strlen(content) AS size, 0::BIGINT AS \"offset\", md5(content) AS digest FROM corpus",
         "analyze_tree": language_stats,
-        "analyze_tree_rerun": f"{_CORPUS_ALL} SELECT *, 'first' AS run FROM language_stats UNION ALL SELECT *, 'second' FROM language_stats",
+        "analyze_tree_rerun": f"""{_CORPUS_ALL}, n AS (SELECT count(*) AS files_in_all FROM corpus)
+SELECT l.*, 'first' AS run, 0::BIGINT AS hits, files_in_all AS misses FROM language_stats l, n
+UNION ALL SELECT l.*, 'second', files_in_all, 0 FROM language_stats l, n""",
         "analyze_tree_pieces": language_stats,
+        "analyze_tree_long_lines": language_stats,
+        "scan_single": f"{_CORPUS_ALL} SELECT regexp_extract(path, '[^/]*$') AS path, language, size FROM corpus WHERE path = (SELECT min(path) FROM corpus)",
+        "follow_links": f"""{_CORPUS_ALL}, linked AS (
+SELECT path, regexp_extract(path, '^corpus/([^/]*)/', 1) AS folder, language, size FROM corpus),
+first_two AS (SELECT DISTINCT folder FROM linked ORDER BY folder LIMIT 2)
+SELECT path, language, size, followed FROM corpus, (VALUES (false), (true)) AS f(followed)
+UNION ALL SELECT 'link-' || substr(path, 8), language, size, true FROM linked WHERE folder IN (FROM first_two)""",
         "cache_sink": f"{_CORPUS_ALL} SELECT path, bytes AS size, language, lines FROM file_stats",
         "scan_tree_filtered": f"""{_CORPUS_ALL}, named AS (SELECT *, regexp_extract(path, '[^/]*$') AS file,
   regexp_extract(path, 'src([0-9]+)/', 1)::INT AS folder FROM corpus)

@@ -52,6 +52,10 @@ def _corpus_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.language_stats(_corpus_stats(spark, sf_dir))
 
 
+# Added to the lines of stored results in `combine_results`.
+STORED_MARK = 1000
+
+
 # Detection -----------------------------------------------------------------------------------
 
 
@@ -151,10 +155,14 @@ def ltrim_ws(spark, sf_dir):
 def find_token(spark, sf_dir):
     """Where the block end of the file's language first occurs in each line."""
     files = D.comment_syntax(_corpus(spark, sf_dir))
+    content = F.col("content")
     lines = files.select(
-        "path", "block_end", F.posexplode(N.split_lines(F.col("content"))).alias("line_no", "raw")
+        "path",
+        "block_end",
+        N.is_bytewise(content).alias("bytewise"),
+        F.posexplode(N.split_lines(N.as_text(content))).alias("line_no", "raw"),
     )
-    position = N.find_token(F.col("raw"), F.col("block_end"))
+    position = N.find_token(F.col("raw"), F.col("block_end"), F.col("bytewise"))
     return lines.select("path", "line_no", position.alias("position"))
 
 
@@ -247,7 +255,8 @@ def cache_hit_rate(spark, sf_dir):
 
 def cache_upsert(spark, sf_dir):
     new = C.cache_entries(_counted(_keyed(T.snap_new(spark, sf_dir))), cached_at=1)
-    return C.cache_upsert(_old_cache(spark, sf_dir), new).select("path", "size", "mtime")
+    columns = ("path", "size", "mtime", "language", "stats.lines", "stats.bytes", "cached_at")
+    return C.cache_upsert(_old_cache(spark, sf_dir), new).select(*columns)
 
 
 def cache_cleanup(spark, sf_dir):
@@ -280,6 +289,8 @@ def combine_results(spark, sf_dir):
     probed = write_table(_probed(spark, sf_dir), "probed")  # read for the hits and for the misses
     counted = _counted(probed.filter(~F.col("hit")))
     cached = C.cache_hits(probed)
+    # Stored counts are told apart from those counted now.
+    cached = cached.withColumn("lines", F.col("lines") + STORED_MARK)
     combined = C.combine_results(cached, counted.select(*cached.columns))
     return combined.select("path", "size", "mtime", "lines")
 
@@ -352,7 +363,7 @@ def scan_tree_filtered(spark, sf_dir):
 def read_content(spark, sf_dir):
     root = _corpus_tree(spark, sf_dir)
     read = CT.read_content(TR.scan_tree(spark, root), root)
-    return read.select("path", "size", F.md5("content").alias("digest"))
+    return read.select("path", "size", "offset", F.md5("content").alias("digest"))
 
 
 def analyze_tree(spark, sf_dir):
@@ -364,14 +375,43 @@ def analyze_tree_pieces(spark, sf_dir):
     return A.analyze_tree(spark, _corpus_tree(spark, sf_dir), piece_bytes=256).languages
 
 
+def analyze_tree_long_lines(spark, sf_dir):
+    """The same with lines over 64 bytes reduced while they are read, in files of several pieces."""
+    root = _corpus_tree(spark, sf_dir)
+    return A.analyze_tree(spark, root, piece_bytes=1024, long_line_bytes=64).languages
+
+
 def analyze_tree_rerun(spark, sf_dir):
-    """A first run that fills the cache and a second one that reads no file."""
+    """A first run that fills the cache and a second one that reads no file; hits of both."""
     root, cache = _corpus_tree(spark, sf_dir), scratch_path(spark, "cache")
-    first = A.analyze_tree(spark, root, cache_dir=cache).languages
-    second = A.analyze_tree(spark, root, cache_dir=cache).languages
-    return first.withColumn("run", F.lit("first")).unionByName(
-        second.withColumn("run", F.lit("second"))
-    )
+    runs = []
+    for name in ("first", "second"):
+        census = A.analyze_tree(spark, root, cache_dir=cache)
+        reuse = census.reuse.select("hits", "misses")
+        runs.append(census.languages.withColumn("run", F.lit(name)).crossJoin(F.broadcast(reuse)))
+    return runs[0].unionByName(runs[1])
+
+
+def scan_single(spark, sf_dir):
+    """The first file of the corpus tree as a single-file argument, filters notwithstanding."""
+    root = _corpus_tree(spark, sf_dir)
+    path = T.corpus(spark, sf_dir).agg(F.min("path")).first()[0]
+    found = TR.scan_tree(spark, f"{root}/{path}", exclude=["*"], languages=["C++"])
+    return found.select("path", "language", "size")
+
+
+def follow_links(spark, sf_dir):
+    """A tree with links to its folders, one back to the top: not followed, then followed."""
+    root = _corpus_tree(spark, sf_dir)
+    names = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct()
+    for name in sorted(row.source for row in names.collect())[:2]:
+        os.symlink(f"{root}/corpus/{name}", f"{root}/link-{name}")
+    os.symlink(root, f"{root}/corpus/back")
+    scans = []
+    for follow in (False, True):
+        found = TR.scan_tree(spark, root, follow_links=follow).select("path", "language", "size")
+        scans.append(found.withColumn("followed", F.lit(follow)))
+    return scans[0].unionByName(scans[1])
 
 
 def cache_sink(spark, sf_dir):
@@ -409,7 +449,8 @@ def queries() -> dict[str, Query]:
         files_by_size, cache_probe, cache_misses, cache_hit_rate, cache_upsert, cache_cleanup,
         cache_validate, cache_modes, combine_results, root_id, summary, report_table,
         report_files, report_csv, report_json, scan_tree, scan_tree_filtered, read_content,
-        analyze_tree, analyze_tree_pieces, analyze_tree_rerun, cache_sink, error_sample,
+        analyze_tree, analyze_tree_pieces, analyze_tree_long_lines, analyze_tree_rerun, scan_single,
+        follow_links, cache_sink, error_sample,
         error_count,
     )
     return {

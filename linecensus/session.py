@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -41,8 +42,9 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def posix_path(path: str) -> str:
-    """Plain path of a local or mounted folder (file: URIs allowed)."""
-    parsed = urlparse(path)
-    if parsed.scheme in ("", "file"):
-        return os.path.abspath(parsed.path) if parsed.scheme else path
-    raise ValueError(f"{path}: file trees are read through a mounted path, not {parsed.scheme}:")
+    """Plain path of a local or mounted folder (file: URIs allowed; a colon alone makes no URI)."""
+    if re.match("file:/", path):
+        return os.path.abspath(urlparse(path).path)
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*://", path):
+        raise ValueError(f"{path}: file trees are read through a mounted path")
+    return path

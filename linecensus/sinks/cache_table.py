@@ -1,7 +1,8 @@
 """Per-file results kept between runs as Parquet.
 
 `<cache_dir>/<root_id>/<number>-base` holds all entries, `<number>-delta` those of one later run, so
-a run writes in proportion to what changed. A run folder counts once its job has committed it.
+a run writes in proportion to what changed, and nothing when nothing did. A run folder counts once
+its job has committed it. The last two bases and what came after them are kept, older folders go.
 """
 
 from __future__ import annotations
@@ -45,12 +46,12 @@ def _current(folders: list[tuple[int, str, str, bool]]) -> list[str]:
     return paths
 
 
-def load(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
-    """Latest valid entry per path; no rows when there is no cache. Damaged files are skipped."""
+def load(spark: SparkSession, cache_dir: str, root: str, skip_damaged: bool = True) -> DataFrame:
+    """Latest valid entry per path; no rows when there is no cache."""
     paths = _current(_folders(spark, cache_dir, root))
     if not paths:
         return C.empty_cache(spark)
-    stored = spark.read.schema(_SCHEMA).option("ignoreCorruptFiles", "true").parquet(*paths)
+    stored = spark.read.schema(_SCHEMA).option("ignoreCorruptFiles", skip_damaged).parquet(*paths)
     stored = C.cache_validate(stored, root)
     if len(paths) == 1:
         return stored.drop("run")
@@ -63,6 +64,8 @@ def load(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
 def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, rebuild: bool) -> None:
     """Insert or overwrite `entries`; with `rebuild` they replace everything stored."""
     folders = _folders(spark, cache_dir, root)
+    if not rebuild and _current(folders) and entries.isEmpty():
+        return
     number = folders[-1][0] + 1 if folders else 0  # a run that failed keeps its number
     current = _current(folders)
     kind = "delta"
@@ -70,6 +73,16 @@ def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, reb
         kind = "base"
     elif len(current) > MAX_DELTAS:
         kind = "base"
-        entries = C.cache_upsert(load(spark, cache_dir, root), entries)
+        # A file that cannot be read now must not be lost for good.
+        entries = C.cache_upsert(load(spark, cache_dir, root, skip_damaged=False), entries)
     target = f"{cache_dir.rstrip('/')}/{root}/{number:08d}-{kind}"
     entries.withColumn("run", F.lit(number)).write.parquet(target)
+    _remove_superseded(spark, _folders(spark, cache_dir, root))
+
+
+def _remove_superseded(spark: SparkSession, folders: list[tuple[int, str, str, bool]]) -> None:
+    bases = [number for number, kind, _, committed in folders if kind == "base" and committed]
+    for number, _, path, _ in folders:
+        if len(bases) > 1 and number < bases[-2]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -15,6 +15,7 @@ from pyspark.sql import Window
 
 from linecensus.operators import stats as S
 
+# The texts, headings and widths of the reports below.
 NOTHING_FOUND = "No code files found in '{}'"
 
 _ERROR_SAMPLE = 5

@@ -15,6 +15,8 @@ def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if row["path"].startswith("/") or ".." in row["path"].split("/"):
+                    raise ValueError(f"{row['path']}: not a path below the root")
                 target = os.path.join(root, row["path"])
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 # A repeated task attempt replaces the file by the same content.

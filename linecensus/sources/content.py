@@ -1,7 +1,8 @@
 """Reading the files of a manifest and counting their lines.
 
-A file is read in pieces of at most `PIECE_BYTES` (longer only to finish the line at the end of a
-piece), so the work of one task is bounded even if one file holds most of the bytes.
+A file is read in pieces of at most `PIECE_BYTES` (a little longer to finish the line at the end of
+a piece), so the work of one task is bounded even if one file holds most of the bytes. A line over
+`LONG_LINE_BYTES` is reduced, while it is read, to a short line of the same class.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from linecensus.functions import lines as N
+from linecensus.functions.languages import LANGUAGES
+from linecensus.functions.long_lines import LongLine
 from linecensus.operators.lines import with_codes
 from linecensus.operators.stats import COUNTS
 
@@ -26,9 +29,13 @@ TASK_BYTES = 256 * 1024 * 1024
 MAX_TASKS = 100_000
 OPEN_COST_BYTES = 64 * 1024
 
+# Lines longer than this are reduced; files are read in blocks of this size too.
+LONG_LINE_BYTES = 1024 * 1024
+
 _BATCH_BYTES = 16 * 1024 * 1024
 _SCAN_BYTES = 64 * 1024
-_LARGEST_VALUE = 2**31 - 2**16
+
+_BLOCK_TOKENS = {language[1]: language[3:5] for language in LANGUAGES}
 
 
 def pack_by_size(manifest: DataFrame) -> DataFrame:
@@ -60,47 +67,90 @@ def _find_newline(file, start: int, stop: int | None) -> int | None:
     return None
 
 
-def _read_piece(name: bytes, offset: int, length: int | None) -> bytes:
+def _read_lines(
+    name: bytes, offset: int, length: int | None, language: str | None, long_line: int
+) -> bytes:
     """The lines that start in [offset, offset + length); length None = up to the end."""
     with open(name, "rb", buffering=0) as file:
-        start, end = offset, None
+        at, stop = offset, None if length is None else offset + length
         if offset:
-            stop = None if length is None else offset + length - 1
-            before = _find_newline(file, offset - 1, stop)
+            before = _find_newline(file, offset - 1, None if stop is None else stop - 1)
             if before is None:
                 return b""
-            start = before + 1
-        if length is not None:
-            last = _find_newline(file, offset + length - 1, None)
-            end = None if last is None else last + 1
-        if end is not None and end - start > _LARGEST_VALUE:
-            raise OSError(27, "line too long for one value")
-        file.seek(start)
-        parts = []
-        while end is None or start < end:
-            block = file.read(_BATCH_BYTES if end is None else end - start)
-            if not block:
-                break
+            at = before + 1
+        file.seek(at)
+        return b"".join(_lines_from(file, at, stop, _BLOCK_TOKENS.get(language, (None, None)), long_line))
+
+
+def _lines_from(file, at: int, stop: int | None, tokens: tuple, long_line: int) -> Iterator[bytes]:
+    """Lines from position `at` on that start before `stop`, the long ones reduced."""
+    held, reduced = b"", None  # what was read of the line that is not finished
+    while block := file.read(long_line):
+        ended = block.find(b"\n")
+        if ended < 0:
+            if reduced is None and len(held) + len(block) > long_line:
+                reduced = LongLine(*tokens)
+                reduced.feed(held)
+                held = b""
+            if reduced is None:
+                held += block
+            else:
+                reduced.feed(block)
+            at += len(block)
+            continue
+        if reduced is None:
+            yield held + block[: ended + 1]
+        else:
+            reduced.feed(block[:ended])
+            yield reduced.finish() + b"\n"
+        held, reduced = b"", None
+        ended += 1
+        if stop is not None and at + ended >= stop:
+            return
+        # Lines within a block are never long; those that start before `stop` end the piece.
+        last = block.rfind(b"\n") + 1
+        if stop is not None and stop <= at + last:
+            last = block.index(b"\n", stop - at - 1) + 1
+            yield block[ended:last]
+            return
+        yield block[ended:last]
+        held = block[last:]
+        at += len(block)
+    yield held if reduced is None else reduced.finish()
+
+
+def _read_bytes(name: bytes, offset: int, length: int | None) -> bytes:
+    """The bytes [offset, offset + length) as they are; length None = up to the end."""
+    with open(name, "rb", buffering=0) as file:
+        file.seek(offset)
+        parts, left = [], length
+        while left != 0 and (block := file.read(_BATCH_BYTES if left is None else left)):
             parts.append(block)
-            start += len(block)
-        content = b"".join(parts)
-        if len(content) > _LARGEST_VALUE:
-            raise OSError(27, "line too long for one value")
-        return content
+            left = None if left is None else left - len(block)
+        return b"".join(parts)
 
 
-def _reader(root: bytes):
+def _reader(root: bytes, long_line: int | None):
+    """Adds the content of pieces: reduced lines, or the bytes as they are without `long_line`."""
+
+    def content_of(columns: dict, i: int) -> bytes:
+        raw = columns["raw_path"][i]
+        name = os.path.join(root, columns["path"][i].encode("utf-8") if raw is None else raw)
+        piece = name, columns["offset"][i], columns["length"][i]
+        if not columns["size"][i]:
+            return b""
+        if long_line is None:
+            return _read_bytes(*piece)
+        return _read_lines(*piece, columns["language"][i], long_line)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.to_pydict()
             contents, errors, held, first = [], [], 0, 0
             for i in range(batch.num_rows):
-                raw = columns["raw_path"][i]
-                name = os.path.join(root, columns["path"][i].encode("utf-8") if raw is None else raw)
                 content, error = b"", None
                 try:
-                    if columns["size"][i]:
-                        content = _read_piece(name, columns["offset"][i], columns["length"][i])
+                    content = content_of(columns, i)
                 except OSError as failed:
                     reason = os.strerror(failed.errno) if failed.errno else str(failed)
                     error = f"{reason} (os error {failed.errno})"
@@ -118,25 +168,37 @@ def _reader(root: bytes):
     return read
 
 
-def _read(pieces: DataFrame, root: str) -> DataFrame:
+def _read(pieces: DataFrame, root: str, long_line: int | None) -> DataFrame:
     """Adds content and error to rows with path, raw_path, size, offset and length."""
     added = [StructField("content", BinaryType()), StructField("error", StringType())]
     schema = StructType([*pieces.schema.fields, *added])
-    return pack_by_size(pieces).mapInArrow(_reader(os.fsencode(root)), schema)
+    return pack_by_size(pieces).mapInArrow(_reader(os.fsencode(root), long_line), schema)
 
 
-def read_content(manifest: DataFrame, root: str) -> DataFrame:
-    """Manifest with `content` and `error`, one row per file; an unreadable file has an error."""
-    whole = manifest.withColumns(
-        {"offset": F.lit(0).cast("bigint"), "length": F.lit(None).cast("bigint")}
+def _pieces(manifest: DataFrame, piece_bytes: int) -> DataFrame:
+    """One row per piece, with `piece`, `offset` and `length` (NULL for the last one)."""
+    last = F.greatest(F.floor((F.col("size") - 1) / piece_bytes), F.lit(0)).cast("bigint")
+    return manifest.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).withColumns(
+        {
+            "offset": F.col("piece") * piece_bytes,
+            "length": F.when(F.col("piece") < last, F.lit(piece_bytes).cast("bigint")),
+        }
     )
-    return _read(whole, root).drop("offset", "length")
+
+
+def read_content(manifest: DataFrame, root: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Manifest with `offset`, `content` and `error`: one row per `piece_bytes` of a file.
+
+    The contents of a file, by offset, are its bytes; a file that cannot be read has an error.
+    """
+    return _read(_pieces(manifest, piece_bytes), root, None).drop("piece", "length")
 
 
 def read_errors(read: DataFrame) -> DataFrame:
     """path and message of the files that could not be read."""
     message = F.concat("path", F.lit(": "), "error")
-    return read.filter(F.col("error").isNotNull()).select("path", message.alias("message"))
+    # A file read in pieces has an error for each.
+    return read.filter(F.col("error").isNotNull()).select("path", message.alias("message")).distinct()
 
 
 def _counts(classes):
@@ -148,30 +210,27 @@ def _counts(classes):
     }
 
 
-def _count_whole(manifest: DataFrame, root: str) -> DataFrame:
+def _count_whole(manifest: DataFrame, root: str, long_line: int) -> DataFrame:
     """Files of one piece: read, classified and counted without a further shuffle."""
     keep = [c for c in manifest.columns if c != "raw_path"]
-    coded = with_codes(read_content(manifest, root), *keep, "error")
+    whole = manifest.withColumns(
+        {"offset": F.lit(0).cast("bigint"), "length": F.lit(None).cast("bigint")}
+    )
+    coded = with_codes(_read(whole, root, long_line), *keep, "error")
     classed = coded.select(*keep, "error", N.line_classes(F.col("codes")).alias("classes"))
     counts = [column.alias(name) for name, column in _counts(F.col("classes")).items()]
     return classed.select(*keep, *counts, F.col("size").alias("bytes"), "error")
 
 
-def _count_pieces(manifest: DataFrame, root: str, piece_bytes: int) -> DataFrame:
+def _count_pieces(manifest: DataFrame, root: str, piece_bytes: int, long_line: int) -> DataFrame:
     """Files of several pieces.
 
     A piece is reduced to its counts for both states it may start in and to the state it ends in;
     only those few numbers are shuffled and ordered per file.
     """
     keep = [c for c in manifest.columns if c != "raw_path"]
-    last = F.floor((F.col("size") - 1) / piece_bytes).cast("bigint")
-    pieces = manifest.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).withColumns(
-        {
-            "offset": F.col("piece") * piece_bytes,
-            "length": F.when(F.col("piece") < last, F.lit(piece_bytes).cast("bigint")),
-        }
-    )
-    coded = with_codes(_read(pieces, root), *keep, "piece", "error")
+    read = _read(_pieces(manifest, piece_bytes), root, long_line)
+    coded = with_codes(read, *keep, "piece", "error")
     classed = coded.select(
         *keep,
         "piece",
@@ -201,10 +260,15 @@ def _count_pieces(manifest: DataFrame, root: str, piece_bytes: int) -> DataFrame
     return summed.select(*keep, *COUNTS[:-1], F.col("size").alias("bytes"), "error")
 
 
-def count_files(manifest: DataFrame, root: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def count_files(
+    manifest: DataFrame,
+    root: str,
+    piece_bytes: int = PIECE_BYTES,
+    long_line_bytes: int = LONG_LINE_BYTES,
+) -> DataFrame:
     """Manifest with lines, code, comments, blanks, bytes and error per file."""
-    small = _count_whole(manifest.filter(F.col("size") <= piece_bytes), root)
+    small = _count_whole(manifest.filter(F.col("size") <= piece_bytes), root, long_line_bytes)
     large = manifest.filter(F.col("size") > piece_bytes)
     if large.isEmpty():
         return small
-    return small.unionByName(_count_pieces(large, root, piece_bytes))
+    return small.unionByName(_count_pieces(large, root, piece_bytes, long_line_bytes))

@@ -5,8 +5,9 @@ each lists its directories, and the sub-directories that survive the filters are
 So neither the driver nor one task ever walks a whole subtree, however lopsided the tree is, and
 ignored directories are not entered. Each level is written to the shared folder before the next.
 
-`path` is relative to the root. `raw_path` is NULL unless the name is not valid UTF-8; then it
-holds the bytes to open the file with and `path` a readable form.
+`path` is relative to the root and tells all files apart. `raw_path` is NULL unless the name is not
+valid UTF-8; then it holds the bytes to open the file with, and `path` has the undecodable ones in
+hexadecimal between zero bytes (see `paths.readable` for people).
 """
 
 from __future__ import annotations
@@ -75,11 +76,16 @@ def _rule_lines(path: bytes) -> list[str]:
         return []
 
 
-def _readable(raw: bytes) -> tuple[str, bytes | None]:
-    try:
-        return raw.decode("utf-8"), None
-    except UnicodeDecodeError:
-        return raw.decode("utf-8", "replace"), raw
+def _path_and_raw(raw: bytes) -> tuple[str, bytes | None]:
+    parts, rest = [], raw
+    while True:
+        try:
+            parts.append(rest.decode("utf-8"))
+            return "".join(parts), raw if len(parts) > 1 else None
+        except UnicodeDecodeError as error:
+            parts.append(rest[: error.start].decode("utf-8"))
+            parts.append(f"\0{rest[error.start : error.end].hex()}\0")
+            rest = rest[error.end :]
 
 
 def _rules_of(folder: bytes, path: str, names: set[bytes], prefix: str = "") -> Iterator[dict]:
@@ -124,7 +130,7 @@ def _entry_row(entry, parent: bytes, chain: list[str] | None, follow_links: bool
         info = entry.stat()  # of the target: a link to a file counts as that file
     except OSError:
         return None
-    path, raw_path = _readable(parent + b"/" + entry.name if parent else entry.name)
+    path, raw_path = _path_and_raw(parent + b"/" + entry.name if parent else entry.name)
     row = {"path": path, "raw_path": raw_path}
     if stat.S_ISREG(info.st_mode):
         return {"kind": "file", **row, "size": info.st_size, "mtime": info.st_mtime_ns // 10**9}
@@ -202,7 +208,7 @@ def _verdicts(entries: DataFrame, rules: DataFrame) -> DataFrame:
 def scan_single(spark: SparkSession, path: str) -> DataFrame:
     """Manifest of one file, relative to its folder: no filter but a known language applies."""
     info = os.stat(path)
-    readable, raw = _readable(os.fsencode(os.path.basename(path)))
+    readable, raw = _path_and_raw(os.fsencode(os.path.basename(path)))
     row = (readable, raw, info.st_size, info.st_mtime_ns // 10**9)
     manifest = spark.createDataFrame([row], "path string, raw_path binary, size bigint, mtime bigint")
     return D.detect_language(manifest).filter(D.is_code_file())

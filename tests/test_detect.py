@@ -52,3 +52,17 @@ def test_lookups_are_broadcast(spark):
     plan = D.detect_language(spark.range(1).select(F.lit("a.rs").alias("path")))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and "Exchange hash" not in text
+
+
+def test_tables_are_pinned():
+    """Literal values, as the statements that check the queries take the tables from the engine."""
+    from linecensus.functions import languages as L
+
+    assert (len(L.LANGUAGES), len(L.EXTENSIONS), len(L.FILENAMES)) == (51, 139, 7)
+    by_key = {row[0]: row for row in L.LANGUAGES}
+    assert by_key["rust"] == ("rust", "Rust", "//", "/*", "*/", "rs")
+    assert by_key["julia"] == ("julia", "Julia", "#", "#=", "=#", "jl jls")
+    assert by_key["fortran"] == ("fortran", "Fortran", "!", None, None, "f90 f95 f03")
+    assert by_key["lua"][2:5] == ("--", "--[[", "]]") and by_key["haskell"][2:5] == ("--", "{-", "-}")
+    assert by_key["html"][2:5] == (None, "<!--", "-->") and by_key["python"][2:5] == ("#", '"""', '"""')
+    assert dict(L.EXTENSIONS)["mm"] == "objectivec" and dict(L.EXTENSIONS)["tf"] == "unknown"

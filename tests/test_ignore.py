@@ -94,3 +94,17 @@ def test_malformed_globs():
     assert parse_rule("\\") is None and parse_rule("/") is None and parse_rule("#x") is None
     assert parse_rule("\\#x").pattern_regex == r"(?s)^(?:.*/)?#x\z"
     assert parse_rule("!a/").negated and parse_rule("!a/").dir_only
+
+
+def test_root_rules_need_no_join_key(spark, monkeypatch):
+    """Every file is below the root, so its rules must not be met through a key."""
+    monkeypatch.setattr(I, "BROADCAST_RULES", 0)
+    manifest = spark.range(200).selectExpr("concat('d', id % 3, '/f', id, '.rs') AS path")
+    rules = I.parse_rules(spark, ["*1.rs"]).unionByName(I.parse_rules(spark, ["*2.rs"], base_dir="d2"))
+    kept = I.ignore_rules(manifest, rules)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(base_dir" not in plan
+    expected = {
+        f"d{i % 3}/f{i}.rs" for i in range(200) if i % 10 != 1 and not (i % 3 == 2 and i % 10 == 2)
+    }
+    assert {r.path for r in kept.collect()} == expected

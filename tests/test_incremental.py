@@ -162,3 +162,26 @@ def test_second_granular_times_can_give_a_false_hit(spark, tmp_path):
         census = analyze_tree(spark, str(root), cache_dir=where)
     row = census.files.first()
     assert (row.code, row.comments) == (1, 0)  # still the counts of the first text
+
+
+def test_unchanged_runs_write_nothing_and_old_folders_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CA, "MAX_DELTAS", 2)
+    root, cache = tmp_path / "root", tmp_path / "cache"
+    root.mkdir()
+    for run in range(9):
+        (root / f"f{run}.rs").write_text("x\n" * (run + 1))
+        for _ in range(2):  # the second time there is nothing new
+            assert analyze_tree(spark, str(root), cache_dir=str(cache)).files.count() == run + 1
+    (kept,) = [os.listdir(cache / name) for name in os.listdir(cache)]
+    numbers = sorted(int(name.split("-")[0]) for name in kept)
+    assert numbers == list(range(numbers[0], 9))  # one folder per run with something new
+    assert sum(name.endswith("base") for name in kept) == 2
+
+
+def test_a_cache_that_cannot_be_used_does_not_end_the_run(spark, tmp_path):
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root/a.rs").write_text("x\n")
+    (tmp_path / "file").write_text("not a folder")
+    with pytest.warns(UserWarning, match="cache could not be"):
+        census = analyze_tree(spark, str(tmp_path / "root"), cache_dir=str(tmp_path / "file"))
+    assert census.files.first().lines == 1
