@@ -110,48 +110,61 @@ def best_match(
     return F.array_compact(F.array(F.array_max(key)))
 
 
-def _judged(path: Column, is_dir: Column) -> Column:
-    """Whether the rule that decides about a path ignores it; `levels` are its (base_dir, rules)."""
+def decided(path: Column, is_dir: Column, repo_depth: Column | None = None) -> Column:
+    """`negated` of the rule that decides about a path, NULL when none matches.
+
+    Reads `levels` (see `rule_levels`); to be used through a generator of one row.
+    """
     matches = F.transform(
         "levels",
         lambda level: best_match(
-            level["rules"], P.below(path, level["base_dir"]), is_dir, P.depth(level["base_dir"])
+            level["rules"], P.below(path, level["base_dir"]), is_dir, P.depth(level["base_dir"]), repo_depth
         ),
     )
-    return F.coalesce(~F.array_max(F.flatten(matches))["negated"], F.lit(False))
+    return F.array_max(F.flatten(matches))["negated"]
 
 
-def _entered_folders(manifest: DataFrame, rules: DataFrame) -> DataFrame:
-    """`(folder, levels)` of the folders with files that are not ignored, nor is any above them.
+def rule_levels(folders: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct `folder`s with `levels`: `(base_dir, rules)` of the folder and its ancestors.
 
-    `levels` are the rules of the folder and its ancestors. Every folder is judged once, however many
-    files it has. The rules of the root, which hold for all, are added without a join key.
+    The rules of the root, which hold for all, are added without a join key.
     """
     grouped = rules_by_dir(rules)
     root = grouped.filter("base_dir = ''").agg(
         F.collect_list(F.struct("base_dir", "rules")).alias("root_levels")
     )
     folder = F.col("folder")
-    folders = manifest.select(P.parent(F.col("path")).alias("folder")).distinct()
-    # Every folder on the way, once.
-    way = F.array_append(P.ancestors(folder), folder)
-    folders = folders.select(F.explode(way).alias("folder")).distinct()
-    way = folders.filter("folder <> ''").select("folder", F.explode(way).alias("base_dir"))
+    way = folders.filter("folder <> ''").select(
+        "folder", F.explode(F.array_append(P.ancestors(folder), folder)).alias("base_dir")
+    )
     levels = way.join(grouped.filter("base_dir <> ''"), "base_dir").groupBy("folder")
     levels = levels.agg(F.collect_list(F.struct("base_dir", "rules")).alias("own_levels"))
     # One row, the root's rules.
     known = folders.join(levels, "folder", "left").crossJoin(F.broadcast(root))
     none = F.array().cast(known.schema["root_levels"].dataType)
     every = F.concat("root_levels", F.coalesce("own_levels", none))
-    known = write_table(known.select("folder", every.alias("levels")), "folder-rules")
+    return known.select("folder", every.alias("levels"))
+
+
+def _entered_folders(manifest: DataFrame, rules: DataFrame) -> DataFrame:
+    """`(folder, levels)` of the folders with files that are not ignored, nor is any above them.
+
+    Every folder is judged once, however many files it has.
+    """
+    folder = F.col("folder")
+    folders = manifest.select(P.parent(F.col("path")).alias("folder")).distinct()
+    way = F.explode(F.array_append(P.ancestors(folder), folder))
+    folders = folders.select(way.alias("folder")).distinct()
+    known = write_table(rule_levels(folders, rules), "folder-rules")
     # A folder's own rules say nothing about itself.
     above = F.filter("levels", lambda level: level["base_dir"] != F.col("folder"))
-    ignored = known.filter("folder <> ''").withColumn("levels", above)
-    ignored = ignored.select("folder", F.explode(F.array(_judged(folder, F.lit(True)))).alias("ignored"))
-    ignored = write_table(ignored.filter("ignored").select("folder"), "ignored-folders")
+    negated = F.explode(F.array(decided(folder, F.lit(True)))).alias("negated")
+    ignored = known.filter("folder <> ''").withColumn("levels", above).select("folder", negated)
+    ignored = write_table(ignored.filter(~F.col("negated")).select("folder"), "ignored-folders")
     if ignored.isEmpty():
         return known
-    inside = way.join(ignored.withColumnRenamed("folder", "base_dir"), "base_dir").select("folder")
+    ways = known.filter("folder <> ''").select("folder", way.alias("base_dir"))
+    inside = ways.join(ignored.withColumnRenamed("folder", "base_dir"), "base_dir").select("folder")
     return write_table(known.join(inside.distinct(), "folder", "left_anti"), "entered-folders")
 
 
@@ -164,10 +177,9 @@ def ignore_rules(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     entered = _entered_folders(manifest, rules).withColumnRenamed("folder", "_folder")
     placed = manifest.join(entered, P.parent(F.col("path")) == F.col("_folder"))
     # Through a generator of one row, so that the filter is not copied below the join.
-    judged = placed.select(
-        *manifest.columns, F.explode(F.array(_judged(F.col("path"), F.lit(False)))).alias("_ignored")
-    )
-    return judged.filter(~F.col("_ignored")).select(*manifest.columns)
+    negated = F.explode(F.array(decided(F.col("path"), F.lit(False)))).alias("_negated")
+    judged = placed.select(*manifest.columns, negated)
+    return judged.filter(F.coalesce("_negated", F.lit(True))).select(*manifest.columns)
 
 
 def excluded(path: Column, globs: Iterable[str], is_dir: bool = False) -> Column:

@@ -221,11 +221,21 @@ SELECT path, size, mtime, 'Rust' AS language, size % 100 AS lines, size AS bytes
         "cache_modes": f"{_SNAPS} SELECT m AS mode, count(*) FILTER (hit AND m = 'reuse') AS hits, count(*) FILTER (NOT (hit AND m = 'reuse')) AS misses FROM probe, (VALUES ('reuse'), ('fresh'), ('rebuild')) v(m) GROUP BY m",
         "combine_results": f"{_SNAPS} SELECT path, size, mtime, size % 100 + CASE WHEN hit THEN 1000 ELSE 0 END AS lines FROM probe",
         "root_id": "SELECT DISTINCT 'corpus/' || source AS root, md5('corpus/' || source) AS root_id FROM documents",
-        "summary": f"{_CORPUS_ALL} SELECT files AS total_files, lines AS total_lines, code AS total_code, comments AS total_comments, blanks AS total_blanks, bytes AS total_bytes, 0::BIGINT AS error_count FROM total",
+        "summary": f"{_CORPUS_ALL} SELECT files AS total_files, lines AS total_lines, code AS total_code, comments AS total_comments, blanks AS total_blanks, bytes AS total_bytes, 2000::BIGINT AS elapsed_ms, 3::BIGINT AS error_count, round(files / 2.0, 4) AS files_per_sec, round(lines / 2.0, 4) AS lines_per_sec FROM total",
         "report_table": f"""{_CORPUS_ALL} SELECT unnest(['', repeat('=', 80), {_TABLE_ROW}, 'Language', 'Files', 'Lines', 'Code', 'Comments', 'Blanks'), repeat('-', 80), repeat('-', 80), '', '']) AS line
 UNION ALL SELECT {_TABLE_ROW}, name, files, lines, code, comments, blanks) FROM language_stats
 UNION ALL SELECT unnest([{_TABLE_ROW}, 'Total', files, lines, code, comments, blanks), repeat('=', 80), ' Statistics completed in 0.000s (inf files/s, inf lines/s)']) FROM total""",
         "report_files": f"{_CORPUS_ALL} {_FILE_LINES}",
+        "report_full": f"""{_CORPUS_ALL}, {_EVENT_PATHS}, d AS {_detect('event_paths')},
+errors AS (SELECT path, row_number() OVER (ORDER BY path) AS n, path || ': No such file or directory (os error 2)' AS message FROM d WHERE language <> 'Unknown'),
+n_errors AS (SELECT count(*) AS n FROM errors)
+SELECT unnest(['', repeat('=', 80), {_TABLE_ROW}, 'Language', 'Files', 'Lines', 'Code', 'Comments', 'Blanks'), repeat('-', 80), repeat('-', 80), '', '', '']) AS line
+UNION ALL SELECT {_TABLE_ROW}, name, files, lines, code, comments, blanks) FROM language_stats
+UNION ALL SELECT unnest([{_TABLE_ROW}, 'Total', files, lines, code, comments, blanks), repeat('=', 80),
+  format(' Statistics completed in 2.000s ({{:.0f}} files/s, {{:.0f}} lines/s)', round_even(files / 2.0, 0), round_even(lines / 2.0, 0))]) FROM total
+UNION ALL SELECT unnest([format(' {{}} errors occurred:', n), format('   ... and {{}} more', n - 5)]) FROM n_errors
+UNION ALL SELECT format('   {{}}. {{}}', n, message) FROM errors WHERE n <= 5
+UNION ALL {_FILE_LINES}""",
         "report_csv": f"""{_CORPUS_ALL} SELECT unnest(['Type,Name,Files,Lines,Code,Comments,Blanks,Bytes', '', 'File,Language,Lines,Code,Comments,Blanks,Bytes']) AS line
 UNION ALL SELECT concat_ws(',', 'Language', name, files, {_STATS}) FROM language_stats
 UNION ALL SELECT concat_ws(',', 'Total', 'Total', files, {_STATS}) FROM total

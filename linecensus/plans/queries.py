@@ -305,14 +305,23 @@ def root_id(spark, sf_dir):
 
 
 def summary(spark, sf_dir):
-    timing = ("elapsed_ms", "files_per_sec", "lines_per_sec")
-    return R.summary(_corpus_languages(spark, sf_dir)).drop(*timing)
+    """Totals with a given number of errors and a given time, and the rates."""
+    found = R.summary(_corpus_languages(spark, sf_dir), error_count=3, elapsed_ms=2000)
+    rates = {name: F.round(name, 4) for name in ("files_per_sec", "lines_per_sec")}
+    return found.withColumns(rates)
 
 
 def report_table(spark, sf_dir):
     return R.ordered(R.report_table(_corpus_languages(spark, sf_dir)))
 
 
+def report_full(spark, sf_dir):
+    """The table with all sections: errors of files that are not there, files, and the rates of two seconds."""
+    stats = write_table(_corpus_stats(spark, sf_dir), "stats")
+    errors = write_table(_unreadable(spark, sf_dir), "errors")
+    return R.ordered(R.report_table(S.language_stats(stats), 2000, errors, stats))
+
+
 def report_files(spark, sf_dir):
     return R.ordered(R.report_files(_corpus_stats(spark, sf_dir)))
 
@@ -447,7 +456,7 @@ def queries() -> dict[str, Query]:
         classify_lines_html, classify_lines_corpus, block_state, language_stats_html,
         grand_total_rollup, merge_stats, langs_by_code, langs_by_files, files_by_path,
         files_by_size, cache_probe, cache_misses, cache_hit_rate, cache_upsert, cache_cleanup,
-        cache_validate, cache_modes, combine_results, root_id, summary, report_table,
+        cache_validate, cache_modes, combine_results, root_id, summary, report_table, report_full,
         report_files, report_csv, report_json, scan_tree, scan_tree_filtered, read_content,
         analyze_tree, analyze_tree_pieces, analyze_tree_long_lines, analyze_tree_rerun, scan_single,
         follow_links, cache_sink, error_sample,

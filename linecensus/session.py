@@ -34,6 +34,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/linecensus/{label}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove everything that runs have left in the shared folder; results read from it are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/linecensus")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and continue from the files: later stages re-read, they never recompute."""
     path = scratch_path(df.sparkSession, label)

@@ -188,21 +188,16 @@ def _outer_rules(root: str) -> tuple[list[tuple], int | None]:
     return rows, repo_depth
 
 
-def _verdicts(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """path, negated for the entries of one level that some rule matches."""
-    pairs = entries.select(
-        "path", "kind", "repo_depth", F.explode(P.ancestors(F.col("path"))).alias("base_dir")
-    ).join(I.rules_by_dir(rules), "base_dir")
-    match = I.best_match(
-        F.col("rules"),
-        P.below(F.col("path"), F.col("base_dir")),
-        F.col("kind") == "dir",
-        P.depth(F.col("base_dir")),
-        F.col("repo_depth"),
-    )
-    matched = pairs.select("path", F.explode(match).alias("match"))
-    best = matched.groupBy("path").agg(F.max("match").alias("match"))
-    return best.select("path", F.col("match.negated").alias("negated"))
+def _judged(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """The entries of one level with `negated` of the rule that decides about them, or NULL.
+
+    An entry meets the rules of its folder and the folders above in one row, by its parent.
+    """
+    parents = entries.select(P.parent(F.col("path")).alias("folder")).distinct()
+    levels = I.rule_levels(parents, rules).withColumnRenamed("folder", "_folder")
+    placed = entries.join(levels, P.parent(F.col("path")) == F.col("_folder"))
+    negated = I.decided(F.col("path"), F.col("kind") == "dir", F.col("repo_depth"))
+    return placed.select(*entries.columns, F.explode(F.array(negated)).alias("negated"))
 
 
 def scan_single(spark: SparkSession, path: str) -> DataFrame:
@@ -254,6 +249,8 @@ def scan_tree(
 
         new_rules = listed.filter("kind = 'rule'").select(*I.RULE_FIELDS.names)
         if not new_rules.isEmpty():
+            # Kept apart, so that no later level scans this one's listing for them.
+            new_rules = write_table(new_rules, "rules")
             rules = new_rules if rules is None else rules.unionByName(new_rules)
         entries = listed.filter("kind <> 'rule'").select(*_ENTRY_COLUMNS)
         if exclude:
@@ -265,9 +262,8 @@ def scan_tree(
             )
         if rules is not None:
             # A rule that takes an entry back also lifts the hidden-name filter for it.
-            judged = entries.join(_verdicts(entries, rules), "path", "left")
             keep = F.coalesce("negated", F.lit(hidden) | ~is_hidden)
-            entries = write_table(judged.filter(keep).drop("negated"), "entries")
+            entries = write_table(_judged(entries, rules).filter(keep).drop("negated"), "entries")
         elif not hidden:
             entries = entries.filter(~is_hidden)
 
