@@ -110,13 +110,15 @@ def best_match(
     return F.array_compact(F.array(F.array_max(key)))
 
 
-def decided(path: Column, is_dir: Column, repo_depth: Column | None = None) -> Column:
+def decided(
+    path: Column, is_dir: Column, repo_depth: Column | None = None, levels: Column | None = None
+) -> Column:
     """`negated` of the rule that decides about a path, NULL when none matches.
 
     Reads `levels` (see `rule_levels`); to be used through a generator of one row.
     """
     matches = F.transform(
-        "levels",
+        F.col("levels") if levels is None else levels,
         lambda level: best_match(
             level["rules"], P.below(path, level["base_dir"]), is_dir, P.depth(level["base_dir"]), repo_depth
         ),
@@ -149,23 +151,24 @@ def rule_levels(folders: DataFrame, rules: DataFrame) -> DataFrame:
 def _entered_folders(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     """`(folder, levels)` of the folders with files that are not ignored, nor is any above them.
 
-    Every folder is judged once, however many files it has.
+    A folder is judged once, however many files it has, from the rules in its own row.
     """
     folder = F.col("folder")
     folders = manifest.select(P.parent(F.col("path")).alias("folder")).distinct()
-    way = F.explode(F.array_append(P.ancestors(folder), folder))
-    folders = folders.select(way.alias("folder")).distinct()
-    known = write_table(rule_levels(folders, rules), "folder-rules")
-    # A folder's own rules say nothing about itself.
-    above = F.filter("levels", lambda level: level["base_dir"] != F.col("folder"))
-    negated = F.explode(F.array(decided(folder, F.lit(True)))).alias("negated")
-    ignored = known.filter("folder <> ''").withColumn("levels", above).select("folder", negated)
-    ignored = write_table(ignored.filter(~F.col("negated")).select("folder"), "ignored-folders")
-    if ignored.isEmpty():
-        return known
-    ways = known.filter("folder <> ''").select("folder", way.alias("base_dir"))
-    inside = ways.join(ignored.withColumnRenamed("folder", "base_dir"), "base_dir").select("folder")
-    return write_table(known.join(inside.distinct(), "folder", "left_anti"), "entered-folders")
+
+    def is_ignored(way: Column) -> Column:
+        # A folder's own rules say nothing about itself.
+        above = F.filter(
+            "levels",
+            lambda level: (level["base_dir"] == "") | way.startswith(F.concat(level["base_dir"], F.lit("/"))),
+        )
+        return F.coalesce(~decided(way, F.lit(True), levels=above), F.lit(False))
+
+    ways = F.filter(F.array_append(P.ancestors(folder), folder), lambda way: way != "")
+    known = rule_levels(folders, rules)
+    known = known.select("*", F.explode(F.array(F.exists(ways, is_ignored))).alias("ignored"))
+    # Written, so that files are joined to a scan and a folder with most of them can be split.
+    return write_table(known.filter(~F.col("ignored")).select("folder", "levels"), "entered-folders")
 
 
 def ignore_rules(manifest: DataFrame, rules: DataFrame) -> DataFrame:
