@@ -8,11 +8,13 @@ coordinates, and a coordinate keeps its earliest dart. Two documents agree in a
 the probability of their (weighted) Jaccard similarity. A document with an empty coordinate is thrown again
 with twice the bound; earlier darts stay the same, so signatures never depend on the bound.
 
-Coordinates are joined in bands. In every bucket of a band, members are paired with one leader
-only, which differs from band to band, so a bucket of any size gives a linear number of pairs; each pair
-is checked on the full shingles. Documents of one component need no further pairs: the next round
-takes new leaders in the buckets that still hold several components, and so on until a
-round finds no link. A pair at similarity 0.8 shares no bucket with probability 2e-5.
+Coordinates are joined in bands. In every bucket of a band, members are paired with a leader only:
+the first of its nodes in an order that is the same in all buckets of a round, so a bucket of any size
+gives a linear number of pairs, and a large group has the same few leaders in all its buckets. Each
+pair is checked on the full shingles. Documents of one component need no further pairs: the next
+round pairs new leaders, `LEADERS` to a bucket, with the members of other components in the buckets that still
+hold several, and so on until a round finds no link. A pair at similarity 0.8 shares no bucket with
+probability 2e-5; a bucket of up to `LEADERS` nodes is compared completely.
 
 Documents of equal shingle sets are one node from the start. Words are runs of letters, digits and
 underscores in lower case.
@@ -40,6 +42,8 @@ WORDS_PER_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 COORDINATES = BANDS * ROWS
+# Leaders per bucket after the first round.
+LEADERS = 8
 WORDS = re.compile(r"\w+")
 # Distinct words whose hashes a Python worker remembers.
 REMEMBERED = 300_000
@@ -234,44 +238,58 @@ def _occurrences(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """`(node, leader)` of buckets with several components: one leader per bucket, by chance.
+    """`(node, leader)` of different components in one bucket.
 
-    `members` is `(bucket, node, component)`. The order of nodes in a bucket is that of their ids
-    with bits flipped by a hash of the bucket, so a minimum of plain numbers gives the leader.
+    `members` is `(bucket, node, component)`. An order of nodes is that of their ids with bits flipped
+    by a hash of the turn, so minima of plain numbers give the leaders.
     """
-    flip = F.xxhash64("bucket", F.lit(turn))
-    leaders = members.groupBy("bucket").agg(
-        F.min(F.col("node").bitwiseXOR(flip)).alias("lowest"),
-        F.min("component").alias("first_component"),
-        F.max("component").alias("last_component"),
+    flips = [F.xxhash64(F.lit(turn), F.lit(i)) for i in range(LEADERS if turn else 1)]
+    lowest = [F.min(F.col("node").bitwiseXOR(flip)).alias(f"lowest{i}") for i, flip in enumerate(flips)]
+    leaders = [F.col(f"lowest{i}").bitwiseXOR(flip) for i, flip in enumerate(flips)]
+    leaders = members.groupBy("bucket").agg(*lowest).select(
+        "bucket", F.explode(F.array_distinct(F.array(*leaders))).alias("node")
     )
-    leaders = leaders.filter("first_component <> last_component")
-    leaders = write_table(
-        leaders.select("bucket", F.col("lowest").bitwiseXOR(flip).alias("leader")), "bucket-leaders"
+    leaders = members.join(leaders, ["bucket", "node"]).select(
+        "bucket", F.col("node").alias("leader"), F.col("component").alias("other")
     )
-    pairs = members.join(leaders, "bucket").filter("node <> leader")
-    return pairs.select("node", "leader").distinct()
+    leaders = write_table(leaders, "bucket-leaders")
+    apart = (members["bucket"] == leaders["bucket"]) & (F.col("component") != F.col("other"))
+    return members.join(leaders, apart).select("node", "leader").distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
-    """The pairs whose similarity, on full sets, reaches the threshold."""
-    wanted = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
-    wanted = write_table(wanted.join(sets.select("node", "set_key", "rep"), "node"), "paired-sets")
-    # One document of each set; texts are moved by their identifier, in a merge join at every size.
+def _between_components(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """`(bucket, node, component)` of the buckets that hold several components, written."""
+    members = buckets.join(labels, "node")
+    several = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    several = write_table(several.filter("a <> b").select("bucket"), "open-buckets")
+    return write_table(members.join(several, "bucket").select("bucket", "node", "component"), "members")
+
+
+def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
+    """`(node, elements)` of all nodes that share a bucket, made once from one document of each.
+
+    Texts are moved by their identifier, in a merge join at every size.
+    """
+    wanted = members.select("node").distinct().join(sets.select("node", "set_key", "rep"), "node")
+    wanted = write_table(wanted, "paired-sets")
     reps = wanted.select("rep").distinct()
     texts = docs.select("doc_id", "text").join(
         reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"
     )
+    # Several documents without an identifier, or with the same one, may give a set twice.
     found = shingle_sets(texts, weighted).join(wanted, "set_key")
-    full = write_table(found.select("node", "elements"), "shingle-sets")
+    return write_table(found.select("node", "elements"), "shingle-sets")
+
+
+def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs whose similarity, on full sets, reaches the threshold."""
     left = full.select("node", F.col("elements").alias("a"))
     right = full.select(F.col("node").alias("leader"), F.col("elements").alias("b"))
-    both = pairs.join(left, "node").join(right, "leader")
-    shared = F.size(F.array_intersect("a", "b"))
-    total = F.size("a") + F.size("b")
+    shared = F.size(F.array_intersect("a", "b")).alias("shared")
+    total = (F.size("a") + F.size("b")).alias("total")
+    measured = pairs.join(left, "node").join(right, "leader").select("node", "leader", shared, total)
     # shared / (total - shared) reaches the threshold
     is_link = F.col("shared") * (1 + SIMILARITY) >= SIMILARITY * F.col("total") - 1e-9
-    measured = both.select("node", "leader", shared.alias("shared"), total.alias("total"))
     return measured.filter(is_link).select("node", "leader").distinct()
 
 
@@ -308,24 +326,18 @@ def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
     signed = write_table(signatures(docs, weighted), "signatures")
     sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     sets = write_table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    buckets = sets.select("node", F.explode("bands").alias("bucket"))
     labels = sets.select("node", F.col("node").alias("component"))
-    # Buckets of one node are done before they start.
-    members = buckets.withColumn("component", F.col("node"))
+    members = _between_components(sets.select("node", F.explode("bands").alias("bucket")), labels)
+    full = _full_sets(members, docs, sets, weighted)
     turn = 0
     while True:
         pairs = write_table(_bucket_pairs(members, turn), "pairs")
-        if pairs.isEmpty():
-            break
-        links = write_table(_links(pairs, docs, sets, weighted), "links")
+        links = write_table(_links(pairs, full), "links")
         if links.isEmpty():
             break
         of = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
-        between = links.join(labels, "node").join(of, "leader").filter("component <> other")
+        between = links.join(labels, "node").join(of, "leader")
         between = between.select(F.col("component").alias("node"), F.col("other").alias("leader"))
-        between = write_table(between.distinct(), "component-links")
-        if between.isEmpty():
-            break
         merged = components(between).select(
             F.col("node").alias("component"), F.col("component").alias("merged")
         )
@@ -333,7 +345,7 @@ def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
             "node", F.coalesce("merged", "component").alias("component")
         )
         labels = write_table(labels, "components")
-        members = buckets.join(labels, "node")
+        members = _between_components(members.select("bucket", "node"), labels)
         turn += 1
     found = sets.join(labels, "node").select("set_key", "rep", "component")
     found = write_table(found, "set-components")
