@@ -8,13 +8,14 @@ coordinates, and a coordinate keeps its earliest dart. Two documents agree in a
 the probability of their (weighted) Jaccard similarity. A document with an empty coordinate is thrown again
 with twice the bound; earlier darts stay the same, so signatures never depend on the bound.
 
-Coordinates are joined in bands. In every bucket of a band, members are paired with a leader only:
-the first of its nodes in an order that is the same in all buckets of a round, so a bucket of any size
-gives a linear number of pairs, and a large group has the same few leaders in all its buckets. Each
-pair is checked on the full shingles. Documents of one component need no further pairs: the next
-round pairs new leaders, `LEADERS` to a bucket, with the members of other components in the buckets that still
-hold several, and so on until a round finds no link. A pair at similarity 0.8 shares no bucket with
-probability 2e-5; a bucket of up to `LEADERS` nodes is compared completely.
+Coordinates are joined in bands. In every bucket of a band, members are paired with leaders only, so
+a bucket of any size gives a linear number of pairs. The first leader is the node that meets most
+others in all its buckets: in a large group one near its middle. Pairs whose signatures agree in
+fewer than `AGREEMENT` of the coordinates go (at similarity 0.8 with probability 2e-8); the others are checked on
+the full shingles. Documents of one component need no further pairs: the next round pairs `LEADERS`
+leaders of each bucket that still holds several components with the members of others, and so on until a round
+finds no link. A pair at similarity 0.8 shares no bucket with probability 2e-5; a bucket of up to
+`LEADERS` nodes is compared completely.
 
 Documents of equal shingle sets are one node from the start. Words are runs of letters, digits and
 underscores in lower case.
@@ -43,7 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 COORDINATES = BANDS * ROWS
 # Leaders per bucket after the first round.
-LEADERS = 8
+LEADERS = 6
+AGREEMENT = 0.65
 WORDS = re.compile(r"\w+")
 # Distinct words whose hashes a Python worker remembers.
 REMEMBERED = 300_000
@@ -170,7 +172,10 @@ def _sets(texts, weighted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """`(doc_id, set_key, bands)`: a 128-bit digest of the (weighted) set and its bucket keys."""
+    """`(doc_id, set_key, bands, sketch)` of each document.
+
+    They are a 128-bit digest of the (weighted) set, its bucket keys and 16 bits of each coordinate.
+    """
 
     def sign(batches):
         import pyarrow as pa
@@ -180,11 +185,16 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
             weights = np.concatenate([w for _, w in block])
             owner = np.repeat(np.arange(len(block)), [len(e) for e, _ in block])
             keys = [_digest(*pair) for pair in block]
-            bands = band_keys(dart_signatures(elements, weights, owner, len(block)))
-            offsets = np.arange(0, bands.size + 1, BANDS, dtype=np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))
+            found = dart_signatures(elements, weights, owner, len(block))
+            rows = band_keys(found), (mixed(found) >> _U(48)).astype(np.uint16).view(np.int16)
+            lists = [
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())
+                )
+                for x in rows
+            ]
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys, pa.binary()), bands], ["doc_id", "set_key", "bands"]
+                [ids, pa.array(keys, pa.binary()), *lists], ["doc_id", "set_key", "bands", "sketch"]
             )
 
         for batch in batches:
@@ -199,7 +209,7 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 yield signed(block, ids.slice(first, len(block)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, set_key binary, bands array<bigint>"
+    schema = f"doc_id {kind}, set_key binary, bands array<bigint>, sketch array<smallint>"
     return docs.select("doc_id", "text").mapInArrow(sign, schema)
 
 
@@ -237,24 +247,37 @@ def _occurrences(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (every + nth.astype(_U) * _U(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
-def _bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """`(node, leader)` of different components in one bucket.
+def _bucket_pairs(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """`(node, leader)` of different components in one bucket whose signatures agree enough.
 
-    `members` is `(bucket, node, component)`. An order of nodes is that of their ids with bits flipped
-    by a hash of the turn, so minima of plain numbers give the leaders.
+    `members` is `(bucket, node, component)`. Leaders after the first are taken by chance, but in the
+    same order everywhere, so a node meets few different ones in all its buckets.
     """
-    flips = [F.xxhash64(F.lit(turn), F.lit(i)) for i in range(LEADERS if turn else 1)]
-    lowest = [F.min(F.col("node").bitwiseXOR(flip)).alias(f"lowest{i}") for i, flip in enumerate(flips)]
-    leaders = [F.col(f"lowest{i}").bitwiseXOR(flip) for i, flip in enumerate(flips)]
-    leaders = members.groupBy("bucket").agg(*lowest).select(
-        "bucket", F.explode(F.array_distinct(F.array(*leaders))).alias("node")
-    )
-    leaders = members.join(leaders, ["bucket", "node"]).select(
-        "bucket", F.col("node").alias("leader"), F.col("component").alias("other")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    met = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("met"))
+    chance = [F.xxhash64("node", F.lit(turn), F.lit(i)) for i in range(LEADERS if turn else 1)]
+    orders = [F.col("met") + F.pmod(chance[0], F.lit(1 << 20)) / (1 << 20), *chance[1:]]
+    firsts = F.arrays_zip(
+        F.array(*[F.max_by("node", order) for order in orders]).alias("leader"),
+        F.array(*[F.max_by("component", order) for order in orders]).alias("component"),
     )
+    leaders = members.join(met, "node").groupBy("bucket").agg(firsts.cast(_LEADER).alias("firsts"))
     leaders = write_table(leaders, "bucket-leaders")
-    apart = (members["bucket"] == leaders["bucket"]) & (F.col("component") != F.col("other"))
-    return members.join(leaders, apart).select("node", "leader").distinct()
+    others = F.filter("firsts", lambda first: first["component"] != F.col("component"))
+    # At most BANDS * LEADERS leaders of a node.
+    of_node = members.join(leaders, "bucket").groupBy("node").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.transform(others, lambda first: first["leader"])))).alias("all")
+    )
+    pairs = of_node.select("node", F.explode("all").alias("leader"))
+    sketches = sets.select("node", "sketch")
+    its = sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("its"))
+    same = F.zip_with("sketch", "its", lambda a, b: (a == b).cast("int"))
+    agreed = F.aggregate(same, F.lit(0), lambda total, one: total + one)
+    both = pairs.join(sketches, "node").join(its, "leader")
+    return both.filter(agreed >= int(AGREEMENT * COORDINATES)).select("node", "leader")
+
+
+_LEADER = "array<struct<leader:bigint,component:bigint>>"
 
 
 def _between_components(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,24 +288,20 @@ def _between_components(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return write_table(members.join(several, "bucket").select("bucket", "node", "component"), "members")
 
 
-def _full_sets(members: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
-    """`(node, elements)` of all nodes that share a bucket, made once from one document of each.
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, turn: int) -> DataFrame:
+    """The pairs whose similarity, on full sets, reaches the threshold.
 
-    Texts are moved by their identifier, in a merge join at every size.
+    The sets are made again from one document of each. In the first round, where they are many, texts
+    are moved by their identifier in a merge join at every size; later the sizes decide.
     """
-    wanted = members.select("node").distinct().join(sets.select("node", "set_key", "rep"), "node")
-    wanted = write_table(wanted, "paired-sets")
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
+    wanted = write_table(nodes.join(sets.select("node", "set_key", "rep"), "node"), "paired-sets")
     reps = wanted.select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(
-        reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"
-    )
-    # Several documents without an identifier, or with the same one, may give a set twice.
-    found = shingle_sets(texts, weighted).join(wanted, "set_key")
-    return write_table(found.select("node", "elements"), "shingle-sets")
-
-
-def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs whose similarity, on full sets, reaches the threshold."""
+    reps = reps if turn else reps.hint("merge")
+    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    # Several documents without an identifier, or with the same one, may give other sets, or one twice.
+    full = shingle_sets(texts, weighted).join(wanted, "set_key").select("node", "elements")
+    full = write_table(full, "shingle-sets")
     left = full.select("node", F.col("elements").alias("a"))
     right = full.select(F.col("node").alias("leader"), F.col("elements").alias("b"))
     shared = F.size(F.array_intersect("a", "b")).alias("shared")
@@ -310,7 +329,6 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(offered, "node").select(
             "node", "component", F.least("component", "offered").alias("smaller")
         )
-        nearer = write_table(nearer, "labels-spread")
         jumps = nearer.select(F.col("node").alias("smaller"), F.col("smaller").alias("further"))
         jumped = nearer.join(jumps, "smaller").select(
             "node", F.least("smaller", "further").alias("component"), F.col("component").alias("before")
@@ -324,15 +342,15 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """`(doc_id, class_id)` of each document."""
     signed = write_table(signatures(docs, weighted), "signatures")
-    sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    firsts = [F.first(name).alias(name) for name in ("bands", "sketch")]
+    sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *firsts)
     sets = write_table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     labels = sets.select("node", F.col("node").alias("component"))
     members = _between_components(sets.select("node", F.explode("bands").alias("bucket")), labels)
-    full = _full_sets(members, docs, sets, weighted)
     turn = 0
-    while True:
-        pairs = write_table(_bucket_pairs(members, turn), "pairs")
-        links = write_table(_links(pairs, full), "links")
+    while not members.isEmpty():
+        pairs = write_table(_bucket_pairs(members, sets, turn), "pairs")
+        links = write_table(_links(pairs, docs, sets, weighted, turn), "links")
         if links.isEmpty():
             break
         of = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
