@@ -48,9 +48,9 @@ LEADERS = 6
 AGREEMENT = 0.65
 WORDS = re.compile(r"\w+")
 # Distinct words whose hashes a Python worker remembers.
-REMEMBERED = 300_000
-# Elements whose darts are thrown together.
-_BLOCK = 100_000
+REMEMBERED = 200_000
+# Cells whose darts are thrown together, and elements of documents that are signed together.
+_CELLS, _ELEMENTS = 200_000, 300_000
 _POISSON = np.cumsum([np.exp(-1.0)] + [np.exp(-1.0) / np.prod(np.arange(1.0, n + 1)) for n in range(1, 20)])
 _U = np.uint64
 
@@ -113,8 +113,8 @@ def dart_signatures(
         bound[todo] = darts / mass[todo]
         chosen = np.flatnonzero(bound[owner] > 0)
         lowest = np.full(documents * k, none, _U)
-        for start in range(0, len(chosen), _BLOCK):
-            part = chosen[start : start + _BLOCK]
+        parts = np.cumsum(np.ceil(bound[owner[chosen]])) // _CELLS
+        for part in np.split(chosen, np.flatnonzero(np.diff(parts)) + 1):
             _throw(elements[part], weights[part], owner[part], bound, k, lowest)
         result[todo] = lowest.reshape(documents, k)[todo]
         todo = todo[(result[todo] == none).any(axis=1)]
@@ -202,7 +202,7 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
             for i, pair in enumerate(_sets(batch.column("text"), weighted)):
                 block.append(pair)
                 size += len(pair[0]) + COORDINATES
-                if size >= 4 * _BLOCK:
+                if size >= _ELEMENTS:
                     yield signed(block, ids.slice(first, len(block)))
                     block, size, first = [], 0, i + 1
             if block:
@@ -269,7 +269,8 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list(F.transform(others, lambda first: first["leader"])))).alias("all")
     )
     pairs = of_node.select("node", F.explode("all").alias("leader"))
-    sketches = sets.select("node", "sketch")
+    # A merge join at every size; sketches are many and wide where pairs are many.
+    sketches = sets.select("node", "sketch").hint("merge")
     its = sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("its"))
     same = F.zip_with("sketch", "its", lambda a, b: (a == b).cast("int"))
     agreed = F.aggregate(same, F.lit(0), lambda total, one: total + one)
@@ -280,9 +281,8 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
 _LEADER = "array<struct<leader:bigint,component:bigint>>"
 
 
-def _between_components(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """`(bucket, node, component)` of the buckets that hold several components, written."""
-    members = buckets.join(labels, "node")
+def _between_components(members: DataFrame) -> DataFrame:
+    """The rows `(bucket, node, component)` of the buckets that hold several components, written."""
     several = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     several = write_table(several.filter("a <> b").select("bucket"), "open-buckets")
     return write_table(members.join(several, "bucket").select("bucket", "node", "component"), "members")
@@ -346,11 +346,15 @@ def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
     sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *firsts)
     sets = write_table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     labels = sets.select("node", F.col("node").alias("component"))
-    members = _between_components(sets.select("node", F.explode("bands").alias("bucket")), labels)
+    members = sets.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("component"))
+    members = _between_components(members)
+    # Only these can be in a pair.
+    shared = sets.drop("bands").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    shared = write_table(shared, "shared-sets")
     turn = 0
     while not members.isEmpty():
-        pairs = write_table(_bucket_pairs(members, sets, turn), "pairs")
-        links = write_table(_links(pairs, docs, sets, weighted, turn), "links")
+        pairs = write_table(_bucket_pairs(members, shared, turn), "pairs")
+        links = write_table(_links(pairs, docs, shared, weighted, turn), "links")
         if links.isEmpty():
             break
         of = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
@@ -363,7 +367,7 @@ def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
             "node", F.coalesce("merged", "component").alias("component")
         )
         labels = write_table(labels, "components")
-        members = _between_components(members.select("bucket", "node"), labels)
+        members = _between_components(members.select("bucket", "node").join(labels, "node"))
         turn += 1
     found = sets.join(labels, "node").select("set_key", "rep", "component")
     found = write_table(found, "set-components")
