@@ -296,7 +296,8 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, t
     """
     nodes = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
     wanted = write_table(nodes.join(sets.select("node", "set_key", "rep"), "node"), "paired-sets")
-    reps = wanted.select("rep").distinct()
+    # Written alone, so that its own size decides about the join.
+    reps = write_table(wanted.select("rep").distinct(), "paired-reps")
     reps = reps if turn else reps.hint("merge")
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     # Several documents without an identifier, or with the same one, may give other sets, or one twice.
