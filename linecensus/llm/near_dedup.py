@@ -285,7 +285,8 @@ def _between_components(members: DataFrame) -> DataFrame:
     """The rows `(bucket, node, component)` of the buckets that hold several components, written."""
     several = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     several = write_table(several.filter("a <> b").select("bucket"), "open-buckets")
-    return write_table(members.join(several, "bucket").select("bucket", "node", "component"), "members")
+    # A merge join at every size: the buckets are many where the members are.
+    return write_table(members.join(several.hint("merge"), "bucket").select("bucket", "node", "component"), "members")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, turn: int) -> DataFrame:
