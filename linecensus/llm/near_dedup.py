@@ -172,9 +172,10 @@ def _sets(texts, weighted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """`(doc_id, set_key, bands, sketch)` of each document.
+    """`(doc_id, set_key, mass, bands, sketch)` of each document.
 
-    They are a 128-bit digest of the (weighted) set, its bucket keys and 16 bits of each coordinate.
+    They are a 128-bit digest of the (weighted) set, its total weight, its bucket keys and 16 bits of
+    each coordinate.
     """
 
     def sign(batches):
@@ -185,6 +186,7 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
             weights = np.concatenate([w for _, w in block])
             owner = np.repeat(np.arange(len(block)), [len(e) for e, _ in block])
             keys = [_digest(*pair) for pair in block]
+            mass = pa.array([int(w.sum()) for _, w in block], pa.int64())
             found = dart_signatures(elements, weights, owner, len(block))
             rows = band_keys(found), (mixed(found) >> _U(48)).astype(np.uint16).view(np.int16)
             lists = [
@@ -194,7 +196,8 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 for x in rows
             ]
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys, pa.binary()), *lists], ["doc_id", "set_key", "bands", "sketch"]
+                [ids, pa.array(keys, pa.binary()), mass, *lists],
+                ["doc_id", "set_key", "mass", "bands", "sketch"],
             )
 
         for batch in batches:
@@ -209,7 +212,7 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
                 yield signed(block, ids.slice(first, len(block)))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, set_key binary, bands array<bigint>, sketch array<smallint>"
+    schema = f"doc_id {kind}, set_key binary, mass bigint, bands array<bigint>, sketch array<smallint>"
     return docs.select("doc_id", "text").mapInArrow(sign, schema)
 
 
@@ -270,12 +273,16 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     )
     pairs = of_node.select("node", F.explode("all").alias("leader"))
     # A merge join at every size; sketches are many and wide where pairs are many.
-    sketches = sets.select("node", "sketch").hint("merge")
-    its = sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("its"))
+    sketches = sets.select("node", "sketch", "mass").hint("merge")
+    its = sketches.select(
+        F.col("node").alias("leader"), F.col("sketch").alias("its"), F.col("mass").alias("its_mass")
+    )
     same = F.zip_with("sketch", "its", lambda a, b: (a == b).cast("int"))
     agreed = F.aggregate(same, F.lit(0), lambda total, one: total + one)
     both = pairs.join(sketches, "node").join(its, "leader")
-    return both.filter(agreed >= int(AGREEMENT * COORDINATES)).select("node", "leader")
+    # Similar sets are of similar size.
+    sizes = F.least("mass", "its_mass") >= SIMILARITY * F.greatest("mass", "its_mass") - 1e-9
+    return both.filter(sizes & (agreed >= int(AGREEMENT * COORDINATES))).select("node", "leader")
 
 
 _LEADER = "array<struct<leader:bigint,component:bigint>>"
@@ -295,17 +302,23 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, t
     The sets are made again from one document of each. In the first round, where they are many, texts
     are moved by their identifier in a merge join at every size; later the sizes decide.
     """
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
+    led = pairs.select("node", F.lit(False).alias("leads"), F.lit(True).alias("follows"))
+    leading = pairs.select(
+        F.col("leader").alias("node"), F.lit(True).alias("leads"), F.lit(False).alias("follows")
+    )
+    nodes = led.unionByName(leading).groupBy("node").agg(
+        F.max("leads").alias("leads"), F.max("follows").alias("follows")
+    )
     wanted = write_table(nodes.join(sets.select("node", "set_key", "rep"), "node"), "paired-sets")
     # Written alone, so that its own size decides about the join.
     reps = write_table(wanted.select("rep").distinct(), "paired-reps")
     reps = reps if turn else reps.hint("merge")
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     # Several documents without an identifier, or with the same one, may give other sets, or one twice.
-    full = shingle_sets(texts, weighted).join(wanted, "set_key").select("node", "elements")
-    full = write_table(full, "shingle-sets")
-    left = full.select("node", F.col("elements").alias("a"))
-    right = full.select(F.col("node").alias("leader"), F.col("elements").alias("b"))
+    full = shingle_sets(texts, weighted).join(wanted.hint("merge"), "set_key")
+    full = write_table(full.select("node", "elements", "leads", "follows"), "shingle-sets")
+    left = full.filter("follows").select("node", F.col("elements").alias("a"))
+    right = full.filter("leads").select(F.col("node").alias("leader"), F.col("elements").alias("b"))
     shared = F.size(F.array_intersect("a", "b")).alias("shared")
     total = (F.size("a") + F.size("b")).alias("total")
     measured = pairs.join(left, "node").join(right, "leader").select("node", "leader", shared, total)
@@ -344,7 +357,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """`(doc_id, class_id)` of each document."""
     signed = write_table(signatures(docs, weighted), "signatures")
-    firsts = [F.first(name).alias(name) for name in ("bands", "sketch")]
+    firsts = [F.first(name).alias(name) for name in ("bands", "sketch", "mass")]
     sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *firsts)
     sets = write_table(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     labels = sets.select("node", F.col("node").alias("component"))
