@@ -13,9 +13,9 @@ range of numbers of each of its lengths, so that every piece finds its sequence
 search in a table that the executors share.
 
 Tokenising: the word tokenizer never joins characters across white space, so the ids of a text are
-those of its white-space separated chunks, which workers remember; a new chunk of Latin letters and
-punctuation after them is put together from its two parts, which are tokens of their own and
-remembered too. Texts with special tokens or control characters that count as white space in one
+those of its white-space separated chunks, which workers remember. Text of Latin letters, digits,
+ASCII white space and punctuation (but apostrophes and angle brackets) is cut further into the runs
+that are tokens of their own, of which there are fewer. Texts with special tokens or control characters that count as white space in one
 library only are encoded whole, and so is everything if a tokenizer does not split this way.
 
 - A null text counts as empty; an empty text is the end id alone.
@@ -40,13 +40,14 @@ from linecensus.session import write_table
 
 CAPACITY = 4096
 END_ID = 1
-# Distinct chunks, and parts of chunks, in each of the two generations that a worker remembers.
-REMEMBERED_CHUNKS, REMEMBERED_PARTS = 300_000, 250_000
+# Distinct runs and chunks in each of the two generations that a worker remembers.
+REMEMBERED_RUNS, REMEMBERED_CHUNKS = 400_000, 100_000
 # The pieces of one length are numbered in this many parts.
 SALTS = 32
 _ID_BYTES = 4
-# Letters of Latin-1, then ASCII punctuation without the apostrophe and angle brackets.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]*)")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=?@\[-`{-~"
+_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9 \\t-\\r]*")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 # How byte-level models show the bytes of UTF-8 letters that are no printable Latin-1 characters.
 _HIDDEN_BYTES = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
 _BYTE_LETTERS = {byte: 256 + n for n, byte in enumerate(_HIDDEN_BYTES)}
@@ -89,36 +90,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = Remembered(REMEMBERED_CHUNKS, self._chunk)
-        self.parts = Remembered(REMEMBERED_PARTS, self._part)
-        self.words = Remembered(REMEMBERED_PARTS, self._word)
-        self.splits = all(
-            b"".join(map(self._chunk, text.split())) == self.whole(text) for text in _PROBES
-        )
+        self.runs = Remembered(REMEMBERED_RUNS, self._run)
+        self.chunks = Remembered(REMEMBERED_CHUNKS, self.whole)
+        self.splits = all(self._block(text) == self.whole(text) for text in _PROBES)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        if parts := _WORD_AND_MARKS.fullmatch(chunk):
-            word, marks = parts.groups()
-            return self.words[word.lower()] + (self.parts[marks] if marks else b"")
-        return self.parts[chunk]
-
-    def _part(self, part: str) -> bytes:
-        return self.whole(part)
-
-    def _word(self, word: str) -> bytes:
-        """A lower-case word of Latin-1 letters is one token sequence of the byte-level model."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+    def _run(self, run: str) -> bytes:
+        if not run.isalpha():
+            return self.whole(run)
+        # A lower-case word of Latin-1 letters is one token sequence of the byte-level model.
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return _packed([token.id for token in self.tokenizer.model.tokenize(shown)])
 
+    def _block(self, block: str) -> bytes:
+        if _PLAIN.fullmatch(block):
+            return b"".join(map(self.runs.__getitem__, _RUNS.findall(block.lower())))
+        return b"".join(map(self.chunks.__getitem__, block.split()))
+
     def encode(self, text: str) -> Iterator[bytes]:
         if not self.splits or any(mark in text for mark in _ENCODE_WHOLE):
             yield self.whole(text)
             return
         for block in blocks(text):
-            yield b"".join(map(self.chunks.__getitem__, block.split()))
+            yield self._block(block)
 
     def pieces(self, text: str, capacity: int) -> Iterator[bytes]:
         """The ids of a document, with the end id, cut at the capacity."""
