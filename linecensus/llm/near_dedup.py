@@ -8,14 +8,19 @@ coordinates, and a coordinate keeps its earliest dart. Two documents agree in a
 the probability of their (weighted) Jaccard similarity. A document with an empty coordinate is thrown again
 with twice the bound; earlier darts stay the same, so signatures never depend on the bound.
 
-Coordinates are joined in bands. In every bucket of a band, members are paired with leaders only, so
+Coordinates are joined in bands. In every bucket of a band, members are first paired with leaders only, so
 a bucket of any size gives a linear number of pairs. The first leader is the node that meets most
 others in all its buckets: in a large group one near its middle. Pairs whose signatures agree in
 fewer than `AGREEMENT` of the coordinates go (at similarity 0.8 with probability 2e-8); the others are checked on
 the full shingles. Documents of one component need no further pairs: the next round pairs `LEADERS`
 leaders of each bucket that still holds several components with the members of others, and so on until a round
-finds no link. A pair at similarity 0.8 shares no bucket with probability 2e-5; a bucket of up to
-`LEADERS` nodes is compared completely.
+finds no link. A pair at similarity 0.8 shares no bucket with probability 2e-5.
+
+The buckets that then still hold several components are compared completely. Up to `COMPLETE` nodes, every
+pair of different components is taken. The nodes of larger ones are joined on the elements themselves: with
+the elements of each set in one order, rare ones first, two sets of the wanted similarity share one of
+their first few (how many depends on both sizes, so sets are keyed by bands of size as well). Elements
+that only one component has come before all others and are never joined.
 
 Documents of equal shingle sets are one node from the start. Words are runs of letters, digits and
 underscores in lower case.
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecensus.llm.token_counts import blocks
@@ -45,6 +50,10 @@ BANDS, ROWS = 36, 6
 COORDINATES = BANDS * ROWS
 # Leaders per bucket after the first round.
 LEADERS = 6
+# Nodes up to which an open bucket is compared pair by pair.
+COMPLETE = 16
+# Ratio of the largest to the smallest size of a band of set sizes.
+SIZE_RATIO = 1.05
 AGREEMENT = 0.65
 WORDS = re.compile(r"\w+")
 # Distinct words whose hashes a Python worker remembers.
@@ -271,7 +280,11 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     of_node = members.join(leaders, "bucket").groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_list(F.transform(others, lambda first: first["leader"])))).alias("all")
     )
-    pairs = of_node.select("node", F.explode("all").alias("leader"))
+    return _agreeing(of_node.select("node", F.explode("all").alias("leader")), sets)
+
+
+def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of similar size whose signatures agree enough."""
     # A merge join at every size; sketches are many and wide where pairs are many.
     sketches = sets.select("node", "sketch", "mass").hint("merge")
     its = sketches.select(
@@ -296,19 +309,12 @@ def _between_components(members: DataFrame) -> DataFrame:
     return write_table(members.join(several.hint("merge"), "bucket").select("bucket", "node", "component"), "members")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, turn: int) -> DataFrame:
-    """The pairs whose similarity, on full sets, reaches the threshold.
+def _full_sets(nodes: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, turn: int) -> DataFrame:
+    """`nodes` with the `elements` of each, written.
 
     The sets are made again from one document of each. In the first round, where they are many, texts
     are moved by their identifier in a merge join at every size; later the sizes decide.
     """
-    led = pairs.select("node", F.lit(False).alias("leads"), F.lit(True).alias("follows"))
-    leading = pairs.select(
-        F.col("leader").alias("node"), F.lit(True).alias("leads"), F.lit(False).alias("follows")
-    )
-    nodes = led.unionByName(leading).groupBy("node").agg(
-        F.max("leads").alias("leads"), F.max("follows").alias("follows")
-    )
     wanted = write_table(nodes.join(sets.select("node", "set_key", "rep"), "node"), "paired-sets")
     # Written alone, so that its own size decides about the join.
     reps = write_table(wanted.select("rep").distinct(), "paired-reps")
@@ -316,7 +322,95 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, t
     texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     # Several documents without an identifier, or with the same one, may give other sets, or one twice.
     full = shingle_sets(texts, weighted).join(wanted.hint("merge"), "set_key")
-    full = write_table(full.select("node", "elements", "leads", "follows"), "shingle-sets")
+    return write_table(full.select(*nodes.columns, "elements"), "shingle-sets")
+
+
+def _needed(a: Column, b: Column) -> Column:
+    """Common elements that sets of these sizes need for the threshold."""
+    return F.ceil((SIMILARITY * (a + b) - 1e-6) / (1 + SIMILARITY))
+
+
+def _complete_pairs(members: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, turn: int) -> DataFrame:
+    """`(node, leader)` of different components that can be links, of all pairs in the buckets of `members`."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    sized = write_table(members.join(sizes, "bucket"), "sized-members")
+    few = sized.filter(F.col("size") <= COMPLETE)
+    others = few.select("bucket", F.col("node").alias("leader"), F.col("component").alias("other"))
+    both = few.join(others.hint("merge"), "bucket")
+    close = both.filter("node > leader AND component <> other").select("node", "leader").distinct()
+    many = sized.filter(F.col("size") > COMPLETE).select("node", "component").distinct()
+    pairs = write_table(close, "close-pairs")
+    many = write_table(many, "crowded-nodes")
+    if not many.isEmpty():
+        crowded = _prefix_pairs(_full_sets(many, docs, sets, weighted, turn))
+        pairs = pairs.unionByName(crowded).distinct()
+    return _agreeing(pairs, sets)
+
+
+def _prefix_pairs(full: DataFrame) -> DataFrame:
+    """`(node, leader)` of different components of `(node, component, elements)` that can reach the threshold.
+
+    The first common element of a pair, in the order of elements, has enough elements behind it in both
+    sets; pairs without such an element are left out, all others are returned.
+    """
+    each = full.select("node", "component", F.size("elements").alias("size"), F.explode("elements").alias("element"))
+    common = each.groupBy("element").agg(
+        F.count("*").alias("times"), F.min("component").alias("a"), F.max("component").alias("b")
+    )
+    common = write_table(common.filter("a <> b").select("element", "times"), "common-elements")
+    ordered = each.join(common.hint("merge"), "element").groupBy("node", "component", "size").agg(
+        F.sort_array(F.collect_list(F.struct("times", "element"))).alias("ordered")
+    )
+    alone = F.col("size") - F.size("ordered")
+    placed = ordered.select("node", "component", "size", alone.alias("alone"), F.posexplode("ordered").alias("at", "e"))
+    placed = placed.select("node", "component", "size", F.col("e.element").alias("element"), (F.col("alone") + F.col("at")).alias("at"))
+    # The smallest set that can be a partner asks for the fewest common elements.
+    placed = placed.filter(F.col("at") + F.ceil(SIMILARITY * F.col("size") - 1e-6) <= F.col("size"))
+    step = log(SIZE_RATIO)
+    band = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
+    reach = int(-log(SIMILARITY) / step) + 2
+    placed = placed.withColumn("band", band)
+    placed = placed.withColumn("partner", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+    # A little below the smallest size of the partner's band.
+    smallest = F.greatest(F.exp(F.col("partner") * step) - 1e-6, SIMILARITY * F.col("size"))
+    placed = placed.filter((F.col("at") + _needed(F.col("size"), smallest) <= F.col("size")) & (
+        SIMILARITY * smallest <= F.col("size") + 1e-6
+    ))
+    placed = placed.select(
+        "element", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"),
+        "node", "component", "size", "at", "band",
+    )
+    placed = write_table(placed, "prefix-elements")
+    key = ["element", "low", "high"]
+    # Most members of a key may be of one component: they meet the others only.
+    majors = placed.groupBy(*key, "component").agg(F.count("*").alias("n")).groupBy(*key).agg(
+        F.max_by("component", "n").alias("major"), F.count("*").alias("components")
+    )
+    majors = write_table(majors.filter("components > 1").drop("components"), "prefix-keys")
+    keyed = write_table(placed.join(majors.hint("merge"), key), "prefix-members")
+    its = {name: f"its_{name}" for name in ("node", "component", "size", "at", "band")}
+    minors = keyed.filter("component <> major").drop("major")
+    partners = keyed.select(*key, "major", *[F.col(name).alias(new) for name, new in its.items()])
+    needed = _needed(F.col("size"), F.col("its_size"))
+    met = minors.join(partners.hint("merge"), key).filter(
+        F.expr("component <> its_component AND (its_component = major OR node < its_node)")
+        & F.expr("low = high OR band <> its_band")
+        & (F.col("at") + needed <= F.col("size"))
+        & (F.col("its_at") + needed <= F.col("its_size"))
+    )
+    return met.select(F.greatest("node", "its_node").alias("node"), F.least("node", "its_node").alias("leader")).distinct()
+
+
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, weighted: bool, turn: int) -> DataFrame:
+    """The pairs whose similarity, on full sets, reaches the threshold."""
+    led = pairs.select("node", F.lit(False).alias("leads"), F.lit(True).alias("follows"))
+    leading = pairs.select(
+        F.col("leader").alias("node"), F.lit(True).alias("leads"), F.lit(False).alias("follows")
+    )
+    nodes = led.unionByName(leading).groupBy("node").agg(
+        F.max("leads").alias("leads"), F.max("follows").alias("follows")
+    )
+    full = _full_sets(nodes, docs, sets, weighted, turn)
     left = full.filter("follows").select("node", F.col("elements").alias("a"))
     right = full.filter("leads").select(F.col("node").alias("leader"), F.col("elements").alias("b"))
     shared = F.size(F.array_intersect("a", "b")).alias("shared")
@@ -366,12 +460,17 @@ def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
     # Only these can be in a pair.
     shared = sets.drop("bands").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
     shared = write_table(shared, "shared-sets")
-    turn = 0
-    while not members.isEmpty():
+    turn, complete = 0, False
+    while not complete and not members.isEmpty():
         pairs = write_table(_bucket_pairs(members, shared, turn), "pairs")
         links = write_table(_links(pairs, docs, shared, weighted, turn), "links")
         if links.isEmpty():
-            break
+            # Leaders find no more: every pair that is left in a bucket is looked at.
+            turn, complete = turn + 1, True
+            pairs = write_table(_complete_pairs(members, docs, shared, weighted, turn), "pairs")
+            links = write_table(_links(pairs, docs, shared, weighted, turn), "links")
+            if links.isEmpty():
+                break
         of = labels.select(F.col("node").alias("leader"), F.col("component").alias("other"))
         between = links.join(labels, "node").join(of, "leader")
         between = between.select(F.col("component").alias("node"), F.col("other").alias("leader"))
@@ -382,7 +481,8 @@ def near_duplicates(docs: DataFrame, weighted: bool = False) -> DataFrame:
             "node", F.coalesce("merged", "component").alias("component")
         )
         labels = write_table(labels, "components")
-        members = _between_components(members.select("bucket", "node").join(labels, "node"))
+        if not complete:
+            members = _between_components(members.select("bucket", "node").join(labels, "node"))
         turn += 1
     found = sets.join(labels, "node").select("set_key", "rep", "component")
     found = write_table(found, "set-components")

@@ -66,6 +66,39 @@ def test_classes_against_all_pairs(spark):
     assert classes(N.near_duplicates(frames.docs(spark, rows, clashing=False))) == brute_force(rows)
 
 
+def test_pairs_hidden_among_templates(spark):
+    """2,000 documents at 0.69 to each other; 50 pairs of them are at 0.86."""
+    template = frames.invented(140, 3)
+    rows = []
+    for i in range(2000):
+        tail = [f"own{i}x{n}" for n in range(30)]
+        if i < 100:
+            tail[:18] = [f"pair{i // 2}x{n}" for n in range(18)]
+        rows.append((i, f"{template} {' '.join(tail)}", "en"))
+    found = classes(N.near_duplicates(frames.docs(spark, rows, clashing=False)))
+    assert found == sorted(((i, i - i % 2 if i < 100 else i) for i in range(2000)), key=repr)
+
+
+def test_prefix_pairs_against_all_pairs(spark):
+    """Every pair at the threshold is returned, whatever the sizes and the components."""
+    chance = random.Random(11)
+    sets = [set(chance.sample(range(60), chance.randint(1, 50))) for _ in range(60)]
+    for i in range(120):
+        base = set(chance.choice(sets))
+        base ^= set(chance.sample(range(60), chance.randint(0, 6)))
+        sets.append(base or {1})
+    rows = [(i, i % 150, sorted(s)) for i, s in enumerate(sets)]
+    full = spark.createDataFrame(rows, "node bigint, component bigint, elements array<bigint>")
+    found = {(r.node, r.leader) for r in N._prefix_pairs(full).collect()}
+    wanted = {
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i)
+        if i % 150 != j % 150 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    }
+    assert len(wanted) > 50 and wanted <= found
+
+
 def test_weighted_sets_count_repetitions(spark):
     line = "one two three four five six seven"
     rows = [(1, " ".join([line] * 2), "en"), (2, " ".join([line] * 40), "en")]
