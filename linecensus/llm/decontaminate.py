@@ -5,13 +5,14 @@ sentence) become typed placeholders, everything else lower-case words. Windows o
 canonical words of the benchmark are joined by hash with those at every place of the documents,
 so a question is found again with other numbers and names. Matching windows of a document and an item
 with the same shift form an alignment. It counts as contamination when it holds `MIN_WINDOWS`
-windows or half of the item's, and its slots are consistent: of the values that the item has in
+windows, half of the item's, or half of its windows that are templates, and its slots are consistent: of the values that the item has in
 the matched placeholders, at least `CONSISTENT` always stand for the same value in the document.
 
-Windows with fewer than `PLAIN` ordinary words say too little and are not indexed.
+A window is a template when it has `PLAIN` ordinary words. Others say too little by their form and are
+looked for with the values of their placeholders. An item of fewer than `WINDOW` words is one window of
+its full length, found wherever these words follow each other. `coverage` is the larger of both shares.
 
-- A null text counts as empty; a text or item of fewer than `WINDOW` words has no window and is
-  never reported.
+- A null text counts as empty; a text or item without words has no window and is never reported.
 - Repeated rows, and rows with the same `doc_id`, are reported once per identifier and item; a null
   `doc_id` or `item_id` is reported as null.
 - Equal benchmark items are all reported. An empty benchmark or table gives an empty result.
@@ -51,9 +52,14 @@ _NUMBER_MARK, _UNIT_MARK, _NAME_MARK = "0", "0u", "0n"
 _WORD = r"[\p{L}\p{N}]+"
 
 
+def _text(text: Column) -> Column:
+    # The one letter that becomes two characters in lower case, of which one is none.
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("I"))
+
+
 def canonical(text: Column) -> Column:
     """The text with typed placeholders, in lower case."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER, _NUMBER_MARK)
+    marked = F.regexp_replace(_text(text), _NUMBER, _NUMBER_MARK)
     marked = F.regexp_replace(marked, _UNIT, _UNIT_MARK)
     return F.lower(F.regexp_replace(marked, _NAME, _NAME_MARK))
 
@@ -66,55 +72,107 @@ def _is_slot(word: Column) -> Column:
     return word.isin(_NUMBER_MARK, _UNIT_MARK, _NAME_MARK)
 
 
-def windows(table: DataFrame, key: str) -> DataFrame:
-    """`(key, place, hash)` of every window of the texts of `table`."""
+def values(text: Column) -> Column:
+    """The words, in lower case, with the values of placeholders; as many as there are canonical words."""
+    return F.transform(F.regexp_extract_all(_text(text), F.lit(f"{_SLOT}|{_WORD}"), 0), F.lower)
+
+
+def _hash(window: Column, valued: Column) -> Column:
+    return F.when(_is_template(window), F.xxhash64(window)).otherwise(F.xxhash64(F.lit(PLAIN), valued))
+
+
+def _is_template(window: Column) -> Column:
+    plain = window
+    for mark in (_NUMBER_MARK, _UNIT_MARK, _NAME_MARK):
+        plain = F.array_remove(plain, mark)
+    return F.size(plain) >= PLAIN
+
+
+def windows(table: DataFrame, key: str, lengths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """`(key, place, hash)` of every window of these lengths of the texts of `table`."""
     # The words go through an explode of one row, so that they are computed once and not per window.
-    split = table.select(key, F.explode(F.array(words(canonical(F.col("text"))))).alias("words"))
-    split = split.filter(F.size("words") >= WINDOW)
-    hashes = F.transform(
-        F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-        lambda i: F.xxhash64(F.slice("words", i, WINDOW)),
-    )
-    return split.select(key, F.posexplode(hashes).alias("place", "hash"))
+    both = F.struct(words(canonical(F.col("text"))).alias("words"), values(F.col("text")).alias("values"))
+    split = table.select(key, F.explode(F.array(both)).alias("both")).select(key, "both.*")
+    split = split.filter(F.size("words") >= min(lengths))
+
+    def hashes(length: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(1), F.size("words") - (length - 1)),
+            lambda i: F.struct(
+                (i - 1).alias("place"),
+                _hash(F.slice("words", i, length), F.slice("values", i, length)).alias("hash"),
+            ),
+        )
+        return F.when(F.size("words") >= length, found).otherwise(F.array().cast(_PLACED))
+
+    every = F.concat(*[hashes(length) for length in lengths])
+    return split.select(key, F.explode(every).alias("w")).select(key, "w.place", "w.hash")
+
+
+_PLACED = "array<struct<place:int,hash:bigint>>"
 
 
 def benchmark_index(benchmark: DataFrame) -> DataFrame:
-    """`(item_id, at, hash, n_windows)` of the windows that say enough."""
+    """`(item_id, at, hash, template, n_windows, n_templates, length)` of every window."""
     # An item put inside a sentence has its first word read as a name, if it is capitalised.
-    inside = words(canonical(F.concat(F.lit("x, "), F.coalesce("text", F.lit("")))))
+    inner = F.concat(F.lit("x, "), F.coalesce("text", F.lit("")))
     split = benchmark.select(
-        "item_id", words(canonical(F.col("text"))).alias("words"), F.slice(inside, 2, WINDOW).alias("inside")
+        "item_id",
+        words(canonical(F.col("text"))).alias("words"),
+        values(F.col("text")).alias("values"),
+        F.slice(words(canonical(inner)), 2, WINDOW).alias("inside"),
+        F.slice(values(inner), 2, WINDOW).alias("inside_values"),
     )
-    split = write_table(split.filter(F.size("words") >= WINDOW), "benchmark-words")
+    split = write_table(split.filter(F.size("words") > 0), "benchmark-words")
+    length = F.least(F.size("words"), F.lit(WINDOW))
+    split = split.withColumn("length", length).withColumn("n_windows", F.size("words") - F.col("length") + 1)
     every = F.transform(
-        F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.slice("words", i, WINDOW)
-    )
-    found = split.select(
-        "item_id", (F.size("words") - (WINDOW - 1)).alias("n_windows"), F.posexplode(every).alias("at", "window")
+        F.sequence(F.lit(1), F.col("n_windows")),
+        lambda i: F.struct(
+            F.slice("words", i, F.col("length")).alias("window"),
+            F.slice("values", i, F.col("length")).alias("valued"),
+        ),
     )
+    templates = F.size(F.filter(every, lambda w: _is_template(w["window"])))
+    split = split.withColumn("n_templates", templates)
+    kept = ("item_id", "length", "n_windows", "n_templates")
+    found = split.select(*kept, F.posexplode(every).alias("at", "w")).select(*kept, "at", "w.*")
     begun = split.filter(F.col("inside") != F.slice("words", 1, WINDOW))
-    n_windows = (F.size("words") - (WINDOW - 1)).alias("n_windows")
-    begun = begun.select("item_id", n_windows, F.lit(0).alias("at"), F.col("inside").alias("window"))
+    begun = begun.select(
+        *kept, F.lit(0).alias("at"), F.col("inside").alias("window"), F.col("inside_values").alias("valued")
+    )
     found = found.unionByName(begun)
-    plain = F.size(F.filter("window", lambda word: ~_is_slot(word)))
-    return found.filter(plain >= PLAIN).select("item_id", "n_windows", "at", F.xxhash64("window").alias("hash"))
+    return found.select(
+        *kept,
+        "at",
+        _is_template(F.col("window")).alias("template"),
+        _hash(F.col("window"), F.col("valued")).alias("hash"),
+    )
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`(doc_id, item_id, shift, windows, n_windows, first, last)` with enough matching windows."""
+    """`(doc_id, item_id, shift, windows, coverage, first, last)` (among others) with enough matching windows."""
     index = write_table(benchmark_index(benchmark), "benchmark-windows")
     known = index.select("hash").distinct()
     # The size is checked; a larger benchmark is joined by a shuffle on the hash.
     known = F.broadcast(known) if index.count() <= BROADCAST_WINDOWS else known
-    hits = windows(docs.select("doc_id", "text"), "doc_id").join(known, "hash", "left_semi")
+    # At most WINDOW lengths.
+    lengths = tuple(row.length for row in index.select("length").distinct().orderBy("length").collect())
+    hits = windows(docs.select("doc_id", "text"), "doc_id", lengths or (WINDOW,)).join(known, "hash", "left_semi")
     matched = write_table(hits, "benchmark-hits").join(index, "hash")
     aligned = matched.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
         F.count_distinct("at").alias("windows"),
         F.max("n_windows").alias("n_windows"),
+        F.count_distinct(F.when(F.col("template"), F.col("at"))).alias("templates"),
+        F.max("n_templates").alias("n_templates"),
         F.min("at").alias("first"),
         F.max("at").alias("last"),
     )
-    enough = (F.col("windows") >= MIN_WINDOWS) | (F.col("windows") >= COVERAGE * F.col("n_windows"))
+    part = F.col("windows") / F.col("n_windows")
+    of_templates = F.when(F.col("n_templates") > 0, F.col("templates") / F.col("n_templates")).otherwise(0.0)
+    # The first window may be a template only as it stands, or only inside a sentence.
+    aligned = aligned.withColumn("coverage", F.least(F.greatest(part, of_templates), F.lit(1.0)))
+    enough = (F.col("windows") >= MIN_WINDOWS) | (F.col("coverage") >= COVERAGE)
     return aligned.filter(enough)
 
 
@@ -122,8 +180,8 @@ def _slots(text: str, prefix: str) -> list[Column]:
     """Values of the placeholders of a text and the number of the word that each one is."""
     marks = words(canonical(F.col(text)))
     places = F.filter(F.transform(marks, lambda w, i: F.when(_is_slot(w), i)), lambda i: i.isNotNull())
-    values = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_SLOT), 0)
-    return [places.alias(f"{prefix}_places"), values.alias(f"{prefix}_values")]
+    valued = F.regexp_extract_all(_text(F.col(text)), F.lit(_SLOT), 0)
+    return [places.alias(f"{prefix}_places"), valued.alias(f"{prefix}_values")]
 
 
 def consistent_slots(found: DataFrame, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -172,12 +230,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = write_table(alignments(docs, benchmark), "benchmark-alignments")
     checked = consistent_slots(found, docs, benchmark)
     checked = checked.filter(F.col("consistent") >= CONSISTENT * F.col("slots"))
-    best = F.max(F.struct("windows", "slots", "changed", "n_windows"))
+    best = F.max(F.struct("windows", "slots", "changed", "coverage"))
     return checked.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id",
         "item_id",
         F.col("best.windows").alias("windows"),
-        (F.col("best.windows") / F.col("best.n_windows")).alias("coverage"),
+        F.col("best.coverage").alias("coverage"),
         F.col("best.slots").alias("slots"),
         F.col("best.changed").alias("changed"),
     )

@@ -41,6 +41,24 @@ def test_same_and_changed_questions(spark):
     assert got[1, 0].changed == got[1, 0].slots == 7
 
 
+def test_items_dense_in_numbers_and_short_ones(spark):
+    items = [
+        "Add 12 km, 15 km, 7 km and 30 km, then subtract 9 km and 4 km.",
+        "Find the mean of 3, 8, 12, 15, 20, 21, 25 and 40.",
+        "Compute 48 / 6 + 12 * 3 - 5 and then 7 * 9 - 2.",
+        "Who wrote the Iliad?",
+    ]
+    filler = frames.invented(30, 2)
+    texts = [f"{filler}. {item} {filler}" for item in items]
+    texts += [
+        f"{filler}. Add 2 km, 5 km, 8 km and 31 km, then subtract 6 km and 1 km. {filler}",
+        f"{filler}. Find the mean of 4, 9, 13, 16, 22, 23, 26 and 41. {filler}",
+        f"{filler} 1, 2, 3, 4, 5, 6, 7, 8, 9, 10 km and 11 km or 12 km {filler}",
+        f"Compute 47 / 5 + 11 * 2 - 4 and then 6 * 8 - 1. {filler}",
+    ]
+    assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (5, 1)}
+
+
 def test_slots_must_be_consistent(spark):
     item = (
         "The red box holds 5 stones and the blue box holds 5 stones and the green box holds 5 stones and "
