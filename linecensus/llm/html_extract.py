@@ -4,10 +4,12 @@ The events of the standard library's streaming parser are turned into lines, one
 Each line has its text and the number of tags met since the line before; the ratio of characters to
 tags is high in running text and low in menus and link lists. Ratios are smoothed with a Gaussian, so that
 a short paragraph among long ones stays with them, and a threshold (a part of the ratios' standard
-deviation) separates content from the rest. Lines are clustered into regions by the element that
-holds them (an article or main element with all it contains, else the nearest container); a region
-with a line above the threshold is content and is kept whole. Where such a region is an article or
-main element, others are not taken; where no region passes, the one with the most text is.
+deviation) separates content from the rest. Lines are grouped into regions by the element that
+holds them (an article or main element with all it contains, else the nearest container). Where a line
+of an article or main element passes the threshold, all such elements are the content. Otherwise it
+is every region with a line that passes, whole, all visible lines from the first line that passes
+to the last (lists, tables and quotations in the text), and the article and main elements; where there is
+none of these, the region with the most text.
 
 Elements that are never content, by tag, role or the words of their class and id, have ratio 0 and
 no text: menus, headers and footers of the page, side bars, notices, adverts, forms, scripts, styles, hidden
@@ -173,16 +175,21 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in page.lines]))
     threshold = THRESHOLD * ratios.std()
-    content = {
-        region for (text, _, region), ratio in zip(page.lines, ratios) if text and ratio >= threshold
-    }
-    chosen = content & page.roots or content
+    passing = [at for at, (line, ratio) in enumerate(zip(page.lines, ratios)) if line[0] and ratio >= threshold]
+    content = {page.lines[at][2] for at in passing}
+    roots = page.roots & {region for _, _, region in lines}
+    if content & roots:
+        chosen, between = roots, range(0)
+    else:
+        chosen = content | roots
+        between = range(passing[0], passing[-1]) if passing else range(0)
     if not chosen:
         size: dict[int, int] = {}
         for text, _, region in lines:
             size[region] = size.get(region, 0) + len(text)
         chosen = {max(size, key=lambda region: (size[region], -region))}
-    return "\n".join(text for text, _, region in lines if region in chosen)
+    kept = (text for at, (text, _, region) in enumerate(page.lines) if text and (region in chosen or at in between))
+    return "\n".join(kept)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

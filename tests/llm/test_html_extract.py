@@ -30,6 +30,28 @@ def test_page_without_article_takes_the_dense_region():
     assert H.main_text(page) == f"{long.strip()}\nBrief.\n{long.strip()}"
 
 
+def test_lists_tables_and_quotations_in_the_text():
+    long = " ".join(["word"] * 80)
+    menu = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
+    for n in (2, 5, 12):
+        items = [f"short item of the list {i}" for i in range(n)]
+        inner = {
+            "ul": "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>",
+            "table": "<table>" + "".join(f"<tr><td>{i}</td></tr>" for i in items) + "</table>",
+            "quote": "<blockquote>" + "".join(f"<p>{i}</p>" for i in items) + "</blockquote>",
+        }
+        for block in inner.values():
+            text = f"<p>{long}</p>" * 6
+            page = f"<body><div><ul>{menu}</ul></div><div>{text}{block}<div class=ad>Buy.</div>{text}</div></body>"
+            assert H.main_text(page) == "\n".join([long] * 6 + items + [long] * 6)
+
+
+def test_short_article_beside_a_long_one():
+    long = " ".join(["word"] * 80)
+    page = f"<body><article>{f'<p>{long}</p>' * 8}</article><article><p><b>Brief</b> <i>news</i>.</p></article></body>"
+    assert H.main_text(page) == "\n".join([long] * 8 + ["Brief news."])
+
+
 def test_form_round_the_article_and_broken_nesting():
     assert H.main_text("<form><main><p>Text in a form.</main></form>") == "Text in a form."
     assert H.main_text("<article><p><b>One<br><p>Two</article></div></p>") == "One\nTwo"
