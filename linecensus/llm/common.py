@@ -31,3 +31,26 @@ def located(docs: DataFrame) -> DataFrame:
         return docs
     except AnalysisException:
         return write_table(docs, "documents")
+
+
+# A key with more rows than this, and than one in HEAVY_KEYS of all rows, is joined apart.
+HEAVY_ROWS, HEAVY_KEYS = 256, 10_000
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with `table`, which has one row for each value of `on`, none of them null.
+
+    Rows whose key is common stay where they are and meet a broadcast of the few rows of `table` with
+    these keys: fewer than `HEAVY_KEYS`, whatever the size of the input, as each has more than that share of
+    all rows. The others meet in a merge join, where no key has many rows. `rows` is read several times and
+    should be a written table.
+    """
+    common = max(HEAVY_ROWS, rows.count() // HEAVY_KEYS)
+    heavy = rows.groupBy(*on).count().filter(F.col("count") > common).select(*on)
+    heavy = write_table(heavy, "heavy-keys")
+    if heavy.isEmpty():
+        return rows.join(table.hint("merge"), on, how)
+    few = table.join(F.broadcast(heavy), on, "left_semi")
+    apart = rows.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(few), on, how)
+    others = rows.join(F.broadcast(heavy), on, "left_anti").join(table.hint("merge"), on, how)
+    return apart.unionByName(others)

@@ -16,6 +16,7 @@ from linecensus.llm.pii import op3_pii_boosting
 from linecensus.llm.quality import op2_quality_classifier
 from linecensus.llm.sharding import op4_histogram_sharding
 from linecensus.llm.token_counts import op5_token_counts
+from linecensus.llm.whitening import op13_embedding_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,6 @@ def queries() -> dict[str, Query]:
         op1_benchmark_decontamination, op2_quality_classifier, op3_pii_boosting,
         op4_histogram_sharding, op5_token_counts, op6_html_extraction,
         op7_language_id, op8_best_fit_packing, op9_minhash_near_dedup,
-        op10_exact_dedup,
+        op10_exact_dedup, op13_embedding_whitening,
     )
     return {query.__name__: query for query in named}
