@@ -1,0 +1,139 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from linecensus.llm import prefix_trie as module
+from linecensus.llm.prefix_trie import centroid_sums, op12_conversation_prefix_trie, prefix_trie
+
+COLUMNS = "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256".split()
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def brute(rows):
+    """The rows of the trie, from whole sequences in memory."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 6
+        turns = own.get(c - c % 100, [])[:h] + own[c][h:]
+        for depth in range(len(turns) + 1):
+            members[tuple(turns[:depth])].append(c)
+        ends[tuple(turns)].append(c)
+    leaves, saved, children = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node in members:
+        if node:
+            children[node[:-1]] += 1
+    for node, convs in members.items():
+        for depth in range(len(node) + 1):
+            top = node[:depth]
+            leaves[top] += not children[node]
+            saved[top] += (len(convs) - 1) * len(node[-1][1]) if node else 0
+    return sorted(
+        (
+            convs[0], len(node), members[node[:-1]][0] if node else -1, len(convs), children[node], leaves[node],
+            saved[node], hashlib.sha256(",".join(map(str, ends[node])).encode()).hexdigest(),
+        )
+        for node, convs in members.items()
+    )
+
+
+def trie(spark, rows, **options):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5).selectExpr("*", "1 AS depth", "'x' AS part", "2 AS k1")
+    return found(prefix_trie(frame, **options))
+
+
+def found(result):
+    assert result.columns == COLUMNS
+    rows = [tuple(r) for r in result.collect()]
+    return sorted((*r[:2], -1 if r[2] is None else r[2], *r[3:]) for r in rows)
+
+
+def conversations(seed, count, words=3, longest=9):
+    chance = random.Random(seed)
+    return [
+        (chance.choice([c, c * 37 % 1000]), turn, chance.choice(["user", "assistant"]), "w" * chance.randint(0, words))
+        for c in range(count)
+        for turn in range(chance.randint(1, longest))
+    ]
+
+
+def distinct_turns(rows):
+    return list({(r[0], r[1]): r for r in rows}.values())
+
+
+def test_registered_query_against_brute_force(spark):
+    data = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").collect()]
+    assert found(op12_conversation_prefix_trie(spark, data)) == brute(rows)
+
+
+@pytest.mark.parametrize("local", [20_000, 40, 3])
+def test_large_components_are_split_by_joins(spark, local):
+    rows = distinct_turns(conversations(local, 120))
+    assert trie(spark, rows, local=local) == brute(rows)
+
+
+def test_long_conversation_hot_first_turn_and_copies(spark, monkeypatch):
+    monkeypatch.setattr("linecensus.llm.common.HEAVY_ROWS", 20)
+    monkeypatch.setattr("linecensus.llm.common.HEAVY_KEYS", 10)
+    rows = [(1_000_001, turn, "user", f"t{turn}") for turn in range(400)]
+    rows += [(1_000_003, turn, "user", f"t{turn if turn < 250 else -turn}") for turn in range(300)]
+    rows += [(c, turn, "user", ["hello", "a", "b"][turn]) for c in range(200, 320) for turn in range(3)]
+    rows += [(c, turn, "user", ["hello", f"x{c}"][turn]) for c in range(900, 960) for turn in range(2)]
+    assert trie(spark, rows, local=50) == brute(rows)
+
+
+def test_nulls_missing_roots_and_turnless_conversations(spark):
+    rows = [
+        (None, 1, "user", "no conversation"), (100, None, None, None), (100, 1, "user", ""), (100, 2, "", "ünï"),
+        (101, None, "user", "a"), (102, 5, None, "b"), (103, 0, "user", "c"), (104, 0, "user", "c"), (105, 1, "user", "c"),
+        (9_999, 0, "user", "x"), (9_998, 0, "user", "x"), (9_997, 3, "assistant", "x" * 200_000),
+        (-5, 0, "user", "negative"),
+    ]
+    expected = brute([r for r in rows if r[0] != -5])
+    assert trie(spark, [r for r in rows if r[0] != -5]) == expected
+    assert len(trie(spark, rows)) > 0
+
+
+def test_only_turnless_conversations(spark):
+    rows = [(c, 0, "user", "gone") for c in (201, 203, 204, 302) if zlib.crc32(str(c).encode()) % 6]
+    assert trie(spark, rows) == brute(rows)
+
+
+def test_repeated_rows_are_turns_and_pieces_make_one_digest(spark, monkeypatch):
+    monkeypatch.setattr(module, "PIECE", 10)
+    rows = [(300, 1, "user", "again")] * 4 + [(c, 0, "user", "same") for c in range(400, 460)]
+    assert trie(spark, rows) == brute(rows)
+
+
+def test_empty(spark):
+    assert trie(spark, []) == []
+
+
+def test_centroid_sums_of_random_trees():
+    chance = np.random.default_rng(1)
+    for n in (1, 2, 7, 60, 400):
+        for reach in (1, 3, n):
+            parent = np.array([-1] + [chance.integers(max(0, i - reach), i) for i in range(1, n)])
+            depth = np.zeros(n, np.int64)
+            for i in range(1, n):
+                depth[i] = depth[parent[i]] + 1
+            own = chance.integers(1, 5, n)
+            weight, leaf, saved = own.copy(), chance.integers(0, 2, n), chance.integers(0, 99, n)
+            expected = np.stack([leaf, saved])
+            for i in range(n - 1, 0, -1):
+                weight[parent[i]] += weight[i]
+                expected[:, parent[i]] += expected[:, i]
+            block = {
+                "c1": np.ones(n, np.int64), "c2": np.ones(n, np.int64), "conv_id": np.arange(n), "depth": depth,
+                "parent_conv_id": parent, "weight": weight, "leaf": leaf, "saved": saved,
+            }
+            assert np.array_equal(np.stack(centroid_sums(block)), expected)
