@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from linecensus.llm.decontaminate import op1_benchmark_decontamination
 from linecensus.llm.exact_dedup import op10_exact_dedup
 from linecensus.llm.html_extract import op6_html_extraction
+from linecensus.llm.jaccard_join import op11_ngram_jaccard_join
 from linecensus.llm.language_id import op7_language_id
 from linecensus.llm.near_dedup import op9_minhash_near_dedup
 from linecensus.llm.packing import op8_best_fit_packing
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         op1_benchmark_decontamination, op2_quality_classifier, op3_pii_boosting,
         op4_histogram_sharding, op5_token_counts, op6_html_extraction,
         op7_language_id, op8_best_fit_packing, op9_minhash_near_dedup,
-        op10_exact_dedup, op12_conversation_prefix_trie, op13_embedding_whitening,
+        op10_exact_dedup, op11_ngram_jaccard_join, op12_conversation_prefix_trie,
+        op13_embedding_whitening,
     )
     return {query.__name__: query for query in named}
