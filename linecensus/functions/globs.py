@@ -6,11 +6,25 @@ import re
 from typing import NamedTuple
 
 
+# How a rule is found by the last segment of a path: by the whole name, by the text after its last
+# dot, by its first characters, or not at all, so that every path meets the rule.
+NAME, EXTENSION, PREFIX, ANY = "name", "extension", "prefix", "any"
+
+# Characters of a prefix that are a key; what a prefix has beyond them is compared apart.
+PREFIX_KEY = 8
+
+
 class Rule(NamedTuple):
     pattern_regex: str  # matched against the whole path relative to the rule's directory
     literal: str  # text that every matching path contains; spares most paths the regex
     negated: bool
     dir_only: bool
+    folder: str  # the directory, below the rule's own, in which all matching paths lie
+    way: str
+    key: str
+    part: str  # the ending (EXTENSION) or beginning (PREFIX) of all matching names
+    direct: bool  # whether the path lies in that directory itself
+    tested: bool  # whether the pattern must be tested where folder and key agree
 
 
 def _bracket(glob: str, start: int) -> tuple[str, int] | None:
@@ -105,6 +119,51 @@ def required_literal(glob: str) -> str:
     return max(runs, key=len)
 
 
+_SPECIAL = re.compile(r"[*?\[\]{}\\]")
+
+
+class _Place(NamedTuple):
+    folder: str
+    way: str
+    key: str
+    part: str
+    direct: bool
+    tested: bool
+
+
+def _last_segment(last: str) -> tuple[str, str, str, bool]:
+    """`(way, key, rest, decided)` of the last segment of a glob.
+
+    `rest` is the whole ending or beginning that a name must have; `decided` tells whether that is all.
+    """
+    if not _SPECIAL.search(last):
+        return NAME, last, "", True
+    if last == "*":
+        return ANY, "", "", True
+    first, final = _SPECIAL.search(last).start(), max(last.rfind(c) for c in "*?]")
+    beginning, ending = last[:first], last[final + 1 :]
+    if "." in ending:
+        return EXTENSION, ending.rpartition(".")[2], ending, first == 0 and last[:final] == "" and last[0] == "*"
+    if beginning:
+        return PREFIX, beginning[:PREFIX_KEY], beginning, first == len(last) - 1 and last[-1] == "*"
+    return ANY, "", "", False
+
+
+def _placed(glob: str) -> _Place:
+    """Where the paths that match a glob lie and what their names have in common."""
+    segments = glob.split("/")
+    if any(c in glob for c in "{}\\") or any(not part or part.count("[") != part.count("]") for part in segments):
+        return _Place("", ANY, "", "", False, True)
+    folders = 0
+    while folders < len(segments) - 1 and not _SPECIAL.search(segments[folders]):
+        folders += 1
+    rest = segments[folders:]
+    way, key, part, decided = _last_segment(rest[-1]) if rest[-1] != "**" else (ANY, "", "", False)
+    direct, below = len(rest) == 1, len(rest) == 2 and rest[0] == "**"
+    tested = not (decided and (direct or below))
+    return _Place("/".join(segments[:folders]), way, key, part, direct, tested)
+
+
 def parse_rule(line: str) -> Rule | None:
     """Rule of one ignore-file line; None for blank lines, comments and malformed globs."""
     line = line.rstrip("\r\n")
@@ -134,4 +193,4 @@ def parse_rule(line: str) -> Rule | None:
     regex = glob_to_regex(line)
     if regex is None:
         return None
-    return Rule(rf"(?s)^{regex}\z", required_literal(line), negated, dir_only)
+    return Rule(rf"(?s)^{regex}\z", required_literal(line), negated, dir_only, *_placed(line))

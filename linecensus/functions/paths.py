@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,16 @@ def ancestors(path: Column) -> Column:
     )
 
 
+def folders_above(rows: DataFrame, path: str, name: str, root: bool = False) -> DataFrame:
+    """One row for each directory above `path`, as column `name`; the root ('') only if asked for."""
+    slashes = F.length(path) - F.length(F.replace(F.col(path), F.lit("/")))
+    steps = F.sequence(F.lit(0 if root else 1), slashes)
+    if not root:
+        steps = F.when(slashes > 0, steps)
+    stepped = rows.select("*", F.explode(steps).alias("_steps"))
+    return stepped.withColumn(name, F.expr(f"substring_index({path}, '/', _steps)")).drop("_steps")
+
+
 def below(path: Column, base: Column) -> Column:
     """`path` relative to its ancestor directory `base` ('' = the root itself)."""
     return F.when(base == "", path).otherwise(F.substr(path, F.length(base) + 2))

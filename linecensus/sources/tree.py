@@ -45,8 +45,7 @@ _LISTING_SCHEMA = pa.schema(
 )
 _LISTING_DDL = (
     "kind string, path string, raw_path binary, size bigint, mtime bigint, repo_depth int, "
-    "chain array<string>, base_dir string, seq int, source_rank int, pattern_regex string, "
-    "literal string, negated boolean, dir_only boolean, prefix string"
+    f"chain array<string>, {I.RULES_DDL}"
 )
 
 _ENTRY_COLUMNS = ("kind", "path", "raw_path", "size", "mtime", "repo_depth", "chain", "language")
@@ -189,15 +188,10 @@ def _outer_rules(root: str) -> tuple[list[tuple], int | None]:
 
 
 def _judged(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """The entries of one level with `negated` of the rule that decides about them, or NULL.
-
-    An entry meets the rules of its folder and the folders above in one row, by its parent.
-    """
-    parents = entries.select(P.parent(F.col("path")).alias("folder")).distinct()
-    levels = I.rule_levels(parents, rules).withColumnRenamed("folder", "_folder")
-    placed = entries.join(levels, P.parent(F.col("path")) == F.col("_folder"))
-    negated = I.decided(F.col("path"), F.col("kind") == "dir", F.col("repo_depth"))
-    return placed.select(*entries.columns, F.explode(F.array(negated)).alias("negated"))
+    """The entries of one level with `negated` of the rule that decides about them, or NULL."""
+    placed = entries.select("path", (F.col("kind") == "dir").alias("is_dir"), "repo_depth")
+    judged = I.decisions(placed, rules, in_repositories=True)
+    return entries.join(judged.select("path", "negated"), "path", "left")
 
 
 def scan_single(spark: SparkSession, path: str) -> DataFrame:
