@@ -184,6 +184,11 @@ def block_states(codes: Column) -> Column:
     return F.translate(inside, "IXYObcxABCD", "11100000000")
 
 
+def block_states_inside(codes: Column) -> Column:
+    """The same for a piece of a file whose first line is inside a block."""
+    return F.substr(block_states(F.concat(F.lit("O"), codes)), F.lit(2))
+
+
 def last_event(codes: Column) -> Column:
     """Effect of the lines on the block state: true = left open, false = left closed, NULL = none."""
     events = F.translate(codes, "bxc", "")

@@ -26,15 +26,6 @@ def is_hidden(path: Column) -> Column:
     return path.startswith(".") | path.contains("/.")
 
 
-def ancestors(path: Column) -> Column:
-    """Directories above the path, root ('') first: 'a/b/c.rs' -> ['', 'a', 'a/b']."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
-    )
-
-
 def folders_above(rows: DataFrame, path: str, name: str, root: bool = False) -> DataFrame:
     """One row for each directory above `path`, as column `name`; the root ('') only if asked for."""
     slashes = F.length(path) - F.length(F.replace(F.col(path), F.lit("/")))
@@ -45,16 +36,6 @@ def folders_above(rows: DataFrame, path: str, name: str, root: bool = False) ->
     return stepped.withColumn(name, F.expr(f"substring_index({path}, '/', _steps)")).drop("_steps")
 
 
-def below(path: Column, base: Column) -> Column:
-    """`path` relative to its ancestor directory `base` ('' = the root itself)."""
-    return F.when(base == "", path).otherwise(F.substr(path, F.length(base) + 2))
-
-
-def depth(folder: Column) -> Column:
-    """Number of segments; 0 for the root ''."""
-    return F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/")))
-
-
 def parent(path: Column) -> Column:
     """Directory of the path; '' = the root."""
     length = F.length(path) - F.length(file_name(path)) - 1

@@ -1,6 +1,8 @@
 """Line operators over a table of files `(path, language, content, ...)`.
 
-None of them shuffles: a file is split, classified and counted within its row.
+None of them shuffles: a file is split, classified and counted within its row. The operators that return
+lines take `piece_bytes`: texts longer than that are cut into pieces first (see `line_pieces`), which
+costs one more scan of the table for their sake.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linecensus.functions import lines as N
+from linecensus.operators import line_pieces as LP
 from linecensus.operators.detect import comment_syntax
 
 
@@ -38,9 +41,23 @@ def with_codes(files: DataFrame, *keep: str) -> DataFrame:
     return text.select(*keep, "text", _once(N.line_codes()).alias("codes"))
 
 
-def split_lines(files: DataFrame) -> DataFrame:
+def _with_long(files: DataFrame, piece_bytes: int | None, whole, by_piece) -> DataFrame:
+    """`whole` of the files, but `by_piece` of the pieces of those over `piece_bytes`."""
+    if piece_bytes is None:
+        return whole(files)
+    is_long = F.coalesce(LP.is_long(piece_bytes), F.lit(False))
+    pieces = LP.cut_texts(files.filter(is_long), piece_bytes)
+    short = whole(files.filter(~is_long))
+    return short if pieces.isEmpty() else short.unionByName(by_piece(pieces))
+
+
+def split_lines(files: DataFrame, piece_bytes: int | None = None) -> DataFrame:
     """One row per line: path, line_no (from 0), raw."""
-    return files.select("path", F.posexplode(N.split_lines(_text())).alias("line_no", "raw"))
+
+    def whole(rows):
+        return rows.select("path", F.posexplode(N.split_lines(_text())).alias("line_no", "raw"))
+
+    return _with_long(files, piece_bytes, whole, LP.split_lines)
 
 
 def count_newlines(files: DataFrame) -> DataFrame:
@@ -83,9 +100,7 @@ def _explode_letters(files: DataFrame, letters: Column, name: str) -> DataFrame:
     )
 
 
-def classify_lines(files: DataFrame) -> DataFrame:
-    """One row per line: path, line_no (from 0), raw, cls (code / comment / blank)."""
-    lettered = _explode_letters(files, N.line_classes(F.col("codes")), "letter")
+def _line_classes(lettered: DataFrame) -> DataFrame:
     cls = (
         F.when(F.col("letter") == N.CODE, "code")
         .when(F.col("letter") == N.COMMENT, "comment")
@@ -94,10 +109,35 @@ def classify_lines(files: DataFrame) -> DataFrame:
     return lettered.select("path", "line_no", "raw", cls.alias("cls"))
 
 
-def block_state(files: DataFrame) -> DataFrame:
+def classify_lines(files: DataFrame, piece_bytes: int | None = None) -> DataFrame:
+    """One row per line: path, line_no (from 0), raw, cls (code / comment / blank)."""
+
+    def whole(rows):
+        return _line_classes(_explode_letters(rows, N.line_classes(F.col("codes")), "letter"))
+
+    return _with_long(files, piece_bytes, whole, classify_pieces)
+
+
+def classify_pieces(pieces: DataFrame) -> DataFrame:
+    """The same of pieces of texts or files."""
+    codes = F.col("codes")
+    return _line_classes(LP.lettered_lines(pieces, N.line_classes(codes), N.line_classes_inside(codes)))
+
+
+def block_state(files: DataFrame, piece_bytes: int | None = None) -> DataFrame:
     """One row per line: path, line_no (from 0), in_block (the line starts inside a block)."""
-    lettered = _explode_letters(files, N.block_states(F.col("codes")), "letter")
-    return lettered.select("path", "line_no", (F.col("letter") == "1").alias("in_block"))
+    in_block = (F.col("letter") == "1").alias("in_block")
+
+    def whole(rows):
+        lettered = _explode_letters(rows, N.block_states(F.col("codes")), "letter")
+        return lettered.select("path", "line_no", in_block)
+
+    def by_piece(pieces):
+        codes = F.col("codes")
+        lettered = LP.lettered_lines(pieces, N.block_states(codes), N.block_states_inside(codes))
+        return lettered.select("path", "line_no", in_block)
+
+    return _with_long(files, piece_bytes, whole, by_piece)
 
 
 def file_stats(files: DataFrame) -> DataFrame:

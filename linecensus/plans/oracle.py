@@ -202,6 +202,10 @@ SELECT path, path || ': No such file or directory (os error 2)' AS message FROM
         "classify_lines_html": f"{_HTML_ALL} SELECT path, line_no, cls FROM classified",
         "classify_lines_corpus": f"{_CORPUS_ALL} SELECT path, line_no, cls FROM classified",
         "block_state": f"{_CORPUS_ALL} SELECT path, line_no, in_block FROM classified",
+        "split_lines_pieces": f"{_CORPUS_ALL} SELECT path, line_no, raw FROM raw_lines",
+        "classify_lines_pieces": f"{_CORPUS_ALL} SELECT path, line_no, cls FROM classified",
+        "block_state_pieces": f"{_CORPUS_ALL} SELECT path, line_no, in_block FROM classified",
+        "classify_lines_tree": f"{_CORPUS_ALL} SELECT path, line_no, cls FROM classified WHERE language <> 'Unknown'",
         "file_stats": file_stats,
         "language_stats": language_stats,
         "language_stats_html": f"{_HTML_ALL} SELECT * FROM language_stats",

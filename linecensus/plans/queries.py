@@ -13,6 +13,7 @@ from linecensus.functions import lines as N
 from linecensus.operators import detect as D
 from linecensus.operators import ignore as I
 from linecensus.operators import incremental as C
+from linecensus.operators import line_pieces as LP
 from linecensus.operators import lines as O
 from linecensus.operators import stats as S
 from linecensus.plans import analyze as A
@@ -182,6 +183,22 @@ def block_state(spark, sf_dir):
     return O.block_state(_corpus(spark, sf_dir))
 
 
+# The same with texts over this many bytes cut into pieces.
+SMALL_PIECE = 200
+
+
+def split_lines_pieces(spark, sf_dir):
+    return O.split_lines(T.corpus(spark, sf_dir), SMALL_PIECE)
+
+
+def classify_lines_pieces(spark, sf_dir):
+    return O.classify_lines(_corpus(spark, sf_dir), SMALL_PIECE).select("path", "line_no", "cls")
+
+
+def block_state_pieces(spark, sf_dir):
+    return O.block_state(_corpus(spark, sf_dir), SMALL_PIECE)
+
+
 # Aggregates and orders -----------------------------------------------------------------------
 
 
@@ -375,6 +392,13 @@ def read_content(spark, sf_dir):
     return read.select("path", "size", "offset", F.md5("content").alias("digest"))
 
 
+def classify_lines_tree(spark, sf_dir):
+    """Lines of the files of a tree, read and classified in small pieces."""
+    root = _corpus_tree(spark, sf_dir)
+    read = CT.read_content(TR.scan_tree(spark, root), root, piece_bytes=SMALL_PIECE)
+    return O.classify_pieces(LP.cut_files(read)).select("path", "line_no", "cls")
+
+
 def analyze_tree(spark, sf_dir):
     return A.analyze_tree(spark, _corpus_tree(spark, sf_dir)).languages
 
@@ -453,7 +477,8 @@ def queries() -> dict[str, Query]:
         path_parts, detect_language, detect_language_counts, is_code_file, language_filter_files,
         comment_syntax, display_name, hidden_filter, ignore_rules, exclude_globs, split_lines,
         line_split_counts, count_newlines, blank_lines, ltrim_ws, find_token, fast_stats,
-        classify_lines_html, classify_lines_corpus, block_state, language_stats_html,
+        classify_lines_html, classify_lines_corpus, block_state, split_lines_pieces,
+        classify_lines_pieces, block_state_pieces, classify_lines_tree, language_stats_html,
         grand_total_rollup, merge_stats, langs_by_code, langs_by_files, files_by_path,
         files_by_size, cache_probe, cache_misses, cache_hit_rate, cache_upsert, cache_cleanup,
         cache_validate, cache_modes, combine_results, root_id, summary, report_table, report_full,

@@ -184,7 +184,8 @@ def report_json(
 ) -> DataFrame:
     """{summary, languages, files} as pretty-printed JSON, one row per array element.
 
-    The comma after an element depends on whether it is the last one, found by one aggregate.
+    The comma after an element depends on whether it is the last one, found by one aggregate. Paths that
+    look the same, of which only one is the last, are told apart by their number.
     """
     spark = language_stats.sparkSession
     totals = summary(language_stats, error_count, elapsed_ms).drop("files_per_sec", "lines_per_sec")
@@ -215,13 +216,17 @@ def report_json(
             **{k: F.col(k) for k in keys},
         },
     )
-    last_path = file_stats.agg(F.max("path")).scalar()
-    comma = F.when(F.col("path") == last_path, "").otherwise(",")
+    last_path = F.col("path").eqNullSafe(F.lit(file_stats.agg(F.max("path")).first()[0]))
+    alike = Window.partitionBy("path").orderBy(*[F.desc(key) for key in ("language", *keys)])
+    lasts = file_stats.filter(last_path).withColumn("nth", F.row_number().over(alike))
+    line = F.concat(F.lit("    "), element)
     return _union(
         [
             *parts,
             _text_rows(spark, 2, ["  ],", '  "files": [']),
-            _row(file_stats, 3, F.concat(F.lit("    "), element, comma), path="path"),
+            _row(file_stats.filter(~last_path), 3, F.concat(line, F.lit(",")), path="path"),
+            _row(lasts.filter("nth > 1"), 3, F.concat(line, F.lit(",")), path="path"),
+            _row(lasts.filter("nth = 1"), 3, line, rank="1", path="path"),
             _text_rows(spark, 4, ["  ]", "}"]),
         ]
     )

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -146,3 +147,22 @@ def test_analyze_table(spark):
     got = {r.name: (r.code, r.comments) for r in analyze_table(files).languages.collect()}
     assert got == {"Rust": (1, 1), "Python": (0, 1)}
     assert analyze_table(files, languages=["python"]).files.count() == 1
+
+
+def test_json_of_paths_that_look_the_same(spark, tmp_path):
+    """Names that are not UTF-8 are shown alike, also those that come last."""
+    for name in (b"\xff.rs", b"\xfe.rs", b"\xfd.rs", b"a.rs"):
+        with open(os.path.join(os.fsencode(tmp_path), name), "wb") as file:
+            file.write(b"fn main() {}\n" * (1 + name[0] % 3))
+    census = analyze_tree(spark, str(tmp_path))
+    document = json.loads("\n".join(r.line for r in census.report("json", files=True).collect()))
+    shown = [f["path"].rpartition("/")[2] for f in document["files"]]
+    assert shown == ["a.rs", "\ufffd.rs", "\ufffd.rs", "\ufffd.rs"]
+    assert sorted(f["lines"] for f in document["files"]) == sorted([1 + b % 3 for b in (0xFF, 0xFE, 0xFD, 97)])
+
+
+def test_json_of_repeated_rows(spark):
+    rows = [("p", "Rust", 1, 1, 0, 0, 9)] * 3 + [("a", "Rust", 1, 1, 0, 0, 9)]
+    frame = spark.createDataFrame(rows, "path string, language string, lines bigint, code bigint, comments bigint, blanks bigint, bytes bigint")
+    lines = R.ordered(R.report_json(S.language_stats(frame), file_stats=frame)).collect()
+    assert len(json.loads("\n".join(r.line for r in lines))["files"]) == 4
