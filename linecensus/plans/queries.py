@@ -24,6 +24,7 @@ from linecensus.sinks.tree_files import write_tree
 from linecensus.sources import content as CT
 from linecensus.sources import tables as T
 from linecensus.sources import tree as TR
+from linecensus.sources import tree_source as TS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -386,6 +387,13 @@ def scan_tree_filtered(spark, sf_dir):
     return TR.scan_tree(spark, root, exclude=TREE_EXCLUDES).select("path", "language", "size")
 
 
+def tree_source(spark, sf_dir):
+    """The corpus tree as a table of a data source, with ignore files and the content of each file."""
+    columns = "path string, size bigint, content binary"
+    found = D.detect_language(TS.read_tree(spark, _corpus_tree(spark, sf_dir), columns)).filter(D.is_code_file())
+    return found.select("path", "language", "size", F.md5("content").alias("digest"))
+
+
 def read_content(spark, sf_dir):
     root = _corpus_tree(spark, sf_dir)
     read = CT.read_content(TR.scan_tree(spark, root), root)
@@ -482,7 +490,7 @@ def queries() -> dict[str, Query]:
         grand_total_rollup, merge_stats, langs_by_code, langs_by_files, files_by_path,
         files_by_size, cache_probe, cache_misses, cache_hit_rate, cache_upsert, cache_cleanup,
         cache_validate, cache_modes, combine_results, root_id, summary, report_table, report_full,
-        report_files, report_csv, report_json, scan_tree, scan_tree_filtered, read_content,
+        report_files, report_csv, report_json, scan_tree, scan_tree_filtered, tree_source, read_content,
         analyze_tree, analyze_tree_pieces, analyze_tree_long_lines, analyze_tree_rerun, scan_single,
         follow_links, cache_sink, error_sample,
         error_count,
