@@ -33,6 +33,21 @@ def located(docs: DataFrame) -> DataFrame:
         return write_table(docs, "documents")
 
 
+def place_columns() -> list[Column]:
+    """`file` and `row` of each row of a `located` table."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
+def named_by_row(docs: DataFrame) -> DataFrame:
+    """`(doc_id, text)` of a `located` table, where `doc_id` is a struct that names the row.
+
+    Rows of one `doc_id`, and rows without, are different documents then. Structs are in the order of
+    `doc_id`, rows without one last.
+    """
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    return docs.select(F.struct(unnamed, "doc_id", *place_columns()).alias("doc_id"), "text")
+
+
 # A key with more rows than this, and than one in HEAVY_KEYS of all rows, is joined apart.
 HEAVY_ROWS, HEAVY_KEYS = 256, 10_000
 

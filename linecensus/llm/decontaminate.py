@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linecensus.llm.common import located, named_by_row
 from linecensus.session import write_table
 
 WINDOW = 8
@@ -242,6 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that holds a benchmark item, with the item."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Every document that holds a benchmark item, with the item; rows that share a `doc_id` are judged apart."""
+    docs = located(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = contaminated(named_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("doc_id", F.col("doc_id.doc_id"))

@@ -111,3 +111,24 @@ def test_passages_against_brute_force(spark):
         cut = words[i % 5 : len(words) - i % 7]
         texts.append(f"{frames.invented(15, i)} {' '.join(cut)} {frames.invented(15, 99 + i)}")
     assert set(found(spark, texts, items)) == brute_force(texts, items)
+
+
+def test_query_judges_rows_that_share_an_identifier_apart(spark, tmp_path):
+    filler = frames.invented(30, 3)
+    half = len(QUESTION.split()) // 2
+    halves = [" ".join(QUESTION.split()[:half]), " ".join(QUESTION.split()[half:])]
+    first, second = asked("Maria", 5, 7, "Tom", 9, "Rome", 5), asked("Eva", 8, 2, "Jan", 4, "Oslo", 8)
+    rows = [(1, f"{filler} {first}"), (1, f"{second} {filler}"), (None, f"{filler} {second}"), (2, filler)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, QUESTION)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = D.op1_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 0), (1, 0), (1, 0)]
+
+    def whole_items(texts):
+        ids = [(None, text) for text in texts]
+        frame = spark.createDataFrame(ids, "doc_id bigint, text string")
+        return D.contaminated(D.named_by_row(D.located(frame)), benchmark(spark, [QUESTION])).count()
+
+    apart = [f"{filler} {halves[0]}", f"{halves[1]} {filler}"]
+    alone = sum(whole_items([text]) for text in apart)
+    assert whole_items(apart) == alone

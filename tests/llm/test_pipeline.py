@@ -53,6 +53,31 @@ def test_stages_against_brute_force(spark, tables):
     assert {r.doc_id for r in packed.collect()} == expected[-1]
 
 
+def test_rows_are_dropped_not_identifiers(spark, tmp_path):
+    """Rows that share an identifier, or have none, are documents of their own."""
+    a, b = frames.invented(90, 51), frames.invented(120, 52)
+    question = [asked(*values) for values in (("Maria", 5, 7, "Tom", 9, "Rome", 5), ("Eva", 8, 2, "Jan", 4, "Oslo", 8))]
+    rows = [
+        (5, a), (3, b), (5, f"{b} more"), (None, f"{b} again"), (None, frames.invented(70, 53)),
+        (7, f"{frames.invented(40, 54)} {question[0]}"), (7, f"{frames.invented(40, 55)} {question[1]}"),
+        (None, f"{frames.invented(40, 56)} {question[0]}"), (7, frames.invented(50, 57)),
+    ]
+    frame = spark.createDataFrame([(*row, "en", "mine", 1) for row in rows], "doc_id bigint, text string, lang string, score string, row int")
+    frame = frame.selectExpr("*", "'x' AS lang_pred", "2 AS file", "text AS __file", "named_struct('file_path', 'f') AS `_metadata`")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, QUESTION)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    left = {2: set(rows), 3: set(rows) - {rows[2], rows[3]}}
+    left[4] = left[3] - {rows[5], rows[6], rows[7]}
+    for number, (name, stage) in enumerate(C.STAGES[:-1], 1):
+        docs = C.write_table(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+        found = docs.collect()
+        assert {(r.doc_id, r.text) for r in found} == left.get(number, set(rows)), name
+        assert {(r.score, r.lang_pred, r["__file"] == r.text, r["_metadata"].file_path) for r in found} == {("mine", "x", True, "f")}
+
+
 def test_empty_documents(spark, tables, tmp_path):
     sf_dir, _ = tables
     other = tmp_path / "none"
@@ -63,7 +88,7 @@ def test_empty_documents(spark, tables, tmp_path):
 
 def test_one_query_for_each_operator():
     named = list(queries.queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in named) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in named) == list(range(1, 14))
     assert set(named) | {"pipeline"} <= set(entry.queries())
     assert set(oracle.oracle_sql()) <= set(named)
 
