@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, one written stage after another.
 
-Every stage but the last returns rows of `documents` with their columns; each reads all that the one before
-kept. Rows without a `doc_id` cannot be named by the stages that drop by identifier (near duplicates
-and contamination); they stay there.
+Every stage but the last returns rows of `documents` with their columns, whatever their names; each reads all
+that the one before kept. Rows are dropped by their place in the table, not by identifier: rows that share
+a `doc_id`, or have none, are documents of their own. Of near copies, the one with the smallest `doc_id` stays.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecensus.llm.common import located
+from linecensus.llm.common import located, named_by_row, place_columns
 from linecensus.llm.decontaminate import contaminated
 from linecensus.llm.exact_dedup import exact_dedup
 from linecensus.llm.language_id import UNDETERMINED, identify, labelled_sample, train
@@ -19,38 +19,46 @@ from linecensus.llm.packing import pack_documents
 from linecensus.session import write_table
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """`docs` with columns that no operator's own names can meet; in the same order."""
+    names = [name if name in ("doc_id", "text") else f"column {i}" for i, name in enumerate(docs.columns)]
+    return docs.toDF(*names)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs`, a located table, without the rows at the places `(file, row)`; a merge join at every size."""
+    placed = docs.select("*", *place_columns())
+    return placed.join(dropped.distinct().hint("merge"), ["file", "row"], "left_anti").drop("file", "row")
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; empty ones and those without a letter go."""
-    found = identify(docs, train(labelled_sample(docs)), docs.columns)
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    model = train(labelled_sample(docs))
+    plain = _plain(docs)
+    found = identify(plain, model, plain.columns).filter(F.col("lang_pred") != UNDETERMINED)
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows are dropped by their place, not their identifier."""
-    docs = located(docs)
-    dropped = exact_dedup(docs).filter(~F.col("kept"))
-    dropped = dropped.select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    placed = docs.select(
-        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
-    )
-    return placed.join(dropped.hint("merge"), ["__file", "__row"], "left_anti").select(*docs.columns)
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the identifiers of `dropped`, by a merge join at every size."""
-    named = dropped.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    return docs.join(named.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of equal texts."""
+    plain = located(_plain(docs))
+    dropped = exact_dedup(plain).filter(~F.col("kept")).select("file", "row")
+    return _without(plain, dropped).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each near-duplicate class."""
-    return _without(docs, near_duplicates(docs).filter("doc_id <> class_id"))
+    """The first document, by `doc_id` and then by place, of each near-duplicate class."""
+    plain = located(_plain(docs))
+    dropped = near_duplicates(named_by_row(plain)).filter("doc_id <> class_id").select("doc_id.file", "doc_id.row")
+    return _without(plain, dropped).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contaminated(docs, benchmark))
+    plain = located(_plain(docs))
+    dropped = contaminated(named_by_row(plain), benchmark).select("doc_id.file", "doc_id.row")
+    return _without(plain, dropped).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
