@@ -11,9 +11,12 @@ is every region with a line that passes, whole, all visible lines from the first
 to the last (lists, tables and quotations in the text), and the article and main elements; where there is
 none of these, the region with the most text.
 
-Elements that are never content, by tag, role or the words of their class and id, have ratio 0 and
-no text: menus, headers and footers of the page, side bars, notices, adverts, forms, scripts, styles, hidden
-elements and reader comments. A form around an article does not hide it.
+Elements that are never content, by tag or role, have ratio 0 and no text: menus, headers and footers of the page,
+side bars, scripts, styles, hidden elements and reader comments. So do elements that a name in class or id
+marks as a notice, an advert, a side bar and the like, and forms, but these only if they hold less than `MOST` of the
+text left: a mark is no verdict on the body of a page. A name counts as a whole, or by its first or last part
+("sidebar-left", "cookie-notice"); names of states ("no-sidebar", "comments-open") do not count. Outside of
+article and main elements, lists and tables of little but links are menus.
 
 - A null page, an empty one and one without visible text give an empty text.
 - Character references are decoded; white space in a block becomes one space; blocks are joined by a
@@ -31,6 +34,8 @@ from html.parser import HTMLParser
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+# Share of a page's text from which a marked element is content after all, and of links that make a list a menu.
+MOST, LINKS = 0.5, 0.8
 SIGMA = 1.5  # lines
 THRESHOLD = 0.5  # standard deviations
 # Characters that are fed to the parser at a time.
@@ -50,7 +55,7 @@ CONTAINERS = frozenset(
 )
 ROOTS = frozenset(("article", "main"))
 NEVER = frozenset(
-    "aside button canvas dialog footer form iframe menu nav noscript object script select style svg "
+    "aside button canvas dialog footer iframe menu nav noscript object script select style svg "
     "template textarea title".split()
 )
 # Words of class, id and role attributes.
@@ -62,23 +67,42 @@ NEVER_WORDS = frozenset(
 )
 PAGE_WORDS = frozenset(("header", "masthead"))
 COMMENT_WORDS = frozenset(("comment", "comments", "disqus", "respond"))
+# Parts of names that tell the state of something else on the page.
+STATE_WORDS = frozenset("no has with without open opened closed enabled disabled on off is not hide show".split())
+LISTS = frozenset("ul ol dl table".split())
 SPACED = frozenset(("br", "td", "th", "img", "input", "wbr"))
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_:.]+")
+_CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def marks(names: str) -> set[str]:
+    """The words that the names of a class or id attribute mark an element with."""
+    found = set()
+    for name in names.split():
+        parts = [part for part in _PARTS.split(_CAPITAL.sub("-", name).lower()) if part]
+        if parts and not STATE_WORDS & set(parts):
+            found |= {parts[0], parts[-1]}
+    return found
+
+
 class PageLines(HTMLParser):
-    """Lines of a page: text, tags since the line before, region; hidden ones have no text."""
+    """Lines of a page: text, tags since the line before, region, marked elements around; hidden ones have
+    no text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.roots: set[int] = set()
+        self.lists: set[int] = set()
+        self.linked: dict[int, int] = {}  # characters of links by region
+        self.links = 0  # open link elements
+        self.marked = 0
         self.regions = 0
         self.parts: list[str] = []
         self.tags = 0
-        # Open containers: tag, hidden, region, whether inside an article or main element.
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        # Open containers: tag, hidden, region, whether inside an article or main element, marked ones around.
+        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -86,7 +110,10 @@ class PageLines(HTMLParser):
         self.tags += 1
         if tag in SPACED and tag != "wbr":
             self.parts.append(" ")
+        if tag == "a":
+            self.links = 1  # links do not nest
         if tag in CONTAINERS:
+            self.links = 0 if tag in LISTS else self.links
             if tag == "body" and len(self.open) > 1:
                 return
             self._enter(tag, dict(attrs))
@@ -104,21 +131,22 @@ class PageLines(HTMLParser):
                 self.parts.append(" ")
 
     def _enter(self, tag: str, attrs: dict[str, str | None]) -> None:
-        parent, hidden, region, inside = self.open[-1]
-        words = set()
-        for name in ("class", "id", "role"):
-            words.update(_WORD.findall((attrs.get(name) or "").lower()))
-        main = tag in ROOTS or "main" in _WORD.findall((attrs.get("role") or "").lower())
-        main = main or "articlebody" in (attrs.get("itemprop") or "").lower()
-        if main and hidden and parent == "form":
-            # The form goes round the article; whatever hid the form itself still counts.
-            hidden = self.open[-2][1]
-        if tag in NEVER or (tag == "header" and not inside):
+        parent, hidden, region, inside, around = self.open[-1]
+        roles = set((attrs.get("role") or "").lower().split())
+        words = marks(attrs.get("class") or "") | marks(attrs.get("id") or "")
+        main = tag in ROOTS or "main" in roles or "articlebody" in (attrs.get("itemprop") or "").lower()
+        if main and parent == "form":
+            # The form goes round the article.
+            around = around[:-1]
+        if tag in NEVER or (tag == "header" and not inside) or roles & NEVER_WORDS:
             hidden = True
-        elif main or tag == "body":
-            hidden = hidden or bool(words & COMMENT_WORDS)
-        elif words & NEVER_WORDS or (words & PAGE_WORDS and not inside):
+        elif words & COMMENT_WORDS and tag != "body":
             hidden = True
+        elif tag == "form" or (
+            not main and tag != "body" and (words & NEVER_WORDS or (words & PAGE_WORDS and not inside))
+        ):
+            self.marked += 1
+            around = (*around, self.marked)
         if "hidden" in attrs or _HIDDEN.search((attrs.get("style") or "").lower()):
             hidden = True
         if not inside:
@@ -126,12 +154,16 @@ class PageLines(HTMLParser):
             region = self.regions
             if main:
                 self.roots.add(region)
-        self.open.append((tag, hidden, region, inside or main))
+            elif tag in LISTS:
+                self.lists.add(region)
+        self.open.append((tag, hidden, region, inside or main, around))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in CONTAINERS:
             self.end_line()
         self.tags += 1
+        if tag == "a":
+            self.links = 0
         if tag in CONTAINERS:
             for at in range(len(self.open) - 1, 0, -1):
                 if self.open[at][0] == tag:
@@ -141,14 +173,33 @@ class PageLines(HTMLParser):
     def handle_data(self, data):
         if not self.open[-1][1]:
             self.parts.append(data)
+            if self.links:
+                region = self.open[-1][2]
+                self.linked[region] = self.linked.get(region, 0) + len("".join(data.split()))
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text or self.tags:
-            self.lines.append((text, self.tags, self.open[-1][2]))
+            self.lines.append((text, self.tags, self.open[-1][2], self.open[-1][4]))
             self.tags = 0
 
+    def visible(self) -> list[tuple[str, int, int]]:
+        """The lines, without the text of marked elements that are not most of the page and of menus."""
+        total, of_marked, of_region = 0, {}, {}
+        for text, _, region, around in self.lines:
+            size = len(text) - text.count(" ")
+            total += size
+            of_region[region] = of_region.get(region, 0) + size
+            for mark in around:
+                of_marked[mark] = of_marked.get(mark, 0) + size
+        gone = {mark for mark, size in of_marked.items() if size < MOST * total}
+        menus = {region for region in self.lists if self.linked.get(region, 0) >= LINKS * of_region.get(region, 0) > 0}
+        return [
+            ("" if region in menus or not gone.isdisjoint(around) else text, tags, region)
+            for text, tags, region, around in self.lines
+        ]
+
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
     """The ratios after a Gaussian filter that renormalises at the ends."""
@@ -170,13 +221,14 @@ def main_text(html: str | None) -> str:
         page.feed(html[start : start + FEED])
     page.close()
     page.end_line()
-    lines = [line for line in page.lines if line[0]]
+    every = page.visible()
+    lines = [line for line in every if line[0]]
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in page.lines]))
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in every]))
     threshold = THRESHOLD * ratios.std()
-    passing = [at for at, (line, ratio) in enumerate(zip(page.lines, ratios)) if line[0] and ratio >= threshold]
-    content = {page.lines[at][2] for at in passing}
+    passing = [at for at, (line, ratio) in enumerate(zip(every, ratios)) if line[0] and ratio >= threshold]
+    content = {every[at][2] for at in passing}
     roots = page.roots & {region for _, _, region in lines}
     if content & roots:
         chosen, between = roots, range(0)
@@ -188,7 +240,7 @@ def main_text(html: str | None) -> str:
         for text, _, region in lines:
             size[region] = size.get(region, 0) + len(text)
         chosen = {max(size, key=lambda region: (size[region], -region))}
-    kept = (text for at, (text, _, region) in enumerate(page.lines) if text and (region in chosen or at in between))
+    kept = (text for at, (text, _, region) in enumerate(every) if text and (region in chosen or at in between))
     return "\n".join(kept)
 
 

@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from linecensus.llm import html_extract as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
@@ -58,6 +61,64 @@ def test_form_round_the_article_and_broken_nesting():
     assert H.main_text("plain &lt;text&gt; only <") != ""
 
 
+LONG = " ".join(["word"] * 80)
+
+
+def test_names_of_states_and_marks_round_the_page_hide_nothing():
+    text = f"<p>{LONG}</p>" * 6
+    whole = "\n".join([LONG] * 6)
+    for page in (
+        f'<div class="page no-sidebar">{text}</div>',
+        f'<article class="post comments-open">{text}</article>',
+        f'<body class="single comments-enabled"><article>{text}</article>',
+        f'<body><form id="aspnetForm"><div class="content">{text}</div></form>',
+        f'<div class="news-related-topic">{text}</div>',
+        f'<article><div class="text-with-ads">{text}</div></article>',
+        f'<div class="popup">{text}</div>',
+        f'<div class="hasSidebar widget">{text}</div>',
+    ):
+        assert H.main_text(page) == whole
+
+
+def test_marked_elements_beside_the_text_go():
+    text = f"<p>{LONG}</p>" * 4
+    for mark in (
+        'class="cookie-notice"', 'id="sidebarLeft"', 'class="col ad_slot"', 'role="complementary"',
+        'class="comment-list"', 'class="newsletter"', "hidden",
+    ):
+        for page in (f"<div>{text}<div {mark}><p>{LONG}</p></div>{text}</div>", f"<article>{text}<div {mark}><p>{LONG}</p></div>{text}</article>"):
+            assert H.main_text(page) == "\n".join([LONG] * 8), mark
+    form = "<form><label>Name <input></label><p>Send us a message of any length you like</p></form>"
+    assert H.main_text(f"<div>{text}{form}</div>") == "\n".join([LONG] * 4)
+
+
+def test_reader_comments_go_even_if_longer_than_the_article():
+    comments = "".join(f'<div class="comment"><p>{LONG}</p></div>' for _ in range(9))
+    assert H.main_text(f"<article><p>{LONG}</p></article><div id=comments>{comments}</div>") == LONG
+
+
+def test_a_list_of_links_between_text_blocks_is_a_menu():
+    text = f"<p>{LONG}</p>" * 4
+    menu = "".join(f"<li><a href=/{i}>Section number {i}</a></li>" for i in range(6))
+    assert H.main_text(f"<div>{text}<ul>{menu}</ul>{text}</div>") == "\n".join([LONG] * 8)
+    some = "".join(f"<li>A point with a <a href=/{i}>link</a> in it</li>" for i in range(3))
+    kept = ["A point with a link in it"] * 3
+    assert H.main_text(f"<div>{text}<ul>{some}</ul>{text}</div>") == "\n".join([LONG] * 4 + kept + [LONG] * 4)
+
+
+def test_smoothing_against_a_plain_sum():
+    chance = random.Random(1)
+    for n in (1, 2, 5, 9, 10, 40):
+        ratios = [chance.random() * 50 for _ in range(n)]
+        reach = 5
+        plain = []
+        for i in range(n):
+            near = [j for j in range(n) if abs(i - j) <= reach]
+            weights = [math.exp(-0.5 * ((i - j) / H.SIGMA) ** 2) for j in near]
+            plain.append(sum(w * ratios[j] for w, j in zip(weights, near)) / sum(weights))
+        np.testing.assert_allclose(H.smoothed(np.array(ratios)), plain)
+
+
 def test_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", PAGE), (4, "u", PAGE), (4, "u", PAGE), (5, "u", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
