@@ -251,6 +251,8 @@ UNION ALL SELECT '    ' || {_FILE_JSON} || CASE WHEN path = (SELECT max(path) FR
         "error_sample": f"{missing} ORDER BY path LIMIT 5",
         "error_count": f"SELECT count(*) AS error_count FROM ({missing})",
         "scan_tree": f"{_CORPUS_ALL} SELECT path, language, size FROM corpus",
+        "report_csv_tables": file_stats,
+        "report_json_tables": file_stats,
         "tree_source": f"{_CORPUS_ALL} SELECT path, language, size, md5(content) AS digest FROM corpus",
         "read_content": f"{_CORPUS_ALL} SELECT path, strlen(content) AS size, 0::BIGINT AS \"offset\", md5(content) AS digest FROM corpus",
         "analyze_tree": language_stats,

@@ -354,6 +354,23 @@ def report_json(spark, sf_dir):
     return R.ordered(R.report_json(S.language_stats(stats), file_stats=stats))
 
 
+def _report_tables(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """Counts by file, saved as tables and read again."""
+    stats = write_table(_corpus_stats(spark, sf_dir), "stats")
+    folder = scratch_path(spark, f"report-{fmt}")
+    R.write_files(S.language_stats(stats), stats, folder, fmt)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
+    return R.read_files(spark, folder, "files", schema, fmt)
+
+
+def report_csv_tables(spark, sf_dir):
+    return _report_tables(spark, sf_dir, "csv")
+
+
+def report_json_tables(spark, sf_dir):
+    return _report_tables(spark, sf_dir, "json")
+
+
 # File trees, written from the corpus into the shared folder ------------------------------------
 
 # Lines of the ignore files in every third source folder, and the globs excluded besides.
@@ -490,7 +507,7 @@ def queries() -> dict[str, Query]:
         grand_total_rollup, merge_stats, langs_by_code, langs_by_files, files_by_path,
         files_by_size, cache_probe, cache_misses, cache_hit_rate, cache_upsert, cache_cleanup,
         cache_validate, cache_modes, combine_results, root_id, summary, report_table, report_full,
-        report_files, report_csv, report_json, scan_tree, scan_tree_filtered, tree_source, read_content,
+        report_files, report_csv, report_json, report_csv_tables, report_json_tables, scan_tree, scan_tree_filtered, tree_source, read_content,
         analyze_tree, analyze_tree_pieces, analyze_tree_long_lines, analyze_tree_rerun, scan_single,
         follow_links, cache_sink, error_sample,
         error_count,

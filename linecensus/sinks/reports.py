@@ -279,3 +279,28 @@ def ordered(report: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """Write a report as text; the part files in name order are the report."""
     ordered(report).write.text(path)
+
+
+# Quotes are doubled and nothing is trimmed, so that any text comes back as it was.
+_CSV = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_files(language_stats: DataFrame, file_stats: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Write the counts as tables, `languages` and `files` under `path`: csv with quotes, or json lines.
+
+    Unlike the report layouts these are in no order, and each part file can be read by itself.
+    """
+    for table, name in ((language_stats, "languages"), (file_stats, "files")):
+        if fmt == "csv":
+            table.write.options(**_CSV).csv(f"{path}/{name}")
+        elif fmt == "json":
+            table.write.json(f"{path}/{name}", ignoreNullFields=False)
+        else:
+            raise ValueError(f"{fmt}: csv or json")
+
+
+def read_files(spark: SparkSession, path: str, name: str, schema: str, fmt: str = "csv") -> DataFrame:
+    """A table that `write_files` has written; `schema` as it was."""
+    if fmt == "json":
+        return spark.read.schema(schema).json(f"{path}/{name}")
+    return spark.read.schema(schema).options(**_CSV, multiLine=True, lineSep="\n").csv(f"{path}/{name}")

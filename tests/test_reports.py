@@ -166,3 +166,16 @@ def test_json_of_repeated_rows(spark):
     frame = spark.createDataFrame(rows, "path string, language string, lines bigint, code bigint, comments bigint, blanks bigint, bytes bigint")
     lines = R.ordered(R.report_json(S.language_stats(frame), file_stats=frame)).collect()
     assert len(json.loads("\n".join(r.line for r in lines))["files"]) == 4
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_tables_bring_any_path_back(spark, tmp_path, fmt):
+    paths = ['a,b"c\nd.rs', "plain.rs", " led and trailed ", '"', "\\", 'x\\"y', "caf\u00e9\t", "two\n\nlines", ""]
+    rows = [(path, "Rust", i, i, 0, 0, 10**12) for i, path in enumerate(paths)]
+    frame = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    R.write_files(S.language_stats(frame), frame, str(tmp_path / fmt), fmt)
+    back = R.read_files(spark, str(tmp_path / fmt), "files", COLUMNS, fmt)
+    expected = rows if fmt == "json" else [(row[0] or None, *row[1:]) for row in rows]
+    assert sorted((tuple(r) for r in back.collect()), key=lambda r: r[2]) == expected
+    languages = R.read_files(spark, str(tmp_path / fmt), "languages", "name string, files bigint", fmt)
+    assert languages.select("files").first()[0] == len(paths)
