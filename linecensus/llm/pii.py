@@ -1,20 +1,24 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Base patterns of e-mail addresses, IP addresses, payment cards and telephone numbers give spans that are always
-redacted. High-recall generators propose more spans that may overlap them: addresses with written-out
-signs, and digits in any grouping. All candidates are described by format and context features that
-take a few values each. Boosted two-level trees are fitted on the counts of every combination of
-values over the whole table (a table bounded by the features, not by the data), with the base spans as
-the positive class, on four folds of documents. The fifth calibrates the threshold of each kind: the lowest score
-above which the share of base spans among all candidates is at least `PRECISION`. A proposed
-span that reaches it, and overlaps neither a base span nor an earlier proposal, is added.
+redacted. High-recall generators propose more spans that may overlap them and each other: addresses and IP
+addresses with written-out or bracketed signs, and digits in any grouping. All candidates are described by
+format and context features that take a few values each. Boosted two-level trees are fitted on the counts
+of every combination of values over the whole table (a table bounded by the features, not by the data), on four
+folds of documents. Positive are base spans and proposals with evidence of their own: their normalised form
+passes a base pattern and its check, and they are written as such data is (a bracketed sign, card groups, a
+keyword before a number). Base spans, proposals with evidence and the others have equal weight, so it does not
+matter how common a form is. The fifth fold calibrates a threshold for each kind: the lowest score above
+which the share of proposals with evidence is at least `PRECISION` (all folds do where the fifth has no proposal of
+the kind). Proposals that reach it are added, but for those inside a proposal of higher score and those that
+overlap a base span of their own kind, which is the same find.
 
 Positions are code points, found from the lengths of the gaps between matches; patterns never
 match across a line, and possessive quantifiers keep them linear in the text.
 
 - A null text counts as empty and has no span.
 - Repeated rows and rows with the same `doc_id` are treated one by one; a null `doc_id` is passed through.
-- A table without any candidate adds nothing. An empty table gives an empty result.
+- A table without any proposal adds nothing. An empty table gives an empty result.
 - Only `doc_id` and `text` are read; other columns may have any name.
 """
 
@@ -33,6 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.99
 TREES = 20
 RATE = 0.3
+# Total weight of base spans, of proposals with evidence and of the others; largest value of a leaf.
+WEIGHT, STEP = 1000.0, 4.0
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # A match begins where a run of characters does or where the match before it ends, which spares
@@ -46,9 +52,11 @@ BASE = {
 }
 _AT = r"(?:@| ?[\[({] ?at ?[\])}] ?| at )"
 _DOT = r"(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )"
+_PERIOD = r"(?:\.| ?[\[({] ?(?:\.|dot) ?[\])}] ?| dot )"
 GENERATORS = {
     "address": rf"(?i)(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)++",
     "digits": r"(?<![0-9])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+",
+    "quad": rf"(?i)(?<![0-9])[0-9]{{1,3}}+(?:{_PERIOD}[0-9]{{1,3}}+){{3}}(?![0-9])",
 }
 _GUARDS = {
     "email": r"@",
@@ -57,9 +65,20 @@ _GUARDS = {
     "phone": r"\+[0-9]",
     "address": r"(?i)@|[\[({] ?at ?[\])}]| at ",
     "digits": r"[0-9]",
+    "quad": r"(?i)[0-9] ?[\[({ ] ?(?:\.|dot)",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_KEYWORDS = r"(?i)\b(?:tel|phone|call|fax|mobile|mail|e-mail|contact|card|visa|account|ip|host)\b"
+# Words that announce personal data shortly before it, by kind.
+_KEYWORDS = {
+    "phone": "tel|phone|telephone|telefon|telefono|teléfono|téléphone|call|fax|mobile|cell|handy|whatsapp",
+    "email": "mail|e-mail|email|contact|write|kontakt|correo|courriel",
+    "card": "card|visa|mastercard|karte|carte|tarjeta",
+    "ip": "ip|host|address|server",
+}
+_DATE = r"^(?:(?:19|20)[0-9]{2}[./ -][0-9]{1,2}[./ -][0-9]{1,2}|[0-9]{1,2}[./ -][0-9]{1,2}[./ -](?:19|20)[0-9]{2})(?![0-9])"
+_CARD = r"^[0-9]{4}(?:[ ./-]{0,2}[0-9]{4}){3}[0-9]{0,3}$"
+_BRACKETED_AT = r"(?i)[\[({] ?at ?[\])}]"
+_WRITTEN_DOT = r"(?i)[\[({] ?dot ?[\])}]| dot "
 
 
 def _digits(value: Column) -> Column:
@@ -138,27 +157,50 @@ def candidates(docs: DataFrame) -> DataFrame:
     count = F.char_length("digits")
     kind = (
         F.when(F.col("source") == "address", "email")
+        .when(F.col("source") == "quad", "ip")
         .when(F.col("source") != "digits", F.col("source"))
         .when(count.between(16, 19), "card")
         .when(count.between(8, 15), "phone")
     )
     spans = spans.withColumn("kind", kind).filter("kind IS NOT NULL")
-    order = Window.partitionBy("row").orderBy("start", "end", "source")
+    spans = spans.withColumns({"same": _meets_base("row", "kind"), "over": _meets_base("row")})
+    spans = spans.filter("base OR NOT same").withColumns(_features())
+    spans = spans.withColumn("evident", ~F.col("base") & _is_evident())
+    spans = spans.select("row", "doc_id", "source", "kind", "start", "end", "base", "evident", *FEATURES)
+    return one.withColumn("kind", F.lit(None).cast("string")).unionByName(spans, allowMissingColumns=True)
+
+
+def _meets_base(*group: str) -> Column:
+    """Whether a span overlaps another one, a base span, of its group."""
+    order = Window.partitionBy(*group).orderBy("start", "end", "source")
     ended = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    overlapped = (F.coalesce(ended, F.lit(-1)) > F.col("start")) | (
-        F.coalesce(begun, F.col("end")) < F.col("end")
-    )
-    spans = spans.withColumn("overlapped", overlapped).filter("base OR NOT overlapped")
-    spans = spans.select("row", "doc_id", "kind", "start", "end", "base", *_features())
-    return one.withColumn("kind", F.lit(None).cast("string")).unionByName(spans, allowMissingColumns=True)
+    return (F.coalesce(ended, F.lit(-1)) > F.col("start")) | (F.coalesce(begun, F.col("end")) < F.col("end"))
+
 
+FEATURES = (
+    "f_kind", "f_digits", "f_groups", "f_luhn", "f_tail", "f_local", "f_before", "f_after", "f_word", "f_form",
+    "f_sign", "f_over",
+)
 
-FEATURES = ("f_kind", "f_digits", "f_groups", "f_luhn", "f_tail", "f_local", "f_before", "f_after", "f_word", "f_form")
 
+def _is_evident() -> Column:
+    """Whether the normalised form of a proposal passes a base pattern, and how it is written speaks for it."""
+    value, announced = F.col("value"), F.col("f_word") == 1
+    address = F.regexp_replace(F.regexp_replace(value, f"(?i){_AT}", "@"), f"(?i){_DOT}", ".")
+    whole = address.rlike(rf"^{_LOCAL}+@{_LABEL}+(?:\.{_LABEL}+)*\.[A-Za-z]{{2,6}}$")
+    quad = F.regexp_replace(value, "[^0-9]+", ".").rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")
+    return (
+        F.when(F.col("kind") == "email", whole & (F.col("f_sign").isin(1, 2, 3) | announced))
+        .when(F.col("kind") == "ip", quad)
+        .when(F.col("over"), False)
+        .when(F.col("kind") == "card", (F.col("f_luhn") == 1) & (F.col("f_form") == 2))
+        .otherwise(announced & (F.col("f_form") != 3))
+    )
 
-def _features() -> list[Column]:
-    """Small whole numbers that leave out the signs by which the base patterns are defined."""
+
+def _features() -> dict[str, Column]:
+    """Format and context as small whole numbers."""
     value, digits = F.col("value"), F.col("digits")
     count = F.char_length(digits)
     email = F.col("kind") == "email"
@@ -175,9 +217,21 @@ def _features() -> list[Column]:
     groups = F.size(F.split(F.regexp_replace(value, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+"))
     form = (
         F.when(value.rlike(r"^(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$"), 1)
-        .when(value.rlike(r"^[0-9]{4}(?:[ -]?[0-9]{4}){3}[0-9]{0,3}$"), 2)
+        .when(value.rlike(_CARD), 2)
+        .when(value.rlike(_DATE), 3)
         .otherwise(0)
     )
+    sign = (
+        F.when(~email, value.rlike("[^0-9.]").cast("int"))
+        .when(value.rlike(_BRACKETED_AT), 1)
+        .when(value.contains("@"), F.when(value.rlike(_WRITTEN_DOT), 2).otherwise(0))
+        .when(value.rlike(_WRITTEN_DOT), 3)
+        .otherwise(4)
+    )
+    announced = F.lit(False)
+    for kind, words in _KEYWORDS.items():
+        before = F.col("tail").rlike(rf"(?iu)(?<!\p{{L}})(?:{words})(?!\p{{L}})")
+        announced = F.when(F.col("kind") == kind, before).otherwise(announced)
     found = {
         "f_kind": F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1,
         "f_digits": F.when(email, F.least(count, F.lit(3))).otherwise(count),
@@ -187,10 +241,12 @@ def _features() -> list[Column]:
         "f_local": F.when(email, value.rlike("^[^ @\\[({]*[0-9._]").cast("int")).otherwise(0),
         "f_before": side(F.right("tail", F.lit(1))),
         "f_after": side(F.col("next")),
-        "f_word": F.col("tail").rlike(_KEYWORDS).cast("int"),
+        "f_word": announced,
         "f_form": form,
+        "f_sign": sign,
+        "f_over": F.col("over"),
     }
-    return [column.cast("int").alias(name) for name, column in found.items()]
+    return {name: column.cast("int") for name, column in found.items()}
 
 
 # A tree: feature and bound of the root, then those of each side (None: no further split) with values.
@@ -229,7 +285,7 @@ def _leaf(cells: Iterable[tuple[tuple[int, ...], float, float]]) -> float:
     g = h = 0.0
     for _, a, b in cells:
         g, h = g + a, h + b
-    return -RATE * g / (h + 1)
+    return max(-STEP, min(STEP, -RATE * g / (h + 1)))
 
 
 def _side(cells: list[tuple[tuple[int, ...], float, float]]) -> Side:
@@ -242,7 +298,7 @@ def _side(cells: list[tuple[tuple[int, ...], float, float]]) -> Side:
 
 
 def boost(cells: list[Cell]) -> tuple[float, list[Tree]]:
-    """Start value and trees fitted on cells `(features, candidates, base spans)`."""
+    """Start value and trees fitted on cells `(features, candidates, positive ones)`."""
     total, positive = sum(c[1] for c in cells), sum(c[2] for c in cells)
     start = log((positive + 0.5) / (total - positive + 0.5))
     scores = [start] * len(cells)
@@ -282,6 +338,15 @@ def score_column(start: float, trees: list[Tree]) -> Column:
     return total
 
 
+def balanced(groups: list[list[tuple[tuple[int, ...], float]]], positive: list[bool]) -> list[Cell]:
+    """Cells of groups `(features, candidates)`, every group with the same total weight."""
+    cells = []
+    for group, label in zip(groups, positive):
+        total = sum(n for _, n in group)
+        cells += [(x, n * WEIGHT / total, label * n * WEIGHT / total) for x, n in group if n]
+    return cells
+
+
 def thresholds(cells: list[Cell], start: float, trees: list[Tree]) -> dict[str, float]:
     """For each kind the lowest score with the wanted precision on calibration cells; kinds without one are left out."""
     found: dict[str, float] = {}
@@ -302,29 +367,51 @@ def thresholds(cells: list[Cell], start: float, trees: list[Tree]) -> dict[str,
     return found
 
 
+def _inside_better() -> Column:
+    """Whether a proposal lies inside one of another generator with a higher score.
+
+    The matches of one generator do not overlap, so only its last one that begins no later can hold the span.
+    """
+    order = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.lit(False)
+    for source in GENERATORS:
+        other = F.when(F.col("source") == source, F.struct("start", "end", "score"))
+        other = F.max(other).over(order)
+        better = (other["end"] >= F.col("end")) & (other["score"] > F.col("score"))
+        inside = inside | ((F.col("source") != source) & F.coalesce(better, F.lit(False)))
+    return ~F.col("base") & inside
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
-    """`(doc_id, spans)` of each row; a span is `(kind, start, end, base)`, in the order of KINDS and starts."""
+    """`(doc_id, spans)` of each row; a span has `kind`, `start`, `end` and `base`, in the order of KINDS and starts."""
     found = write_table(candidates(docs), "pii-candidates")
+    base, evident = F.col("base").cast("int"), F.col("evident").cast("int")
     counted = (
         found.filter("kind IS NOT NULL")
         .groupBy(held_out(F.col("doc_id")).alias("aside"), *FEATURES)
-        .agg(F.count("*").alias("n"), F.sum(F.col("base").cast("int")).alias("y"))
+        .agg(F.count("*").alias("n"), F.sum(base).alias("base"), F.sum(evident).alias("evident"))
     )
     # At most as many rows as there are combinations of feature values.
-    cells: dict[bool, list[Cell]] = {True: [], False: []}
+    groups: list[list[tuple[tuple[int, ...], float]]] = [[], [], []]
+    proposed: dict[bool, list[Cell]] = {True: [], False: []}
     for row in counted.orderBy("aside", *FEATURES).collect():
-        cells[row.aside].append((tuple(row[name] for name in FEATURES), float(row.n), float(row.y)))
-    start, trees = boost(cells[False]) if cells[False] else (0.0, [])
-    limits = thresholds(cells[True], start, trees) if trees else {}
+        x, others = tuple(row[name] for name in FEATURES), row.n - row.base
+        if others:
+            proposed[row.aside].append((x, float(others), float(row.evident)))
+        if not row.aside:
+            for group, n in zip(groups, (row.base, row.evident, others - row.evident)):
+                group.append((x, float(n)))
+    cells = balanced(groups, [True, True, False])
+    start, trees = boost(cells) if cells else (0.0, [])
+    seen = {x[0] for x, _, _ in proposed[True]}
+    aside = proposed[True] + [cell for cell in proposed[False] if cell[0][0] not in seen]
     limit = F.lit(None).cast("double")
-    for kind, value in limits.items():
+    for kind, value in thresholds(aside, start, trees).items():
         limit = F.when(F.col("kind") == kind, value).otherwise(limit)
+    scored = found.filter("kind IS NOT NULL").withColumn("score", score_column(start, trees))
     # A missing limit makes this null, and nothing of the kind is added.
-    chosen = F.coalesce(F.col("base") | (score_column(start, trees) >= limit), F.lit(False))
-    order = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    taken = found.filter("kind IS NOT NULL").filter(chosen)
-    taken = taken.withColumn("ended", F.max(F.when(~F.col("base"), F.col("end"))).over(order))
-    taken = taken.filter(F.col("base") | (F.coalesce("ended", F.lit(-1)) <= F.col("start")))
+    taken = scored.filter(F.coalesce(F.col("base") | (F.col("score") >= limit), F.lit(False)))
+    taken = taken.withColumn("inside", _inside_better()).filter("NOT inside")
     columns = ("row", "doc_id", "kind", "start", "end", "base")
     every = found.filter("kind IS NULL").select(*columns).unionByName(taken.select(*columns))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))

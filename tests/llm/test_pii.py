@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from linecensus.llm import pii as I
 from tests.llm import frames
 
@@ -64,20 +66,75 @@ def test_awkward_rows(spark):
     assert [(r.doc_id, r.spans) for r in none] == [(1, [])]
 
 
-def test_proposals_of_the_same_form_are_added(spark):
-    """Written-out addresses look like the plain ones among them; other digits do not look like cards."""
+@pytest.mark.parametrize("every", [1000, 20, 3])
+def test_written_out_addresses_are_found_however_common(spark, every):
     rows = []
-    for i in range(4000):
-        text = f"please write to user{i}@mail{i % 9}.example.com about it"
-        if i % 1000 == 0:
-            text = f"please write to user{i} (at) mail{i % 9}.example.com about it"
-        rows.append((i, text, "en"))
+    for i in range(3000):
+        sign = (" (at) ", "[at]", " at ")[i // every % 3] if i % every == 0 else "@"
+        dot = " dot " if sign == " at " else "."
+        rows.append((i, f"please send it to user{i}{sign}mail{i % 9}.example{dot}com , or look at notes.txt now", "en"))
+    rows += [(10_000 + i, f"we met at hall{i % 7}.north for lunch", "en") for i in range(500)]
+    found = {r.doc_id: r for r in I.find_pii(frames.docs(spark, rows, clashing=False)).collect()}
+    for i, text, _ in rows:
+        added = spans(found[i], base=False)
+        if i < 3000 and i % every == 0:
+            start = text.index("user")
+            assert added == [("email", start, text.index(" ,"))]
+        else:
+            assert added == []
+
+
+@pytest.mark.parametrize("every", [200, 20, 3])
+def test_numbers_after_a_keyword_are_found_and_other_digits_refused(spark, every):
+    forms = ["(555) 01{:02}-4567", "0555 01{:02} 4567", "555.01{:02}.4567"]
+    others = ["order 20{:02}-1234-5678", "on 2024-05-{:02} 2025-01-02", "sum 12{:02}.5000 / 3000", "no. 99{:02}1234567"]
+    rows, wanted = [], {}
+    for i in range(3000):
+        if i % every == 0:
+            value = forms[i // every % 3].format(i % 90 + 10)
+            rows.append((i, f"Phone: {value}, daily", "en"))
+            wanted[i] = [("phone", 7, 7 + len(value))]
+        else:
+            rows.append((i, f"see {others[i % 4].format(i % 20 + 10)} there", "en"))
     found = {r.doc_id: r for r in I.find_pii(frames.docs(spark, rows, clashing=False)).collect()}
-    for i in range(0, 4000, 1000):
-        assert [k for k, *_ in spans(found[i], base=False)] == ["email"]
-        start, end = spans(found[i], base=False)[0][1:]
-        assert rows[i][1][start:end] == f"user{i} (at) mail{i % 9}.example.com"
-    assert all(spans(found[i], base=False) == [] for i in range(4000) if i % 1000)
+    for i, text, _ in rows:
+        assert spans(found[i], base=False) == wanted.get(i, []), text
+
+
+def test_bracketed_addresses_of_hosts_and_grouped_cards(spark):
+    rows = [
+        (1, "host 10[.]0[.]0[.]1 and 10.0.0.2 up", "en"),
+        (2, "at 10 dot 0 dot 0 dot 7 now, not 300[.]1[.]1[.]1", "en"),
+        (3, "card 4111.1111.1111.1111 or 4111.1111.1111.1112", "en"),
+        (4, "5551234567 (at) mail.example.com", "en"),
+    ]
+    found = {r.doc_id: r for r in I.find_pii(frames.docs(spark, rows)).collect()}
+    text = {doc_id: text for doc_id, text, _ in rows}
+    assert [text[1][s:e] for _, s, e in spans(found[1], base=False)] == ["10[.]0[.]0[.]1"]
+    assert [text[2][s:e] for _, s, e in spans(found[2], base=False)] == ["10 dot 0 dot 0 dot 7"]
+    assert [text[3][s:e] for _, s, e in spans(found[3], base=False)] == ["4111.1111.1111.1111"]
+    assert spans(found[4], base=False) == [("email", 0, len(text[4]))]
+
+
+def test_spans_inside_better_ones_go(spark):
+    schema = "row bigint, source string, base boolean, start int, end int, score double"
+    rows = [
+        (1, "address", False, 0, 20, 2.0), (1, "digits", False, 3, 9, 1.0), (1, "digits", False, 12, 25, 1.0),
+        (1, "quad", False, 0, 20, 1.0), (2, "digits", False, 3, 9, 1.0), (2, "address", False, 0, 20, 1.0),
+        (3, "email", True, 2, 4, 0.0), (3, "address", False, 0, 9, 5.0),
+    ]
+    kept = spark.createDataFrame(rows, schema).withColumn("gone", I._inside_better()).filter("NOT gone")
+    want = [(1, 0, 20), (1, 12, 25), (2, 0, 20), (2, 3, 9), (3, 0, 9), (3, 2, 4)]
+    assert sorted((r.row, r.start, r.end) for r in kept.collect()) == want
+
+
+def test_groups_weigh_the_same():
+    x, y = (0,) * len(I.FEATURES), (1,) * len(I.FEATURES)
+    cells = I.balanced([[(x, 1e9)], [(y, 3.0)], [(x, 1.0), (y, 1.0)]], [True, True, False])
+    assert [n for _, n, _ in cells] == [I.WEIGHT, I.WEIGHT, I.WEIGHT / 2, I.WEIGHT / 2]
+    assert [p for *_, p in cells] == [I.WEIGHT, I.WEIGHT, 0, 0]
+    start, trees = I.boost(cells)  # and nothing overflows
+    assert len(trees) > 0 or start > 0
 
 
 def test_trees_learn_an_interaction():
