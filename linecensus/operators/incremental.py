@@ -34,7 +34,7 @@ def empty_cache(spark: SparkSession) -> DataFrame:
 
 
 def cache_entries(file_stats: DataFrame, cached_at: int) -> DataFrame:
-    """Cache rows for counted files; needs root_id, path, mtime, size and the counts."""
+    """Cache rows for counted files; needs root_id, path, mtime, size and the counts, and keeps a `digest`."""
     return file_stats.select(
         "root_id",
         "path",
@@ -44,6 +44,7 @@ def cache_entries(file_stats: DataFrame, cached_at: int) -> DataFrame:
         F.struct(*COUNTS).alias("stats"),
         F.lit(cached_at).cast("bigint").alias("cached_at"),
         F.lit(CACHE_VERSION).alias("version"),
+        *[c for c in file_stats.columns if c == "digest"],
     )
 
 
@@ -53,25 +54,31 @@ def cache_validate(cache: DataFrame, root: str | Column) -> DataFrame:
 
 
 def cache_mode(cache: DataFrame, mode: str) -> DataFrame:
-    """The cache a run starts from: all of it (reuse), or nothing (fresh, rebuild)."""
-    if mode not in ("reuse", "fresh", "rebuild"):
-        raise ValueError(f"mode {mode!r}: expected reuse, fresh or rebuild")
-    return cache if mode == "reuse" else cache.limit(0)
+    """The cache a run starts from: all of it (reuse, verify), or nothing (fresh, rebuild)."""
+    if mode not in ("reuse", "verify", "fresh", "rebuild"):
+        raise ValueError(f"mode {mode!r}: expected reuse, verify, fresh or rebuild")
+    return cache if mode in ("reuse", "verify") else cache.limit(0)
 
 
 def cache_probe(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     """Manifest with `hit` and, for hits, the stored `cached_language` and `cached_stats`.
 
-    A hit needs the same size and the same modification second.
+    A hit needs the same size and the same modification second, and where the manifest has a `digest`, the
+    same digest: an entry or a file without one is a miss then.
     """
+    checked = "digest" in manifest.columns
+    digest = F.col("digest") if "digest" in cache.columns else F.lit(None).cast("string")
     stored = cache.select(
         *_KEY,
         F.col("size").alias("_size"),
         F.col("mtime").alias("_mtime"),
         F.col("language").alias("cached_language"),
         F.col("stats").alias("cached_stats"),
+        *([digest.alias("_digest")] if checked else []),
     )
     same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime"))
+    if checked:
+        same = same & (F.col("digest") == F.col("_digest"))
     hit = F.coalesce(same, F.lit(False))
     return (
         manifest.join(stored, _KEY, "left")
@@ -82,7 +89,7 @@ def cache_probe(manifest: DataFrame, cache: DataFrame) -> DataFrame:
                 "cached_stats": F.when(hit, F.col("cached_stats")),
             }
         )
-        .drop("_size", "_mtime")
+        .drop("_size", "_mtime", "_digest")
     )
 
 

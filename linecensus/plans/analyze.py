@@ -22,7 +22,7 @@ from linecensus.operators import lines as O
 from linecensus.operators import stats as S
 from linecensus.session import posix_path, write_table
 from linecensus.sinks import cache_table, reports
-from linecensus.sources.content import LONG_LINE_BYTES, PIECE_BYTES, count_files, read_errors
+from linecensus.sources.content import LONG_LINE_BYTES, PIECE_BYTES, content_digest, count_files, read_errors
 from linecensus.sources.tree import scan_tree
 
 
@@ -86,7 +86,8 @@ def analyze_tree(
     """Count a directory or a single file.
 
     With `cache_dir`, unchanged files are taken from earlier runs (mode reuse), or all are counted
-    and stored anew (rebuild); fresh neither reads nor writes the cache.
+    and stored anew (rebuild); fresh neither reads nor writes the cache. Unchanged means same size and
+    second of modification; with verify every file is read for a digest, which must be the same, too.
     """
     start = time.monotonic()
     root = posix_path(root)
@@ -96,8 +97,11 @@ def analyze_tree(
     manifest = scan_tree(spark, root, hidden, follow_links, exclude, languages)
     manifest = manifest.withColumn("root_id", F.lit(identity))
 
+    if cache_dir and mode == "verify":
+        manifest = write_table(content_digest(manifest, base), "digests")
+
     cached = C.empty_cache(spark)
-    if cache_dir and mode == "reuse":
+    if cache_dir and mode in ("reuse", "verify"):
         with _cache_errors_only_warn("read"):
             cached = cache_table.load(spark, cache_dir, identity)
     # Written once: hits, misses and the hit rate all read it.

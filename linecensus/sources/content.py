@@ -7,13 +7,15 @@ a piece), so the work of one task is bounded even if one file holds most of the
 
 from __future__ import annotations
 
+import hashlib
 import os
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from linecensus.functions import lines as N
 from linecensus.functions.languages import LANGUAGES
@@ -38,18 +40,39 @@ _SCAN_BYTES = 64 * 1024
 _BLOCK_TOKENS = {language[1]: language[3:5] for language in LANGUAGES}
 
 
+# Parts over which the running weight of a manifest is summed; their totals are added up on the driver.
+WEIGHT_PARTS = 256
+
+
 def pack_by_size(manifest: DataFrame) -> DataFrame:
-    """Spread the manifest over tasks of about equal total size.
+    """Spread the manifest over tasks of equal total size, to within one piece.
 
-    Rows stand for at most one piece each, far less than a task's share, so dealing them out
-    evenly balances the bytes without sorting or a running sum over all files.
+    All rows lie on one line, each as long as its weight, and the tasks are equal sections of it. The place of
+    a row is the running weight within its part, by hash of its path, after the total of the parts before.
     """
-    weight = F.least("size", F.lit(PIECE_BYTES)) + OPEN_COST_BYTES
-    total, rows = manifest.agg(F.sum(weight), F.count("*")).first()
-    if not rows:
+    size = F.col("size")
+    if "offset" in manifest.columns:
+        size = F.coalesce(F.col("length"), size - F.col("offset"))
+    weighed = manifest.withColumns(
+        {
+            "weight": F.least(size, F.lit(PIECE_BYTES)) + OPEN_COST_BYTES,
+            "part": F.pmod(F.xxhash64("path", *(c for c in ("piece", "offset") if c in manifest.columns)), F.lit(WEIGHT_PARTS)),
+        }
+    )
+    sums = {r.part: r for r in weighed.groupBy("part").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    if not sums:
         return manifest
+    total, rows = sum(r.w for r in sums.values()), sum(r.n for r in sums.values())
     least = min(rows, manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.repartition(max(least, min(MAX_TASKS, -(-total // TASK_BYTES))))
+    tasks = max(least, min(MAX_TASKS, -(-total // TASK_BYTES)))
+    before = [sum(r.w for part, r in sums.items() if part < at) for at in range(WEIGHT_PARTS)]
+    order = Window.partitionBy("part").orderBy("path", *(c for c in ("offset",) if c in manifest.columns))
+    running = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The middle of a row decides.
+    starts = F.array(*[F.lit(weight).cast("bigint") for weight in before])
+    middle = F.get(starts, F.col("part").cast("int")) + running - F.col("weight") / 2
+    placed = weighed.withColumn("task", F.least(F.floor(middle * tasks / total), F.lit(tasks - 1)).cast("int"))
+    return placed.repartitionById(tasks, "task").drop("weight", "part", "task")
 
 
 def _find_newline(file, start: int, stop: int | None) -> int | None:
@@ -194,6 +217,49 @@ def read_content(manifest: DataFrame, root: str, piece_bytes: int = PIECE_BYTES)
     return _read(_pieces(manifest, piece_bytes), root, None).drop("piece", "length")
 
 
+def _digester(root: bytes):
+    """Four numbers for each piece: SHA-256 of its offset and bytes, read block by block; nulls if it cannot be read."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, found = batch.to_pydict(), []
+            for i in range(batch.num_rows):
+                raw, left = columns["raw_path"][i], columns["length"][i]
+                name = os.path.join(root, columns["path"][i].encode("utf-8") if raw is None else raw)
+                state = hashlib.sha256(struct.pack(">q", columns["offset"][i]))
+                try:
+                    with open(name, "rb", buffering=0) as file:
+                        file.seek(columns["offset"][i])
+                        while left != 0 and (block := file.read(min(left or LONG_LINE_BYTES, LONG_LINE_BYTES))):
+                            state.update(block)
+                            left = None if left is None else left - len(block)
+                    found.append(struct.unpack(">4q", state.digest()))
+                except OSError:
+                    found.append((None,) * 4)
+            numbers = [pa.array(column, pa.int64()) for column in zip(*found)] or [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], [*batch.schema.names, *_DIGEST])
+
+    return digest
+
+
+_DIGEST = ("digest0", "digest1", "digest2", "digest3")
+
+
+def content_digest(manifest: DataFrame, root: str) -> DataFrame:
+    """Manifest with `digest` of the bytes of each file, null where it cannot be read.
+
+    It is the exclusive or of the SHA-256 values of all pieces with their offsets, so pieces are read by any
+    task and in any order, and no file's pieces are gathered.
+    """
+    pieces = _pieces(manifest, PIECE_BYTES).drop("piece")
+    schema = StructType([*pieces.schema.fields, *[StructField(name, LongType()) for name in _DIGEST]])
+    read = pack_by_size(pieces).mapInArrow(_digester(os.fsencode(root)), schema)
+    others = [F.first(c).alias(c) for c in manifest.columns if c != "path"]
+    whole = [F.lpad(F.hex(F.bit_xor(name)), 16, "0") for name in _DIGEST]
+    digest = F.when(F.count(_DIGEST[0]) == F.count("*"), F.lower(F.concat(*whole)))
+    return read.groupBy("path").agg(*others, digest.alias("digest")).select(*manifest.columns, "digest")
+
+
 def read_errors(read: DataFrame) -> DataFrame:
     """path and message of the files that could not be read."""
     message = F.concat("path", F.lit(": "), "error")

@@ -1,11 +1,16 @@
+import hashlib
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from linecensus.operators import incremental as C
 from linecensus.plans.analyze import analyze_tree
 from linecensus.sinks import cache_table as CA
+from linecensus.sources import content as CT
+from linecensus.sources.tree import scan_tree
 
 MANIFEST = "root_id string, path string, size bigint, mtime bigint"
 
@@ -185,3 +190,101 @@ def test_a_cache_that_cannot_be_used_does_not_end_the_run(spark, tmp_path):
     with pytest.warns(UserWarning, match="cache could not be"):
         census = analyze_tree(spark, str(tmp_path / "root"), cache_dir=str(tmp_path / "file"))
     assert census.files.first().lines == 1
+
+
+def test_verify_notices_an_edit_of_equal_size_and_second(spark, tmp_path):
+    root, where = tmp_path / "root", str(tmp_path / "cache")
+    root.mkdir()
+    (root / "same.rs").write_text("x\n")
+    hits = []
+    for text in ("x\n\n", "//\n", "//\n"):
+        (root / "a.rs").write_text(text)
+        os.utime(root / "a.rs", ns=(0, 5_000_000_000))
+        census = analyze_tree(spark, str(root), cache_dir=where, mode="verify")
+        assert census.languages.first().comments == (text == "//\n")
+        hits.append(census.reuse.first().hits)
+    assert hits == [0, 1, 2]
+    # Entries without a digest are no hits for verify, and those with one are for reuse.
+    assert analyze_tree(spark, str(root), cache_dir=where).reuse.first().hits == 2
+    (root / "b.rs").write_text("y\n")
+    analyze_tree(spark, str(root), cache_dir=where)
+    assert analyze_tree(spark, str(root), cache_dir=where, mode="verify").reuse.first().hits == 2
+    assert analyze_tree(spark, str(root), cache_dir=where, mode="verify").reuse.first().hits == 3
+
+
+def test_digest_of_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CT, "PIECE_BYTES", 10)
+    texts = {"a.rs": b"0123456789" * 3 + b"x", "b.rs": b"", "c.rs": b"9876543210" + b"0123456789" * 2 + b"x"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    manifest = scan_tree(spark, str(tmp_path))
+    (tmp_path / "c.rs").unlink()
+    found = {r.path: r.digest for r in CT.content_digest(manifest, str(tmp_path)).collect()}
+    for name in ("a.rs", "b.rs"):
+        number = 0
+        for at in range(0, max(1, len(texts[name])), 10):
+            piece = hashlib.sha256(at.to_bytes(8, "big") + texts[name][at : at + 10]).digest()
+            number ^= int.from_bytes(piece, "big")
+        assert found[name] == f"{number:064x}"
+    assert found["c.rs"] is None
+
+
+def _entries(spark, names, code=1):
+    rows = [("r", name, 1, 1, "Rust", (code, code, 0, 0, 1), 1, C.CACHE_VERSION) for name in names]
+    return spark.createDataFrame(rows, C.CACHE_SCHEMA)
+
+
+def test_runs_that_save_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CA, "MAX_DELTAS", 3)
+    where = str(tmp_path)
+
+    def save(i):
+        CA.save(spark, where, "r", _entries(spark, [f"f{i}", f"g{i}"]), rebuild=False)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(save, range(18)))
+    assert {r.path for r in CA.load(spark, where, "r").collect()} == {f"{c}{i}" for c in "fg" for i in range(18)}
+    assert not [name for name in os.listdir(tmp_path / "r") if name.startswith("_run-")]
+
+
+def test_entries_saved_while_a_base_is_written_stay_and_are_newer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CA, "MAX_DELTAS", 1)
+    where, stage = str(tmp_path), CA._stage
+    for name in "ab":
+        CA.save(spark, where, "r", _entries(spark, [name]), rebuild=False)
+
+    def staged_late(entries, home):
+        target = stage(entries, home)
+        monkeypatch.setattr(CA, "_stage", stage)
+        monkeypatch.setattr(CA, "MAX_DELTAS", 9)
+        CA.save(spark, where, "r", _entries(spark, ["a", "d"], code=7), rebuild=False)
+        return target
+
+    monkeypatch.setattr(CA, "_stage", staged_late)
+    CA.save(spark, where, "r", _entries(spark, ["c"]), rebuild=False)
+    assert {r.path: r.stats.code for r in CA.load(spark, where, "r").collect()} == {"a": 7, "b": 1, "c": 1, "d": 7}
+    assert sorted(n for n in os.listdir(tmp_path / "r")) == ["00000000-base", "00000001-delta", "00000002-base", "00000002-delta"]
+
+
+def test_a_name_that_is_taken_is_not_claimed(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "_SUCCESS").write_text(name)
+    assert CA._claim(spark, str(tmp_path / "one"), str(tmp_path / "0"))
+    assert not CA._claim(spark, str(tmp_path / "two"), str(tmp_path / "0"))
+    assert sorted(os.listdir(tmp_path / "0")) == ["_SUCCESS"]
+    assert (tmp_path / "two/_SUCCESS").read_text() == "two"
+
+
+def test_tasks_have_equal_weight(spark, monkeypatch):
+    monkeypatch.setattr(CT, "TASK_BYTES", 64 * 1024 * 1024)
+    heavy = F.when(F.col("id") % 10 == 3, CT.PIECE_BYTES).otherwise(100_000)
+    manifest = spark.range(3000).select(F.format_string("f%05d", "id").alias("path"), heavy.cast("bigint").alias("size"))
+    packed = CT.pack_by_size(manifest)
+    assert sorted(packed.columns) == ["path", "size"]
+    weights = packed.groupBy(F.spark_partition_id()).agg(F.sum(F.col("size") + CT.OPEN_COST_BYTES).alias("w")).collect()
+    assert packed.count() == 3000 and packed.select("path").distinct().count() == 3000
+    weights = [r.w for r in weights]
+    assert len(weights) > 8
+    assert max(weights) <= 1.2 * sum(weights) / len(weights)
+    assert CT.pack_by_size(manifest.limit(0)).count() == 0
