@@ -6,17 +6,19 @@ needs per character, normalised by the size of its text, the closer the document
 
 The automata become one table of transitions over letter classes, so that a batch of documents is
 parsed in lockstep: text is cut into segments of `SEGMENT` classes (each begins a new phrase, in
-every language alike), and one numpy step advances all segments in all languages by a character.
+every language alike), and one numpy step advances all segments in all languages by a character. Transitions by
+letters beyond the `DENSE` commonest are kept in a sorted list instead, which changes no result.
 
 Text is reduced to lower-case letters and single spaces for everything between them. The labelled
 text is a bounded sample: of every language the `ROWS` documents with the smallest hash of their
 identifier among those of `SHORTEST` to `LONGEST` characters (of any length where a language has none
-of these), whole, until `REFERENCE` characters are reached.
+of these, and then at most `REFERENCE` of its characters), until `REFERENCE` characters are reached.
 
 - A null text and one without a letter give `und` with score 0.
 - Text of letters that no language has is assigned to the first language by name with a low score.
 - Ties go to the language that sorts first.
 - Without any labelled row, every document is `und`.
+- Rows without `doc_id` are not learned from; rows of one `doc_id` are different documents.
 - A null `doc_id` and repeated rows are passed through; extra columns are ignored.
 - An empty table gives an empty result.
 """
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linecensus.llm.common import held_out
+from linecensus.llm.common import held_out, located, place_columns
 
 UNDETERMINED = "und"
 ROWS = 60
@@ -40,73 +42,100 @@ REFERENCE = 30_000
 SEGMENT = 256
 # Characters of a batch that are parsed at a time.
 BLOCK = 2_000_000
-# Letter classes: 0 is a space, 1 any other letter, the rest the letters of the sample.
+# Letter classes: 0 is a space, 1 any letter that the sample lacks, then the letters of the sample: the `DENSE`
+# commonest, after a class for padding the others.
 _SPACE, _OTHER = 0, 1
-_CLASSES = 120
+DENSE = 120
 
 
 def labelled_sample(docs: DataFrame, language: str = "lang") -> list[tuple[str, str]]:
     """`(language, text)` of the sample, at most `ROWS` per language, in a fixed order.
 
-    The ranking runs on identifiers alone; texts are fetched for the chosen rows only.
+    The ranking runs on identifiers and places; texts, cut to a bounded length, are fetched for the chosen rows only.
     """
-    labelled = docs.filter(F.col(language).isNotNull() & F.col("text").isNotNull())
+    labelled = located(docs.select(F.col(language).alias("lang"), "doc_id", "text"))
+    labelled = labelled.select("lang", "doc_id", "text", *place_columns(), F.char_length("text").alias("chars"))
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     labelled = labelled.filter(~held_out(F.col("doc_id")))
-    chars = F.char_length("text")
-    unusual = F.when(chars.between(SHORTEST, LONGEST), 0).otherwise(1)
-    order = Window.partitionBy("lang").orderBy("unusual", "hash", "doc_id")
+    unusual = F.when(F.col("chars").between(SHORTEST, LONGEST), 0).otherwise(1)
+    order = Window.partitionBy("lang").orderBy("unusual", "hash", "doc_id", "file", "row")
     ranked = labelled.select(
-        F.col(language).alias("lang"),
-        "doc_id",
-        unusual.alias("unusual"),
-        F.xxhash64("doc_id").alias("hash"),
+        "lang", "doc_id", "file", "row", unusual.alias("unusual"), F.xxhash64("doc_id").alias("hash")
     )
-    chosen = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS)
-    wanted = [row for row in chosen.filter("doc_id IS NOT NULL").collect()]  # languages * ROWS rows
-    if not wanted:
-        return []
-    texts = labelled.filter(F.col("doc_id").isin([row.doc_id for row in wanted]))
-    text_of = {
-        (row.lang, row.doc_id): row.text
-        for row in texts.select(F.col(language).alias("lang"), "doc_id", "text").collect()
-    }
-    wanted.sort(key=lambda row: (row.lang, row.rank))
-    return [(row.lang, text_of[row.lang, row.doc_id]) for row in wanted]
+    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS)
+    chosen = ranked.select("file", "row", "rank")  # languages * ROWS rows
+    texts = labelled.join(F.broadcast(chosen), ["file", "row"])
+    found = texts.select("lang", "rank", F.left("text", F.lit(max(LONGEST, REFERENCE))).alias("text")).collect()
+    return [(row.lang, row.text) for row in sorted(found, key=lambda row: (row.lang, row.rank))]
 
 
 class Model:
     """Languages, letter classes and the transitions of all automata."""
 
-    def __init__(self, languages: list[str], letters: str, tables: list[np.ndarray], sizes: list[int]):
+    def __init__(self, languages: list[str], letters: str, automata: list[Automaton], sizes: list[int]):
         self.languages = languages
         self.letters = letters
-        self.width = len(letters) + 3  # space, other letter, sample letters, padding
+        self.padding = min(len(letters), DENSE) + 2
+        self.width = self.padding + 1
+        tables = [table for table, _ in automata]
         self.starts = np.cumsum([0] + [len(t) for t in tables[:-1]]).astype(np.int32)
         shifted = [np.where(t < 0, t - s, t + s) for t, s in zip(tables, self.starts)]
         self.table = np.concatenate(shifted).astype(np.int32).ravel() if tables else None
+        self.unknown = np.array([s + len(t) - 1 for t, s in zip(tables, self.starts)], np.int32)
+        # Transitions by the other letters, in the order of `state * span + class`.
+        self.span = len(letters) + 3
+        edges = [(s + at, letter, s + to) for (_, rare), s in zip(automata, self.starts) for at, letter, to in rare]
+        at, letter, to = np.array(edges, np.int64).reshape(-1, 3).T
+        keys = at * self.span + letter
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_states = keys[order], to[order].astype(np.int32)
         # Bits that a phrase costs: a position in the language's own text.
         self.bits = np.array([math.log2(max(2, size)) for size in sizes])
 
+    def _rare(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next state by rare letters, and whether there is a transition."""
+        keys = state.astype(np.int64) * self.span + letters
+        places = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return self.rare_states[places], self.rare_keys[places] == keys
+
+    def _rare_step(self, state: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Like an entry of the table: the next state, or the complement of that after a restart."""
+        begin = np.broadcast_to(self.starts[:, None], state.shape)
+        following, known = self._rare(state, letters)
+        first, has = self._rare(begin, letters)
+        first = np.where(has, first, self.unknown[:, None])
+        return np.where(known, following, np.where(state == begin, first, ~first))
+
     def parse(self, classes: np.ndarray) -> np.ndarray:
         """Phrases of each segment (row of letter classes) in each language."""
         lanes = classes.shape[0]
         state = np.repeat(self.starts[:, None], lanes, axis=1)
         phrases = np.zeros(state.shape, np.int32)
         for column in np.ascontiguousarray(classes.T, dtype=np.int32):
+            rare = np.flatnonzero(column > self.padding) if len(self.rare_keys) else ()
+            if len(rare):
+                by_rare = self._rare_step(state[:, rare], column[rare])
+                column = np.where(column > self.padding, _OTHER, column)
             # A negative entry: no transition; the phrase ends and a new one begins with the letter.
             state = self.table[state * self.width + column]
+            if len(rare):
+                state[:, rare] = by_rare
             ended = state < 0
             phrases += ended
             np.invert(state, out=state, where=ended)
         return phrases.T + 1
 
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transition table (states x classes) of all substrings of `text`.
+# Table of transitions, and those by classes beyond its width as `(state, class, next state)`.
+Automaton = tuple[np.ndarray, list[tuple[int, int, int]]]
+
+
+def suffix_automaton(text: list[int], width: int) -> Automaton:
+    """Transitions (states x classes below `width`, and a list of the others) of all substrings of `text`.
 
     An entry is the next state, or the complement of the state after restarting with the letter. A
-    letter that the text lacks is a phrase of its own, which has the last state. The last class is
-    padding and leaves every state as it is.
+    letter that the text lacks is a phrase of its own, which has the last state. The last class of the table
+    is padding and leaves every state as it is.
     """
     following: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -137,14 +166,19 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
     unknown = len(following)
     restart = np.full(width, ~unknown, np.int64)
     for letter, state in following[0].items():
-        restart[letter] = ~state
+        if letter < width:
+            restart[letter] = ~state
     table = np.tile(restart, (unknown + 1, 1))
     table[0] = unknown
+    rare = []
     for state, edges in enumerate(following):
         for letter, to in edges.items():
-            table[state, letter] = to
+            if letter < width:
+                table[state, letter] = to
+            else:
+                rare.append((state, letter, to))
     table[:, -1] = np.arange(unknown + 1)
-    return table
+    return table, rare
 
 
 def lower_letters(text: str) -> str:
@@ -160,18 +194,23 @@ def train(sample: list[tuple[str, str]]) -> Model:
     texts = {language: text for language, text in sorted(texts.items()) if text.strip()}
     usual = Counter("".join(texts.values()))
     del usual[" "]
-    letters = "".join(sorted(c for c, _ in usual.most_common(_CLASSES)))
-    of = {" ": _SPACE} | {c: i + 2 for i, c in enumerate(letters)}
-    tables = [
-        suffix_automaton([of.get(c, _OTHER) for c in text], len(letters) + 3) for text in texts.values()
-    ]
-    return Model(list(texts), letters, tables, [len(text) for text in texts.values()])
+    ranked = [c for c, _ in usual.most_common()]
+    letters = "".join(sorted(ranked[:DENSE]) + sorted(ranked[DENSE:]))
+    of = {" ": _SPACE} | _classes(letters)
+    width = min(len(letters), DENSE) + 3
+    automata = [suffix_automaton([of[c] for c in text], width) for text in texts.values()]
+    return Model(list(texts), letters, automata, [len(text) for text in texts.values()])
+
+
+def _classes(letters: str) -> dict[str, int]:
+    """Class of each letter; that of padding is left out."""
+    return {c: i + 2 + (i >= DENSE) for i, c in enumerate(letters)}
 
 
 def class_table(letters: str) -> np.ndarray:
     """Letter class of every code point; upper case has that of its lower case."""
-    table = np.zeros(0x110000, np.uint8)
-    of = {c: i + 2 for i, c in enumerate(letters)}
+    table = np.zeros(0x110000, np.int32 if len(letters) > DENSE else np.uint8)
+    of = _classes(letters)
     for code in range(0x110000):
         char = chr(code)
         if char.isalpha():
@@ -211,7 +250,7 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[flo
     chars = np.zeros(len(texts), np.int64)
     letters = np.zeros(len(texts), np.int64)
     table = _class_table(model.letters)
-    padding = model.width - 1
+    padding = model.padding
     for block in _slices(texts) if count else ():
         owner = np.repeat([i for i, _ in block], [len(piece) for _, piece in block])
         codes = np.frombuffer("".join(p for _, p in block).encode("utf-32-le", "replace"), np.uint32)
@@ -234,7 +273,7 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[flo
         segments = -(-lengths // SEGMENT)
         first = np.cumsum(segments) - segments
         rows = np.repeat(first, lengths) + within // SEGMENT
-        lanes = np.full((segments.sum(), SEGMENT), padding, np.uint8)
+        lanes = np.full((segments.sum(), SEGMENT), padding, table.dtype)
         lanes[rows, within % SEGMENT] = classes
         np.add.at(phrases, np.repeat(owner[begins], segments), model.parse(lanes))
     known = (letters > 0) & (count > 0)

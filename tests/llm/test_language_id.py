@@ -72,3 +72,54 @@ def test_without_labels_or_rows(spark):
     assert {r.lang_pred for r in L.identify(docs, model, ["doc_id"]).collect()} == {L.UNDETERMINED}
     nothing = frames.empty(spark)
     assert L.identify(nothing, L.train(L.labelled_sample(nothing)), ["doc_id"]).collect() == []
+
+
+# First letter and number of letters of some scripts.
+SCRIPTS = {"ha": (0x4E00, 900), "ho": (0xAC00, 700), "de": (0x905, 48), "ja": (0x4E00, 300)}
+
+
+def script_text(lang, words, seed):
+    first, count = SCRIPTS[lang]
+    chance = random.Random(seed)
+    # Words from a small vocabulary, so that phrases of the sample come again.
+    vocabulary = random.Random(lang)
+    stems = ["".join(chr(first + vocabulary.randrange(count)) for _ in range(3)) for _ in range(300)]
+    return " ".join(chance.choice(stems) for _ in range(words))
+
+
+def test_scripts_of_many_letters(spark):
+    rows = [(i, script_text(sorted(SCRIPTS)[i % 4], 60, i), sorted(SCRIPTS)[i % 4]) for i in range(200)]
+    docs = frames.docs(spark, rows)
+    model = L.train(L.labelled_sample(docs))
+    assert len(model.letters) > 3 * L.DENSE
+    found = L.identify(docs, model, ["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 198
+
+
+def test_letters_outside_the_table_change_nothing(monkeypatch):
+    sample = [(lang, script_text(lang, 150, 1)) for lang in sorted(SCRIPTS)] + [("xx", frames.invented(80, 3))]
+    references = [f"{L.lower_letters(text)} " for _, text in sample]
+    texts = [L.lower_letters(script_text(lang, 70, 2) + " ka lo ω 中 ") for lang in sorted(SCRIPTS)]
+    wanted = [[phrases(text, reference) for reference in references] for text in texts]
+    for dense in (0, 3, 120, 5000):
+        monkeypatch.setattr(L, "DENSE", dense)
+        model = L.train(sample)
+        of = {" ": 0} | L._classes(model.letters)
+        for text, want in zip(texts, wanted):
+            classes = np.full((-(-len(text) // L.SEGMENT), L.SEGMENT), model.padding, np.int32)
+            for i, char in enumerate(text):
+                classes[i // L.SEGMENT, i % L.SEGMENT] = of.get(char, 1)
+            assert model.parse(classes).sum(axis=0).tolist() == want
+
+
+def test_sample_is_by_row_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROWS", 5)
+    monkeypatch.setattr(L, "LONGEST", 400)
+    monkeypatch.setattr(L, "REFERENCE", 500)
+    same = [(1, frames.invented(30, i), "aa") for i in range(40)]
+    long = [(2, frames.invented(5000, 50), "bb"), (3, frames.invented(6000, 51), "bb")]
+    sample = L.labelled_sample(frames.docs(spark, same + long))
+    assert [lang for lang, _ in sample] == ["aa"] * 5 + ["bb"] * 2
+    assert {text for lang, text in sample if lang == "aa"} <= {text for _, text, _ in same}
+    assert len({text for lang, text in sample if lang == "aa"}) == 5
+    assert {text for lang, text in sample if lang == "bb"} == {text[:500] for _, text, _ in long}
