@@ -78,39 +78,40 @@ def values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(_text(text), F.lit(f"{_SLOT}|{_WORD}"), 0), F.lower)
 
 
-def _hash(window: Column, valued: Column) -> Column:
-    return F.when(_is_template(window), F.xxhash64(window)).otherwise(F.xxhash64(F.lit(PLAIN), valued))
+def _hash(window: list[Column], valued: list[Column]) -> Column:
+    """Hash of the words of a window, null behind its end."""
+    return F.when(_is_template(window), F.xxhash64(*window)).otherwise(F.xxhash64(F.lit(PLAIN), *valued))
 
 
-def _is_template(window: Column) -> Column:
-    plain = window
-    for mark in (_NUMBER_MARK, _UNIT_MARK, _NAME_MARK):
-        plain = F.array_remove(plain, mark)
-    return F.size(plain) >= PLAIN
+def _is_template(window: list[Column]) -> Column:
+    plain = [F.when(word.isNull() | _is_slot(word), 0).otherwise(1) for word in window]
+    return sum(plain, F.lit(0)) >= PLAIN
+
+
+def _parts(window: Column, length: int = WINDOW, start: Column | int = 0) -> list[Column]:
+    """So many words of an array, one column each: generated code hashes them without a copy."""
+    return [F.get(window, F.lit(i) + start) for i in range(length)]
 
 
 def windows(table: DataFrame, key: str, lengths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
     """`(key, place, hash)` of every window of these lengths of the texts of `table`."""
     # The words go through an explode of one row, so that they are computed once and not per window.
-    both = F.struct(words(canonical(F.col("text"))).alias("words"), values(F.col("text")).alias("values"))
-    split = table.select(key, F.explode(F.array(both)).alias("both")).select(key, "both.*")
+    split = table.select(key, "text", F.explode(F.array(words(canonical(F.col("text"))))).alias("words"))
     split = split.filter(F.size("words") >= min(lengths))
+    # Without a placeholder the words are the values.
+    valued = F.when(F.exists("words", _is_slot), values(F.col("text"))).otherwise(F.col("words"))
+    split = split.select(key, "words", F.explode(F.array(valued)).alias("values"))
+    last = F.size("words") - min(lengths)
+    placed = split.select(key, "words", "values", F.explode(F.sequence(F.lit(0), last)).alias("place"))
 
-    def hashes(length: int) -> Column:
-        found = F.transform(
-            F.sequence(F.lit(1), F.size("words") - (length - 1)),
-            lambda i: F.struct(
-                (i - 1).alias("place"),
-                _hash(F.slice("words", i, length), F.slice("values", i, length)).alias("hash"),
-            ),
-        )
-        return F.when(F.size("words") >= length, found).otherwise(F.array().cast(_PLACED))
-
-    every = F.concat(*[hashes(length) for length in lengths])
-    return split.select(key, F.explode(every).alias("w")).select(key, "w.place", "w.hash")
-
+    def window_hash(length: int) -> Column:
+        found = _hash(*[_parts(F.col(name), length, F.col("place")) for name in ("words", "values")])
+        return F.when(F.col("place") + length <= F.size("words"), found)
 
-_PLACED = "array<struct<place:int,hash:bigint>>"
+    if len(lengths) == 1:
+        return placed.select(key, "place", window_hash(lengths[0]).alias("hash"))
+    every = F.array(*[window_hash(length) for length in lengths])
+    return placed.select(key, "place", F.explode(every).alias("hash")).filter("hash IS NOT NULL")
 
 
 def benchmark_index(benchmark: DataFrame) -> DataFrame:
@@ -134,9 +135,9 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
             F.slice("values", i, F.col("length")).alias("valued"),
         ),
     )
-    templates = F.size(F.filter(every, lambda w: _is_template(w["window"])))
-    split = split.withColumn("n_templates", templates)
     kept = ("item_id", "length", "n_windows", "n_templates")
+    templates = F.filter(every, lambda w: _is_template(_parts(w["window"])))
+    split = split.withColumn("n_templates", F.size(templates))
     found = split.select(*kept, F.posexplode(every).alias("at", "w")).select(*kept, "at", "w.*")
     begun = split.filter(F.col("inside") != F.slice("words", 1, WINDOW))
     begun = begun.select(
@@ -146,8 +147,8 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
     return found.select(
         *kept,
         "at",
-        _is_template(F.col("window")).alias("template"),
-        _hash(F.col("window"), F.col("valued")).alias("hash"),
+        _is_template(_parts(F.col("window"))).alias("template"),
+        _hash(_parts(F.col("window")), _parts(F.col("valued"))).alias("hash"),
     )
 
 

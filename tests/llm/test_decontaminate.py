@@ -1,5 +1,8 @@
+import random
 import re
 
+import regex
+
 from linecensus.llm import decontaminate as D
 from tests.llm import frames
 
@@ -113,6 +116,80 @@ def test_passages_against_brute_force(spark):
     assert set(found(spark, texts, items)) == brute_force(texts, items)
 
 
+def canonical_words(text):
+    """Canonical words of a text, their values, and the slots as (number of the word, value)."""
+    marked = text
+    for pattern, mark in ((D._NUMBER, "0"), (D._UNIT, "0u"), (D._NAME, "0n")):
+        marked = regex.sub(pattern, mark, marked)
+    words = regex.findall(D._WORD, marked.lower())
+    values = [value.lower() for value in regex.findall(f"{D._SLOT}|{D._WORD}", text)]
+    places = [i for i, word in enumerate(words) if word in ("0", "0u", "0n")]
+    return words, values, list(zip(places, regex.findall(D._SLOT, text), strict=True))
+
+
+def keyed(words, values, at, length):
+    """What must be equal in two windows, and whether it is a template."""
+    window = words[at : at + length]
+    template = sum(word not in ("0", "0u", "0n") for word in window) >= D.PLAIN
+    return tuple(window) if template else ("values", *values[at : at + length]), template
+
+
+def pairs_by_definition(texts, items):
+    pairs = set()
+    for i, text in enumerate(texts):
+        words, values, slots = canonical_words(text)
+        for j, item in enumerate(items):
+            wanted, of_item, item_slots = canonical_words(item)
+            length = min(D.WINDOW, len(wanted))
+            starts = range(len(wanted) - length + 1)
+            windows = {(b, *keyed(wanted, of_item, b, length)) for b in starts}
+            inside, inside_values = (found[1 : D.WINDOW + 1] for found in canonical_words("x, " + item)[:2])
+            if inside != wanted[: D.WINDOW]:
+                windows.add((0, *keyed(inside, inside_values, 0, len(inside))))
+            n_templates = sum(keyed(wanted, of_item, b, length)[1] for b in starts)
+            by_shift = {}
+            for a in range(len(words) - length + 1):
+                key = keyed(words, values, a, length)[0]
+                for b, other, template in windows:
+                    if key == other:
+                        by_shift.setdefault(a - b, set()).add((b, template))
+            for shift, met in by_shift.items():
+                at = {b for b, _ in met}
+                templates = len({b for b, template in met if template})
+                coverage = max(len(at) / len(starts), templates / n_templates if n_templates else 0)
+                if len(at) < D.MIN_WINDOWS and coverage < D.COVERAGE:
+                    continue
+                there, stands_for = dict((place, value) for place, value, *_ in slots), {}
+                for place, value in item_slots:
+                    if min(at) <= place <= max(at) + D.WINDOW - 1 and place + shift in there:
+                        stands_for.setdefault(value, set()).add(there[place + shift])
+                if sum(len(v) == 1 for v in stands_for.values()) >= D.CONSISTENT * len(stands_for):
+                    pairs.add((i, j))
+    return pairs
+
+
+def test_placeholders_and_slots_against_brute_force(spark):
+    chance = random.Random(4)
+    parts = ["48", "7", "3.5", "12 km", "9 minutes", "Alice", "Bob", *frames.invented(9, 6).split()]
+    items = [" ".join(chance.choices(parts, k=n)) for n in (1, 2, 3, 5, 7, 8, 8, 9, 12, 15, 20, 30)]
+    texts = []
+    for i in range(120):
+        changed = items[i % 12].split()
+        for _ in range(chance.randint(0, 4)):
+            changed[chance.randrange(len(changed))] = chance.choice(["5", "48", "Carol", "Bob", "km", "lomi", "un"])
+        texts.append(f"{frames.invented(9, i)}, {' '.join(changed)} {' '.join(chance.choices(parts, k=9))}")
+    expected = pairs_by_definition(texts, items)
+    assert set(found(spark, texts, items)) == expected and len(expected) > 100
+    # Lengths above and below the window in one table, and the window alone.
+    whole = [item for item in items if len(canonical_words(item)[0]) >= D.WINDOW]
+    assert set(found(spark, texts, whole)) == pairs_by_definition(texts, whole)
+
+
+def test_long_text(spark):
+    words = frames.invented(150_000, 7)
+    assert set(found(spark, [f"{words} {QUESTION} {words}", words], [QUESTION])) == {(0, 0)}
+
+
 def test_query_judges_rows_that_share_an_identifier_apart(spark, tmp_path):
     filler = frames.invented(30, 3)
     half = len(QUESTION.split()) // 2
