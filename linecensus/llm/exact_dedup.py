@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from linecensus.llm.common import located, text_or_empty
 from linecensus.session import scratch_path, write_table
 
+# Rows of a group of copies that one key of the byte comparison has, about.
+COMPARED_ROWS = 256
 # Settings of the state: on disk, with one memory bound for all stores of an executor.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -84,8 +86,8 @@ def update_state(spark: SparkSession, prints: DataFrame, folder: str, checkpoint
 
 
 def _stays() -> Column:
-    # The complement of doc_id orders the smallest identifier first and cannot overflow.
-    return F.max(F.struct("chars", F.bitwise_not("doc_id").alias("inverse"), *_LOCATOR))
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    return F.min(F.struct(F.negative("chars").alias("shorter"), unnamed, "doc_id", *_LOCATOR))
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -95,7 +97,7 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(
         "key.digest",
         F.col(f"value.{rows}").alias("group_size"),
-        F.bitwise_not(f"value.{stays}.inverse").alias("keep_id"),
+        F.col(f"value.{stays}.doc_id").alias("keep_id"),
         F.col(f"value.{stays}.file").alias("keep_file"),
         F.col(f"value.{stays}.row").alias("keep_row"),
     )
@@ -111,14 +113,15 @@ def exact_dedup(
     docs = located(docs)
     folder = scratch_path(spark, "fingerprints")
     fingerprints(docs, digest).write.parquet(folder)
-    schema = "doc_id bigint, digest binary, chars bigint, file string, row bigint"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, digest binary, chars bigint, file string, row bigint"
     prints = spark.read.schema(schema).parquet(folder)
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
     if prints.isEmpty():
         groups = prints.select(
             "digest",
             F.col("row").alias("group_size"),
-            F.col("row").alias("keep_id"),
+            F.col("doc_id").alias("keep_id"),
             F.col("file").alias("keep_file"),
             F.col("row").alias("keep_row"),
         )
@@ -138,7 +141,7 @@ def exact_dedup(
     own = other.groupBy(*key).agg(_stays().alias("stays"), F.count("*").alias("group_size"))
     own = other.join(own, key).withColumns(
         {
-            "keep_id": F.bitwise_not("stays.inverse"),
+            "keep_id": F.col("stays.doc_id"),
             "keep_file": F.col("stays.file"),
             "keep_row": F.col("stays.row"),
         }
@@ -155,8 +158,8 @@ def _labelled(grouped: DataFrame) -> DataFrame:
 def _unequal(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame | None:
     """Hits whose full text differs from that of their group's document; None if there are none.
 
-    Texts are moved by locator, a unique key, by a merge join at every size; the second join meets a
-    large group with one row, and adaptive execution may split it.
+    Texts are moved by locator, a unique key, by a merge join at every size. A group is then compared in
+    parts of about `COMPARED_ROWS` rows, each with a copy of the text that stays.
     """
     hits = prints.join(groups.filter("group_size > 1"), "digest")
     hits = write_table(hits, "dedup-hits")
@@ -166,14 +169,17 @@ def _unequal(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame
         normalised(text_or_empty()).alias("content"),
     )
     same_row = (F.col("keep_file") == F.col("file")) & (F.col("keep_row") == F.col("row"))
-    kept = hits.filter(same_row).select(*_LOCATOR)
+    parts = F.ceil(F.col("group_size") / COMPARED_ROWS).alias("parts")
+    kept = hits.filter(same_row).select(*_LOCATOR, parts)
     kept = texts.join(kept.hint("merge"), list(_LOCATOR)).select(
         F.col("file").alias("keep_file"),
         F.col("row").alias("keep_row"),
         F.col("content").alias("kept_content"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
     )
-    members = texts.join(hits.filter(~same_row).hint("merge"), list(_LOCATOR))
-    differing = members.join(kept, ["keep_file", "keep_row"]).filter("content <> kept_content")
+    dealt = hits.filter(~same_row).withColumn("part", F.pmod(F.xxhash64(*_LOCATOR), parts))
+    members = texts.join(dealt.hint("merge"), list(_LOCATOR))
+    differing = members.join(kept, ["keep_file", "keep_row", "part"]).filter("content <> kept_content")
     columns = ("doc_id", "digest", "chars", *_LOCATOR, "content")
     found = write_table(differing.select(*columns), "dedup-unequal")
     return None if found.isEmpty() else found

@@ -54,3 +54,19 @@ def test_state_is_kept_between_calls(spark, tmp_path):
     state = {r.keep_id: r.group_size for r in D.read_state(spark, checkpoint).collect()}
     assert state == {3: 2, 6: 2}
     assert D.read_state(spark, checkpoint).select("keep_file").distinct().count() == 2
+
+
+def test_large_groups_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "COMPARED_ROWS", 10)
+    texts = ["ab"] * 95 + ["a b"] * 4 + ["cd"] * 25 + ["ef g"]
+    rows = [(i * 7 % 125, text, "en") for i, text in enumerate(texts)]
+    weak = lambda text: F.unhex(F.lit("00"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in D.exact_dedup(frames.docs(spark, rows), weak).collect()}
+    assert got == {r[0]: r[1:4] for r in brute_force(rows)}
+
+
+def test_identifiers_of_any_type(spark):
+    named = frames.docs(spark).withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id")))
+    name = lambda doc_id: None if doc_id is None else f"n{doc_id}"
+    expected = [(name(a), name(b), *rest) for a, b, *rest in brute_force(frames.ROWS)]
+    assert collected(D.exact_dedup(named)) == sorted(expected, key=repr)
