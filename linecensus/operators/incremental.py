@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecensus.operators.stats import COUNTS
+from linecensus.operators.stats import COUNTS, stats_delta
 
 CACHE_VERSION = 1
 
@@ -60,9 +60,12 @@ def cache_mode(cache: DataFrame, mode: str) -> DataFrame:
     return cache if mode in ("reuse", "verify") else cache.limit(0)
 
 
-def cache_probe(manifest: DataFrame, cache: DataFrame) -> DataFrame:
+def cache_probe(manifest: DataFrame, cache: DataFrame, replaced: bool = False) -> DataFrame:
     """Manifest with `hit` and, for hits, the stored `cached_language` and `cached_stats`.
 
+    With `replaced`, misses have the language and counts of their outdated entry as `replaced_language` and
+    `replaced_stats`.
+
     A hit needs the same size and the same modification second, and where the manifest has a `digest`, the
     same digest: an entry or a file without one is a miss then.
     """
@@ -80,11 +83,13 @@ def cache_probe(manifest: DataFrame, cache: DataFrame) -> DataFrame:
     if checked:
         same = same & (F.col("digest") == F.col("_digest"))
     hit = F.coalesce(same, F.lit(False))
+    outdated = {f"replaced_{c}": F.when(~hit, F.col(f"cached_{c}")) for c in ("language", "stats")}
     return (
         manifest.join(stored, _KEY, "left")
         .withColumns(
             {
                 "hit": hit,
+                **(outdated if replaced else {}),
                 "cached_language": F.when(hit, F.col("cached_language")),
                 "cached_stats": F.when(hit, F.col("cached_stats")),
             }
@@ -114,6 +119,17 @@ def cache_upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
     return cache.join(entries, _KEY, "left_anti").unionByName(entries)
 
 
+def entry_counts(entries: DataFrame) -> DataFrame:
+    """Language and counts of each entry."""
+    return entries.select("language", "stats.*")
+
+
+def cache_delta(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """Change of the per-language totals of `cache` by `cache_upsert` of `entries`."""
+    outdated = cache.join(entries.select(*_KEY), _KEY, "left_semi")
+    return stats_delta(entry_counts(outdated), entry_counts(entries))
+
+
 def cache_cleanup(cache: DataFrame, manifest: DataFrame) -> DataFrame:
     """Cache without the entries whose file is gone."""
     return cache.join(manifest, _KEY, "left_semi")

@@ -53,6 +53,19 @@ def merge_stats(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def stats_delta(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """What per-language results gain by files `added` and lose by files `removed`; numbers may be negative."""
+    gained = added.select("language", F.lit(1).alias("files"), *COUNTS)
+    lost = removed.select("language", F.lit(-1).alias("files"), *[F.negative(c).alias(c) for c in COUNTS])
+    both = gained.unionByName(lost).groupBy(F.col("language").alias("name"))
+    return both.agg(F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("files"), *_sums())
+
+
+def fold_totals(totals: DataFrame, delta: DataFrame) -> DataFrame:
+    """Per-language totals after a `stats_delta`; a language without files left is gone."""
+    return merge_stats(totals, delta).filter("files <> 0")
+
+
 def langs_by_code(language_stats: DataFrame) -> DataFrame:
     return language_stats.orderBy(F.desc("code"), "name")
 

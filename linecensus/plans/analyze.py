@@ -100,19 +100,24 @@ def analyze_tree(
     if cache_dir and mode == "verify":
         manifest = write_table(content_digest(manifest, base), "digests")
 
-    cached = C.empty_cache(spark)
+    cached, seen = C.empty_cache(spark), None
     if cache_dir and mode in ("reuse", "verify"):
         with _cache_errors_only_warn("read"):
+            seen = cache_table.state(spark, cache_dir, identity)
             cached = cache_table.load(spark, cache_dir, identity)
     # Written once: hits, misses and the hit rate all read it.
-    probed = write_table(C.cache_probe(manifest, C.cache_mode(cached, mode)), "probed")
-    misses = probed.filter(~F.col("hit")).drop("hit", "cached_language", "cached_stats")
+    probed = write_table(C.cache_probe(manifest, C.cache_mode(cached, mode), replaced=True), "probed")
+    probing = ("hit", "cached_language", "cached_stats", "replaced_language", "replaced_stats")
+    misses = probed.filter(~F.col("hit")).drop(*probing)
     counted = write_table(count_files(misses, base, piece_bytes, long_line_bytes), "counted")
     counted_well = counted.filter(F.col("error").isNull()).drop("error")
     if cache_dir and mode != "fresh":
         entries = C.cache_entries(counted_well, int(time.time()))
+        outdated = probed.filter("replaced_language IS NOT NULL").select(
+            "root_id", "path", F.col("replaced_language").alias("language"), F.col("replaced_stats").alias("stats")
+        )
         with _cache_errors_only_warn("saved"):
-            cache_table.save(spark, cache_dir, identity, entries, rebuild=mode == "rebuild")
+            cache_table.save(spark, cache_dir, identity, entries, mode == "rebuild", outdated, seen)
 
     columns = ("root_id", "path", "mtime", "size", "language", *S.COUNTS)
     combined = C.combine_results(C.cache_hits(probed), counted_well.select(*columns))

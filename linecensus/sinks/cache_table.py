@@ -8,6 +8,10 @@ Runs may save at the same time. Each writes to a folder of its own and claims a
 fails where the name is taken. A run that loses a claim looks at the folders again and takes the next number.
 A base that merges has the number after what it has read, and a delta of that number counts after it, so
 entries saved while it was written stay. The cache needs a file system with atomic renames.
+
+Every folder also holds the totals by language of all entries up to it: those of the folder before it, less the entries
+it replaces, plus its own. The name of that folder is part of the name of the totals, so totals that were made after
+another one, since runs saved at the same time, are not used; then all entries are counted.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecensus.operators import incremental as C
+from linecensus.operators import stats as S
 
 # After this many deltas the next run writes a new base.
 MAX_DELTAS = 16
@@ -29,6 +35,7 @@ MAX_DELTAS = 16
 ABANDONED_SECONDS = 7 * 24 * 3600
 
 _SCHEMA = C.CACHE_SCHEMA + ", digest string"
+_TOTALS_SCHEMA = "name string, files bigint, " + ", ".join(f"{c} bigint" for c in S.COUNTS)
 _STAGED = "_run-"
 
 
@@ -58,6 +65,32 @@ def _current(folders: list[tuple[int, str, str, bool]]) -> list[str]:
     return paths
 
 
+def state(spark: SparkSession, cache_dir: str, root: str) -> list[str]:
+    """The folders that `load` would read now."""
+    return _current(_folders(spark, cache_dir, root))
+
+
+def totals(spark: SparkSession, cache_dir: str, root: str) -> DataFrame:
+    """Files and counts by language of all entries saved; reads one row per language where it can."""
+    current = state(spark, cache_dir, root)
+    return _totals(spark, cache_dir, root, current)
+
+
+def _totals(spark: SparkSession, cache_dir: str, root: str, current: list[str]) -> DataFrame:
+    if current:
+        stored = _totals_path(current[-1], current[:-1])
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{stored}/_SUCCESS")
+        if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            return spark.read.schema(_TOTALS_SCHEMA).parquet(stored)
+    return S.language_stats(C.entry_counts(load(spark, cache_dir, root)))
+
+
+def _totals_path(folder: str, before: list[str]) -> str:
+    """Where `folder` has its totals, if it was made after the folders `before`; readers of entries skip the name."""
+    after = before[-1].rsplit("/", 1)[-1] if before else "nothing"
+    return f"{folder}/_totals-{C.CACHE_VERSION}-after-{after}"
+
+
 def load(spark: SparkSession, cache_dir: str, root: str, skip_damaged: bool = True) -> DataFrame:
     """Latest valid entry per path; no rows when there is no cache."""
     paths = _current(_folders(spark, cache_dir, root))
@@ -76,8 +109,20 @@ def load(spark: SparkSession, cache_dir: str, root: str, skip_damaged: bool = Tr
     return latest.select("root_id", "path", "entry.*").select(*columns)
 
 
-def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, rebuild: bool) -> None:
-    """Insert or overwrite `entries`; with `rebuild` they replace everything stored."""
+def save(
+    spark: SparkSession,
+    cache_dir: str,
+    root: str,
+    entries: DataFrame,
+    rebuild: bool,
+    replaced: DataFrame | None = None,
+    seen: list[str] | None = None,
+) -> None:
+    """Insert or overwrite `entries`; with `rebuild` they replace everything stored.
+
+    `replaced` may name the stored entries `(root_id, path, language, stats)` of the paths of `entries`, as of the `state`
+    `seen`; otherwise, or if another run has saved since, the totals need a look at all stored entries.
+    """
     home = f"{cache_dir.rstrip('/')}/{root}"
     if "digest" not in entries.columns:
         entries = entries.withColumn("digest", F.lit(None).cast("string"))
@@ -92,6 +137,7 @@ def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, reb
             # A file that cannot be read now must not be lost for good.
             stored = load(spark, cache_dir, root, skip_damaged=False)
             merged = _stage(C.cache_upsert(stored, entries), home)
+            _write_totals(S.language_stats(C.entry_counts(_staged_entries(spark, merged))), merged, [])
             if _claim(spark, merged, f"{home}/{number:08d}-base"):
                 _remove_superseded(spark, _folders(spark, cache_dir, root))
                 break
@@ -100,6 +146,17 @@ def save(spark: SparkSession, cache_dir: str, root: str, entries: DataFrame, reb
         staged = staged or _stage(entries, home)
         kind = "base" if rebuild or not current else "delta"
         target = f"{home}/{number:08d}-{kind}"
+        added = _staged_entries(spark, staged)
+        if kind == "base":
+            _write_totals(S.language_stats(C.entry_counts(added)), staged, [])
+        else:
+            known = replaced if replaced is not None and seen == current else load(spark, cache_dir, root)
+            try:
+                before = _totals(spark, cache_dir, root, current)
+                _write_totals(S.fold_totals(before, C.cache_delta(known, added)), staged, current)
+            except (PySparkException, Py4JJavaError):
+                # Another run may just have removed an old folder; without totals, entries are counted when asked for.
+                pass
         if not _claim(spark, staged, target):
             continue
         folders = _folders(spark, cache_dir, root)
@@ -121,6 +178,15 @@ def _stage(entries: DataFrame, home: str) -> str:
     return target
 
 
+def _staged_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_SCHEMA).parquet(folder)
+
+
+def _write_totals(totals: DataFrame, folder: str, before: list[str]) -> None:
+    """Save the totals of `folder`; at most one row per language, so one file."""
+    totals.coalesce(1).write.mode("overwrite").parquet(_totals_path(folder, before))
+
+
 def _claim(spark: SparkSession, folder: str, target: str) -> bool:
     """Rename `folder` to `target` unless that exists, and whether this was done."""
     jvm = spark._jvm

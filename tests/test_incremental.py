@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linecensus.operators import incremental as C
+from linecensus.operators import stats as S
 from linecensus.plans.analyze import analyze_tree
 from linecensus.sinks import cache_table as CA
 from linecensus.sources import content as CT
@@ -288,3 +289,57 @@ def test_tasks_have_equal_weight(spark, monkeypatch):
     assert len(weights) > 8
     assert max(weights) <= 1.2 * sum(weights) / len(weights)
     assert CT.pack_by_size(manifest.limit(0)).count() == 0
+
+
+def _totals_and_count(spark, where, root="r"):
+    """Totals as stored, or None where they would be counted, and a full count of the entries."""
+    current = CA.state(spark, where, root)
+    stored = os.path.isdir(CA._totals_path(current[-1], current[:-1]).removeprefix("file:"))
+    full = S.language_stats(C.entry_counts(CA.load(spark, where, root)))
+    rows = [sorted(map(tuple, df.collect())) for df in (CA.totals(spark, where, root), full)]
+    return stored, *rows
+
+
+def test_running_totals_equal_a_full_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CA, "MAX_DELTAS", 3)
+    where, chance = str(tmp_path), random.Random(2)
+    assert CA.totals(spark, where, "r").collect() == []
+    for run in range(6):
+        rows = [(f"f{i}", i, run, chance.choice(["Rust", "Lua", "Go"]), run + i) for i in chance.sample(range(9), 3)]
+        CA.save(spark, where, "r", entries(spark, rows), rebuild=run == 5)
+        stored, running, full = _totals_and_count(spark, where)
+        assert stored and running == full
+    # The last file of a language goes.
+    CA.save(spark, where, "r", entries(spark, [(row[0], 1, 9, "C", 4) for row in rows]), rebuild=False)
+    assert [tuple(r)[:3] for r in CA.totals(spark, where, "r").collect()] == [("C", 3, 12)]
+
+
+def test_totals_of_another_state_are_not_used(spark, tmp_path):
+    where = str(tmp_path)
+    for names in ("a", "b"):
+        CA.save(spark, where, "r", _entries(spark, [names]), rebuild=False)
+    # Another run's entries come between, as when a base is written at the same time.
+    _entries(spark, ["a", "c"], code=5).withColumn("digest", F.lit(None).cast("string")).write.parquet(f"{where}/r/00000001-base")
+    stored, running, full = _totals_and_count(spark, where)
+    assert not stored and running == full
+    CA.save(spark, where, "r", _entries(spark, ["d"]), rebuild=False)
+    stored, running, full = _totals_and_count(spark, where)
+    assert stored and running == full and running[0][1] == 4
+
+
+def test_totals_of_a_tree_need_no_look_at_old_entries(spark, tmp_path, monkeypatch):
+    where, tree = str(tmp_path / "cache"), tmp_path / "tree"
+    tree.mkdir()
+    for i in range(8):
+        (tree / f"f{i}.rs").write_text("fn a() {}\n" * (i + 1))
+    run = lambda: analyze_tree(spark, str(tree), cache_dir=where).files.count()
+    run()
+    root = hashlib.md5(os.fsencode(os.path.realpath(tree))).hexdigest()
+    (tree / "f3.rs").write_text("// one\n\n")
+    (tree / "new.lua").write_text("print(1)\n")
+    loads, load = [], CA.load
+    monkeypatch.setattr(CA, "load", lambda *args, **named: loads.append(args) or load(*args, **named))
+    run()
+    assert len(loads) == 1
+    stored, running, full = _totals_and_count(spark, where, root)
+    assert stored and running == full and [row[:3] for row in running] == [("Lua", 1, 1), ("Rust", 8, 34)]
