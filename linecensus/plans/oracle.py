@@ -268,6 +268,15 @@ first_two AS (SELECT DISTINCT folder FROM linked ORDER BY folder LIMIT 2)
 SELECT path, language, size, followed FROM corpus, (VALUES (false), (true)) AS f(followed)
 UNION ALL SELECT 'link-' || substr(path, 8), language, size, true FROM linked WHERE folder IN (FROM first_two)""",
         "cache_sink": f"{_CORPUS_ALL} SELECT path, bytes AS size, language, lines FROM file_stats",
+        "running_totals": f"""{_CORPUS_ALL}, edited AS (
+SELECT language AS name, {_STATS}, regexp_extract(path, 'doc_([0-9]+)', 1)::BIGINT % 3 = 0 AS emptied FROM file_stats),
+after AS (
+SELECT name, if(emptied, 0, lines) AS lines, if(emptied, 0, code) AS code, if(emptied, 0, comments) AS comments,
+  if(emptied, 0, blanks) AS blanks, if(emptied, 0, bytes) AS bytes FROM edited
+UNION ALL SELECT 'Rust', 1, 1, 0, 0, 2 FROM edited WHERE emptied)
+SELECT l.*, 'first' AS run FROM language_stats l
+UNION ALL SELECT name, count(*), sum(lines)::BIGINT, sum(code)::BIGINT, sum(comments)::BIGINT, sum(blanks)::BIGINT,
+  sum(bytes)::BIGINT, 'second' FROM after GROUP BY name""",
         "scan_tree_filtered": f"""{_CORPUS_ALL}, named AS (SELECT *, regexp_extract(path, '[^/]*$') AS file,
   regexp_extract(path, 'src([0-9]+)/', 1)::INT AS folder FROM corpus)
 SELECT path, language, size FROM named WHERE file NOT LIKE '%.css'

@@ -462,8 +462,8 @@ def follow_links(spark, sf_dir):
     """A tree with links to its folders, one back to the top: not followed, then followed."""
     root = _corpus_tree(spark, sf_dir)
     names = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct()
-    for name in sorted(row.source for row in names.collect())[:2]:
-        os.symlink(f"{root}/corpus/{name}", f"{root}/link-{name}")
+    for row in names.orderBy("source").limit(2).collect():
+        os.symlink(f"{root}/corpus/{row.source}", f"{root}/link-{row.source}")
     os.symlink(root, f"{root}/corpus/back")
     scans = []
     for follow in (False, True):
@@ -480,6 +480,24 @@ def cache_sink(spark, sf_dir):
     return CA.load(spark, cache, identity).select("path", "size", "language", "stats.lines")
 
 
+def running_totals(spark, sf_dir):
+    """Totals kept by the cache after a first run, and after a second one that finds emptied and new files."""
+    root, cache = _corpus_tree(spark, sf_dir), scratch_path(spark, "cache")
+    identity = spark.range(1).select(C.root_id(F.lit(os.path.realpath(root)))).first()[0]
+    third = T.corpus(spark, sf_dir).select("path").filter(
+        F.regexp_extract("path", "doc_([0-9]+)", 1).cast("bigint") % 3 == 0
+    )
+    emptied = third.withColumn("content", F.lit(""))
+    new = third.select(F.concat(F.lit("new/"), F.col("path"), F.lit(".rs")).alias("path"), F.lit("x\n").alias("content"))
+    runs = []
+    for name, changes in (("first", None), ("second", emptied.unionByName(new))):
+        if changes is not None:
+            write_tree(changes, root)
+        A.analyze_tree(spark, root, cache_dir=cache)
+        runs.append(CA.totals(spark, cache, identity).withColumn("run", F.lit(name)))
+    return runs[0].unionByName(runs[1])
+
+
 def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of reading listed files that are not there."""
     manifest = _paths(spark, sf_dir).filter(D.is_code_file())
@@ -509,8 +527,7 @@ def queries() -> dict[str, Query]:
         cache_validate, cache_modes, combine_results, root_id, summary, report_table, report_full,
         report_files, report_csv, report_json, report_csv_tables, report_json_tables, scan_tree, scan_tree_filtered, tree_source, read_content,
         analyze_tree, analyze_tree_pieces, analyze_tree_long_lines, analyze_tree_rerun, scan_single,
-        follow_links, cache_sink, error_sample,
-        error_count,
+        follow_links, cache_sink, running_totals, error_sample, error_count,
     )
     return {
         "file_stats": _corpus_stats,
