@@ -24,12 +24,17 @@ number of pairs. All pairs are checked on the sets themselves. Nodes of one comp
 again. Where a list still holds several components, all pairs between them are then compared, in salted
 parts. No pair is left out at any size: lists, groups and subsets have no caps.
 
+**Links are counted** when the components are known, as a link has both ends in one: two nodes are linked, and of
+larger components all pairs are compared, in blocks of two parts of bounded size. The common elements of all
+pairs of a block are one product of matrices, and only a number per node and block leaves it. So rows
+grow with the parts of a component, the comparing with the pairs that it has, which are what is counted.
+
 Words are maximal runs of characters other than the ASCII white space 9 to 13 and 32, with A-Z in lower case.
 
 - A null text and one without words have the empty set: 0 shingles, no link, a component of their own.
 - Fewer words than a shingle needs are one shingle, all of them.
-- `component_id` is the smallest `doc_id` of the component, null where all are null; `n_links` counts the
-  documents whose set is equal, and those of the sets that a scan compared with the document's and found linked.
+- `component_id` is the smallest `doc_id` of the component, null where all are null; `n_links` counts all other
+  documents that are linked with the document, equal sets included.
 - Repeated rows are linked; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -59,8 +64,10 @@ SPARE = 2
 CHECK_COST = 0.1
 # Leaders of a list after the first round.
 LEADERS = 3
-# Nodes of an open list that one key of the last join holds.
+# Nodes of an open list that one key of the last join holds, and of a component that a part holds.
 PART = 512
+# Elements that the sets of a part hold together, and different ones of a block that are multiplied at once.
+PART_ELEMENTS, MULTIPLIED = 1 << 20, 1 << 12
 # Words of 64 bits with the parity of the elements of each bit.
 PARITY = 8
 # Documents whose sets are made together, bytes of a text that are split together, words remembered.
@@ -357,6 +364,14 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     possible = write_table(possible.select("node", "leader"), "possible-pairs")
     wanted = possible.select("node").unionByName(possible.select(F.col("leader").alias("node"))).distinct()
     wanted = write_table(nodes.join(wanted.hint("merge"), "node").select("node", "place.*"), "paired-places")
+    both = _joined(possible, write_table(_elements(wanted, docs), "full-sets"), ["elements"])
+    shared = F.size(F.array_intersect("elements", "its_elements")).cast("long")
+    total = F.size("elements").cast("long") + F.size("its_elements")
+    return write_table(both.filter(shared * (100 + THRESHOLD) >= total * THRESHOLD).select("node", "leader"), "links")
+
+
+def _elements(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """`(node, elements)`: the sets of the nodes `(node, file, row)`."""
     texts = _placed(docs).join(wanted, ["file", "row"]).select("node", "text")
 
     def elements(batches):
@@ -370,12 +385,72 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                     [part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "elements"]
                 )
 
-    full = write_table(texts.mapInArrow(elements, "node bigint, elements array<bigint>"), "full-sets")
-    both = _joined(possible, full, ["elements"])
-    shared = F.size(F.array_intersect("elements", "its_elements"))
-    total = F.size("elements") + F.size("its_elements")
-    is_link = shared.cast("long") * (100 + THRESHOLD) >= total * THRESHOLD
-    return write_table(both.filter(is_link).select("node", "leader"), "links")
+    return texts.mapInArrow(elements, "node bigint, elements array<bigint>")
+
+
+def common_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of `sets` has in common with each of `others`."""
+    both = [*sets, *others]
+    elements, number, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    # What only one set has is in no intersection.
+    column = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])[times[number] > 1]
+    column = column[number[times[number] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(others)), np.int64)
+    for first in range(0, int((times > 1).sum()), MULTIPLIED):
+        here = slice(*np.searchsorted(column, [first, first + MULTIPLIED]))
+        matrix = np.zeros((len(both), MULTIPLIED), np.float32)
+        matrix[row[here], column[here] - first] = 1
+        # Sums of at most MULTIPLIED ones are exact.
+        shared += (matrix[: len(sets)] @ matrix[len(sets) :].T).astype(np.int64)
+    return shared
+
+
+def _link_counts(inside: DataFrame, docs: DataFrame) -> DataFrame:
+    """`(node, its)`: documents of other nodes that each of the nodes `inside` large components is linked with.
+
+    `inside` has `(node, place, size, copies, component)`. A block holds two parts of a component, or one with itself.
+    """
+    weight = F.greatest(F.count("*") / PART, F.sum("size") / PART_ELEMENTS)
+    sizes = write_table(inside.groupBy("component").agg(F.ceil(weight).cast("int").alias("parts")), "component-parts")
+    parted = join_by_weight(inside, sizes, ["component"])
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
+    parted = write_table(parted.select("node", "place.*", "copies", "component", "parts", part), "component-nodes")
+    full = write_table(_elements(parted.select("node", "file", "row"), docs), "component-sets")
+    rows = full.join(parted.hint("merge"), "node").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    )
+    first, second = F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second")
+    rows = rows.select("component", first, second, "part", "node", "copies", "elements")
+
+    def count(table):
+        import pyarrow as pa
+
+        part, of = table.column("part").to_numpy(), table.column("first")[0].as_py()
+        sets = table.column("elements").combine_chunks()
+        edges = sets.offsets.to_numpy()
+        values = sets.values.to_numpy()
+        sets = [values[start:end] for start, end in zip(edges[:-1], edges[1:])]
+        lengths, copies = np.diff(edges).astype(np.int64), table.column("copies").to_numpy()
+        a = np.flatnonzero(part == of)
+        b = a if len(a) == len(part) else np.flatnonzero(part != of)
+        if table.column("second")[0].as_py() != of and b is a or not len(a):
+            linked = np.zeros(len(part), np.int64)
+        else:
+            shared = common_counts([sets[i] for i in a], [sets[i] for i in b])
+            links = shared * (100 + THRESHOLD) >= (lengths[a][:, None] + lengths[b]) * THRESHOLD
+            linked = np.zeros(len(part), np.int64)
+            if b is a:
+                np.fill_diagonal(links, False)
+            else:
+                linked[b] = copies[a] @ links
+            linked[a] = links @ copies[b]
+        return pa.table({"node": table.column("node"), "its": pa.array(linked)})
+
+    counted = rows.groupBy("component", "first", "second").applyInArrow(count, "node bigint, its bigint")
+    return counted.groupBy("node").agg(F.sum("its").alias("its"))
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -402,7 +477,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = _open_lists(entries)
     labels = write_table(members.select("node", "component").distinct(), "labels")
     shared = write_table(nodes.join(labels.select("node").hint("merge"), "node"), "shared-nodes")
-    found, turn, complete = [], 0, False
+    turn, complete = 0, False
     while not complete and not members.isEmpty():
         links = _links(_led_pairs(members, turn), shared, docs)
         complete = links.isEmpty()
@@ -411,29 +486,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             links = _links(_open_pairs(members, shared), shared, docs)
             if links.isEmpty():
                 break
-        found.append(links)
         labels = _relabelled(labels, links)
         if not complete:
             members = _open_lists(members.select("list", "node").join(labels, "node"))
         turn += 1
-    return _documents(signed, nodes, labels, found)
-
-
-def _documents(signed: DataFrame, nodes: DataFrame, labels: DataFrame, found: list[DataFrame]) -> DataFrame:
-    named = nodes.select("node", "set_key", "rep", "copies").join(labels.hint("merge"), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    if found:
-        links = reduce(DataFrame.unionByName, found)
-        ends = links.unionByName(links.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
-        copies = nodes.select(F.col("node").alias("leader"), F.col("copies").alias("its"))
-        linked = join_by_weight(write_table(ends, "link-ends"), copies, ["leader"]).groupBy("node").agg(F.sum("its").alias("its"))
-        named = named.join(linked, "node", "left")
-    else:
-        named = named.withColumn("its", F.lit(0))
-    named = write_table(named, "named-nodes")
-    smallest = write_table(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
-    result = join_by_weight(named, smallest, ["component"]).select(
-        "set_key", "component_id", (F.col("copies") - 1 + F.coalesce("its", F.lit(0))).alias("n_links")
+    return _documents(signed, nodes, labels, docs)
+
+
+def _documents(signed: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    named = nodes.select("node", "set_key", "rep", "copies", "size", "place").join(labels.hint("merge"), "node", "left")
+    named = write_table(named.withColumn("component", F.coalesce("component", "node")), "named-nodes")
+    whole = [F.min("rep").alias("component_id"), F.count("*").alias("sets"), F.sum("copies").alias("documents")]
+    whole = write_table(named.groupBy("component").agg(*whole), "component-ids")
+    named = write_table(join_by_weight(named, whole, ["component"]), "component-members")
+    inside = write_table(named.filter("sets > 2").select("node", "place", "size", "copies", "component"), "inside")
+    linked = write_table(_link_counts(inside, docs), "link-counts")
+    # The two sets of a component are linked, so all its documents are.
+    its = F.coalesce("its", F.col("documents") - F.col("copies"))
+    result = named.join(linked.hint("merge"), "node", "left").select(
+        "set_key", "component_id", (F.col("copies") - 1 + its).alias("n_links")
     )
     result = write_table(result, "set-results")
     rows = signed.select("doc_id", F.col("size").alias("n_shingles"), "set_key")

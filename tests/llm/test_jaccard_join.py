@@ -164,3 +164,40 @@ def test_boundary_follows_the_cost():
     assert 12 <= few_large < 64
     assert module.best_boundary({60: 10, 63: 10}) < 60
     assert module.best_boundary({}) == 0
+
+
+def links_by_pairs(rows):
+    """`(doc_id, n_links)`: all other rows that are linked with each, by all pairs."""
+    sets = [(i, word_shingles(text)) for i, text in rows]
+    linked = dict.fromkeys((i for i, _ in rows), 0)
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 90 * max(len(a), len(b)) <= 100 * min(len(a), len(b)) and 100 * len(a & b) >= 90 * len(a | b):
+                linked[i] += 1
+                linked[j] += 1
+    return sorted(linked.items())
+
+
+@pytest.mark.parametrize("part,elements,multiplied", [(512, 1 << 20, 1 << 12), (7, 1 << 20, 16), (512, 300, 64)])
+def test_every_link_of_a_family_is_counted(spark, monkeypatch, part, elements, multiplied):
+    monkeypatch.setattr(module, "PART", part)
+    monkeypatch.setattr(module, "PART_ELEMENTS", elements)
+    monkeypatch.setattr(module, "MULTIPLIED", multiplied)
+    chance = random.Random(17)
+    texts = [t for length in (3, 12, 25, 60, 200) for t in family(chance, 20, length, max(1, length // 30))]
+    texts += texts[:15] + family(chance, 120, 90, 4) + [None, "", "alone in the world"]
+    # A chain: neighbours are linked, ends are not.
+    chain = [f"c{i}" for i in range(260)]
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 200, 2)]
+    chance.shuffle(texts)
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    result = jaccard_components(frame).select("doc_id", "n_links").collect()
+    assert sorted(tuple(r) for r in result) == links_by_pairs(rows)
+
+
+def test_common_elements_of_all_pairs():
+    chance = np.random.default_rng(3)
+    sets = [np.unique(chance.integers(0, 90, n, dtype=np.int64)) for n in (0, 1, 5, 40, 80, 80)]
+    expected = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
+    assert module.common_counts(sets, sets[2:]).tolist() == expected
