@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["path"].startswith("/") or ".." in row["path"].split("/"):
-                    raise ValueError(f"{row['path']}: not a path below the root")
-                target = os.path.join(root, row["path"])
+            # One at a time and without a copy: the contents of a batch are as large as its files.
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                path = path.as_py()
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"{path}: not a path below the root")
+                target = os.path.join(root, path)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 # A repeated task attempt replaces the file by the same content.
                 partial = f"{target}.{uuid.uuid4().hex}.part"
                 with open(partial, "wb") as file:
-                    file.write(row["content"])
+                    file.write(content.as_buffer())
                 os.replace(partial, target)
             yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
 

@@ -35,6 +35,8 @@ OPEN_COST_BYTES = 64 * 1024
 LONG_LINE_BYTES = 1024 * 1024
 
 _BATCH_BYTES = 16 * 1024 * 1024
+# Contents that a worker holds before it sends them on, to within one piece.
+_HELD_BYTES = 4 * 1024 * 1024
 _SCAN_BYTES = 64 * 1024
 
 _BLOCK_TOKENS = {language[1]: language[3:5] for language in LANGUAGES}
@@ -153,6 +155,9 @@ def _read_bytes(name: bytes, offset: int, length: int | None) -> bytes:
         return b"".join(parts)
 
 
+_READ_BY = ("path", "raw_path", "size", "offset", "length", "language")
+
+
 def _reader(root: bytes, long_line: int | None):
     """Adds the content of pieces: reduced lines, or the bytes as they are without `long_line`."""
 
@@ -168,7 +173,7 @@ def _reader(root: bytes, long_line: int | None):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.to_pydict()
+            columns = {name: batch.column(name).to_pylist() for name in _READ_BY if name in batch.schema.names}
             contents, errors, held, first = [], [], 0, 0
             for i in range(batch.num_rows):
                 content, error = b"", None
@@ -180,13 +185,17 @@ def _reader(root: bytes, long_line: int | None):
                 contents.append(content)
                 errors.append(error)
                 held += len(content)
-                if held >= _BATCH_BYTES or i == batch.num_rows - 1:
+                if held >= _HELD_BYTES or i == batch.num_rows - 1:
                     part = batch.slice(first, i + 1 - first)
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())],
-                        [*batch.schema.names, "content", "error"],
+                    added = pa.array(contents, pa.binary()), pa.array(errors, pa.string())
+                    # Nothing is kept twice while the batch is sent.
+                    contents, errors, held, first, content = [], [], 0, i + 1, b""
+                    part = pa.RecordBatch.from_arrays(
+                        [*part.columns, *added], [*batch.schema.names, "content", "error"]
                     )
-                    contents, errors, held, first = [], [], 0, i + 1
+                    del added
+                    yield part
+                    del part
 
     return read
 

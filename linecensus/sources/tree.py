@@ -15,7 +15,9 @@ from __future__ import annotations
 import os
 import re
 import stat
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +103,7 @@ def _list_directory(root: bytes, row: dict, follow_links: bool) -> Iterator[dict
     path = row["path"]
     raw = row["raw_path"] if row["raw_path"] is not None else path.encode("utf-8")
     folder = os.path.join(root, raw) if raw else root
-    entries = []
+    entries = deque()
     try:
         with os.scandir(folder) as found:
             for entry in found:
@@ -115,11 +117,11 @@ def _list_directory(root: bytes, row: dict, follow_links: bool) -> Iterator[dict
             yield from _rules_of(folder, path, names)
             depth = path.count("/") + 1 if path else 0
             shared = {"repo_depth": depth if b".git" in names else row["repo_depth"]}
-            for group in (entries, found):
-                for entry in group:
-                    listed = _entry_row(entry, raw, row["chain"], follow_links)
-                    if listed:
-                        yield {**listed, **shared}
+            # An entry holds what its file system says of it, so it goes when its row is made.
+            for entry in chain((entries.popleft() for _ in range(len(entries))), found):
+                listed = _entry_row(entry, raw, row["chain"], follow_links)
+                if listed:
+                    yield {**listed, **shared}
     except OSError:
         return
 
@@ -151,8 +153,10 @@ def _lister(root: bytes, follow_links: bool):
                 for row in _list_directory(root, directory, follow_links):
                     rows.append(row)
                     if len(rows) == _ROWS_PER_BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, _LISTING_SCHEMA)
+                        listed = pa.RecordBatch.from_pylist(rows, _LISTING_SCHEMA)
                         rows = []
+                        yield listed
+                        del listed
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _LISTING_SCHEMA)
 

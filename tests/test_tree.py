@@ -223,3 +223,35 @@ def test_paths_with_a_colon_and_outside_the_root(spark, tmp_path):
     for path in ("/tmp/x.rs", "../x.rs", "a/../../x.rs"):
         with pytest.raises(Exception, match="not a path below the root"):
             write_tree(spark.createDataFrame([(path, "x")], "path string, content string"), str(tmp_path))
+
+
+def test_contents_are_not_copied_or_held_beyond_a_few_megabytes(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from linecensus.sinks.tree_files import _writer
+    from linecensus.sources.content import _reader
+
+    n, content = 800, b"x" * 19_999 + b"\n"
+    names = [f"d/{i}.rs" for i in range(n)]
+    files = pa.RecordBatch.from_pydict({"path": names, "content": pa.array([content] * n, pa.binary())})
+    tracemalloc.start()
+    try:
+        assert [b.to_pydict() for b in _writer(str(tmp_path))(iter([files]))] == [{"written": [n]}]
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+        zeros, none = pa.array([0] * n, pa.int64()), pa.nulls(n, pa.int64())
+        manifest = pa.RecordBatch.from_arrays(
+            [pa.array(names), pa.nulls(n, pa.binary()), pa.array([20_000] * n, pa.int64()), zeros, none, pa.array(["Rust"] * n)],
+            ["path", "raw_path", "size", "offset", "length", "language"],
+        )
+        tracemalloc.reset_peak()
+        rows = 0
+        for batch in _reader(bytes(tmp_path), 1 << 20)(iter([manifest])):
+            assert batch.column("content").to_pylist() == [content] * batch.num_rows
+            rows += batch.num_rows
+            del batch
+        assert rows == n
+        assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    finally:
+        tracemalloc.stop()
