@@ -504,6 +504,8 @@ def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = manifest.withColumns(
         {"raw_path": F.lit(None).cast("binary"), "size": F.greatest("size", F.lit(1))}
     )
+    # Written once: the weights and the reading both go over it, and making the paths costs more than either.
+    manifest = write_table(manifest, "manifest")
     return CT.read_errors(CT.read_content(manifest, posix_path(scratch_path(spark, "missing"))))
 
 

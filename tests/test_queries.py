@@ -31,3 +31,10 @@ def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["name", "files", "lines", "code", "comments", "blanks", "bytes"]
     assert frame.count() == 12
+
+
+def test_paths_of_unreadable_files_are_made_once(spark):
+    from linecensus.plans.queries import _unreadable
+
+    # Weights and reading go over a written manifest, not over the table again.
+    assert not [f for f in _unreadable(spark, "/root/testdata/sf0.001").inputFiles() if "events.parquet" in f]
